@@ -14,6 +14,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oreweave.sources.package import ship
+
 #: The white space of every operator here: space and the ASCII controls 9 to 13.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -29,6 +31,7 @@ def sql_ascii_lower(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oreweave.llm import base, fingerprint, mixing, warc
+from oreweave.llm import base, bpe, fingerprint, mixing, quality_rules, simhash, warc
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,15 +16,29 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, boundary).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.groups(base.documents(spark, sf_dir))
+    return grouped.select("doc_id", simhash.as_hex(grouped["fp"]).alias("fingerprint"), "component_id")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(base.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(base.documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.report(base.documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(spark, base.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_revisits, op8_source_mixing, op10_multiset_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_warc_revisits, op4_simhash_components, op5_bpe_round_trip, op8_source_mixing, op9_weak_supervision, op10_multiset_fingerprints)}
 
 _BASE32 = "list_aggregate(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(payload), 1 + 10 * i, 10))::BIGINT >> (35 - 5 * j)) & 31)::INT + 1, 1) for j in range(8)] for i in range(4)]), 'string_agg', '')"
 
