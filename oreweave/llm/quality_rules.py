@@ -115,8 +115,9 @@ def rules() -> dict[str, Column]:
         "length": vote(words < 10, words >= 40),
         "word_length": vote((length < 2) | (length > 14), (length >= 3) & (length <= 10)),
         "symbols": vote(symbols > 0.1, symbols < 0.02),
+        "symbol_runs": vote(symbols > 0.25, symbols < 0.05),
         "dup_lines": vote(dup > 0.3, (lines >= 2) & (dup < 0.1)),
-        "repeats": vote(repeats > 0.15, (words >= 40) & (repeats < 0.05)),
+        "repeats": vote(repeats > 0.2, (words >= 40) & (repeats < 0.05)),
         "capitals": vote(caps > 0.5, caps < 0.25),
         "variety": vote((words >= 40) & (distinct < 0.15), (words >= 40) & (distinct > 0.3)),
         "line_ends": vote((lines >= 3) & (ended < 0.1), (lines >= 2) & (ended > 0.5)),
@@ -125,26 +126,29 @@ def rules() -> dict[str, Column]:
 
 
 class LabelModel:
-    """Two classes, conditionally independent rules; a rule's abstention says nothing."""
+    """Two classes, conditionally independent rules; a rule's abstention says nothing.
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, floor: float = 0.55, ceiling: float = 0.995):
-        """patterns: votes (-1, 0, 1), a row each; counts: documents of each. Starts from the majority of votes.
+    A rule is an expert on one kind of fault: it seldom speaks against a good document, and a bad document is
+    found by few rules. So the two accuracies of a rule are estimated apart: on good documents between `honest`
+    and 1, on bad ones (where most rules see nothing wrong) from `seen` up.
+    """
 
-        Accuracies stay between floor and ceiling: a rule is taken to be better than chance, so the classes
-        can't change places.
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, honest: float = 0.9, seen: float = 0.02):
+        """patterns: votes (-1, 0, 1), a row each; counts: documents of each.
+
+        Starts from the documents that no rule speaks against as good ones, which also fixes which class is which.
         """
-        votes = patterns.astype(float)
         weight = counts.astype(float)
-        share = votes.sum(1) / np.maximum(np.abs(votes).sum(1), 1)
-        good = np.clip(0.5 + 0.45 * share, 0.05, 0.95)
+        good = np.where((patterns == -1).any(axis=1), 0.1, 0.95)
         self.prior, self.right = 0.5, np.full((2, patterns.shape[1]), 0.7)
+        low, high = np.array([[honest], [seen]]), np.array([[0.9995], [0.98]])
         for _ in range(rounds if weight.sum() else 0):
             self.prior = float(np.clip((weight * good).sum() / weight.sum(), 0.02, 0.98))
             right = np.empty_like(self.right)
             for k, (p, sign) in enumerate(((good, 1), (1 - good, -1))):
-                cast = (weight * p) @ (votes != 0)
-                right[k] = ((weight * p) @ (votes == sign) + 7.0) / (cast + 10.0)
-            right = np.clip(right, floor, ceiling)
+                cast = (weight * p) @ (patterns != 0)
+                right[k] = ((weight * p) @ (patterns == sign) + 1.0) / (cast + 2.0)
+            right = np.clip(right, low, high)
             done = np.abs(right - self.right).max() < 1e-9
             self.right = right
             good = self.posterior(patterns)
@@ -169,7 +173,7 @@ class LabelModel:
 
 
 def fit(stats: DataFrame) -> LabelModel:
-    """The label model of all rows. Collected: one row for each pattern of votes, 3^9 at most."""
+    """The label model of all rows. Collected: one row for each pattern of votes, 3^10 at most."""
     votes = rules()
     rows = stats.select(*(c.alias(name) for name, c in votes.items())).groupBy(*votes).agg(F.count("*").alias("n")).orderBy(*votes).collect()
     patterns = np.array([[r[name] for name in votes] for r in rows], dtype=np.int64).reshape(-1, len(votes))
