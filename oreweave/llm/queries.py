@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oreweave.llm import base, bpe, fingerprint, mixing, quality_rules, simhash, suffix_dedup, warc
+from oreweave.llm import base, bpe, fingerprint, lm_score, mixing, quality_rules, simhash, suffix_dedup, warc
+
+
+def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(base.documents(spark, sf_dir))
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(spark, base.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_revisits, op3_repeated_windows, op4_simhash_components, op5_bpe_round_trip, op8_source_mixing, op9_weak_supervision, op10_multiset_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_backoff_automaton, op2_warc_revisits, op3_repeated_windows, op4_simhash_components, op5_bpe_round_trip, op8_source_mixing, op9_weak_supervision, op10_multiset_fingerprints)}
 
 _BASE32 = "list_aggregate(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(payload), 1 + 10 * i, 10))::BIGINT >> (35 - 5 * j)) & 31)::INT + 1, 1) for j in range(8)] for i in range(4)]), 'string_agg', '')"
 
