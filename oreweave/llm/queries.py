@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oreweave.llm import base, bpe, fingerprint, lm_score, mixing, quality_rules, simhash, suffix_dedup, warc
+from oreweave.llm import base, bpe, fingerprint, lm_score, mixing, quality_gbdt, quality_rules, simhash, suffix_dedup, toxicity, warc
 
 
 def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(base.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(base.documents(spark, sf_dir), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted", scored["evidence.doc_id"].alias("evidence"))
+
+
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbdt.score(base.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(base.documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
 
@@ -47,7 +57,7 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(spark, base.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_backoff_automaton, op2_warc_revisits, op3_repeated_windows, op4_simhash_components, op5_bpe_round_trip, op8_source_mixing, op9_weak_supervision, op10_multiset_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_backoff_automaton, op2_warc_revisits, op3_repeated_windows, op4_simhash_components, op5_bpe_round_trip, op6_toxic_neighbours, op7_quality_trees, op8_source_mixing, op9_weak_supervision, op10_multiset_fingerprints)}
 
 _BASE32 = "list_aggregate(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(payload), 1 + 10 * i, 10))::BIGINT >> (35 - 5 * j)) & 31)::INT + 1, 1) for j in range(8)] for i in range(4)]), 'string_agg', '')"
 
