@@ -35,6 +35,17 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def wrap(docs: DataFrame, *plain: str) -> DataFrame:
+    """The plain columns (those that docs has) and all others in one struct, out of reach of an operator's own names."""
+    rest = [c for c in docs.columns if c not in plain]
+    return docs.select(*(c for c in docs.columns if c in plain), (F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(1).alias("none"))).alias("_row"))
+
+
+def unwrap(wrapped: DataFrame, columns: list[str], *plain: str) -> DataFrame:
+    """The columns that wrap hid, in their order."""
+    return wrapped.select(*(F.col(c) if c in plain else F.col(f"_row.`{c}`").alias(c) for c in columns))
+
+
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32(id as text) mod modulus; null ids count as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -264,20 +264,42 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """The columns of docs with ids (array of int) and n_tokens."""
-    docs = docs.drop("ids", "n_tokens")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+def _with(docs: DataFrame, path: str, columns: dict[str, T.DataType], make) -> DataFrame:
+    """docs and new columns; make(tokenizer, texts) gives them as Arrow arrays."""
+    docs = docs.drop(*columns)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in columns.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in base.text_chunks(batches):
-            encoded = bpe.encode_batch(base.texts_of(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoded, pa.list_(pa.int32())), pa.array([len(x) for x in encoded], pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(bpe, base.texts_of(batch))], [*batch.schema.names, *columns])
 
     return docs.mapInArrow(run, schema)
 
 
+_IDS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType()}
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """The columns of docs with ids (array of int) and n_tokens."""
+
+    def make(bpe: ByteBpe, texts: list[str]) -> list[pa.Array]:
+        encoded = bpe.encode_batch(texts)
+        return [pa.array(encoded, pa.list_(pa.int32())), pa.array([len(x) for x in encoded], pa.int64())]
+
+    return _with(docs, path, _IDS, make)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """As encode, with `decoded`, the text that the ids give back."""
+
+    def make(bpe: ByteBpe, texts: list[str]) -> list[pa.Array]:
+        encoded = bpe.encode_batch(texts)
+        return [pa.array(encoded, pa.list_(pa.int32())), pa.array([len(x) for x in encoded], pa.int64()), pa.array(map(bpe.decode, encoded), pa.string())]
+
+    return _with(docs, path, _IDS | {"decoded": T.StringType()}, make)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of encoded with `decoded`, the text of column `ids` (null ids: empty)."""
     encoded = encoded.drop("decoded")

@@ -194,6 +194,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The kept rows of docs, with its columns."""
-    columns = docs.columns
     model = fit(with_stats(docs.select("text")).drop("text"))
-    return judge(with_stats(docs), model).where("kept").select(*columns)
+    return base.unwrap(judge(with_stats(base.wrap(docs, "text")), model).where("kept"), docs.columns, "text")

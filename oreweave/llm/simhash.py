@@ -245,8 +245,11 @@ def as_hex(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that name their component, one of repeated rows; rows without a doc_id that belong to a named component go."""
+    """The rows of docs that name their component; of rows with the same doc_id and text, one stays.
+
+    Rows without a doc_id stay only in components of nothing else.
+    """
     named = groups(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    columns = docs.columns
-    kept = docs.join(named, docs["doc_id"].eqNullSafe(named["_kept"]), "left_semi")
-    return kept.select(*columns)
+    rows = base.wrap(docs, "doc_id", "text")
+    kept = rows.join(named, rows["doc_id"].eqNullSafe(named["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return base.unwrap(kept, docs.columns, "doc_id", "text")

@@ -317,8 +317,9 @@ def report(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
 
 def remove(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
     """docs with the repeated bytes taken out of `text`; a character goes if all of its bytes go. n_chars follows, if there is one."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("places", T.ArrayType(T.LongType()))])
-    names = docs.columns
+    plain = ("doc_id", "text", "n_chars")
+    rows = base.wrap(docs, *plain)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, raws in _blocks(batches):
@@ -334,8 +335,8 @@ def remove(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
                     parts.append(raw[at:s])
                     at = e
                 texts.append(b"".join([*parts, raw[at:]]).decode())
-            new = {"text": pa.array(texts, pa.string())} | ({"n_chars": pa.array([len(t) for t in texts], pa.int64())} if "n_chars" in names else {})
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(batch.schema.get_field_index(c))) for c in names], names)
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names)
 
-    assert "places" not in names, "a column named places would be lost"
-    return repeated(docs, width, digit).select(*schema.names).mapInArrow(run, docs.schema)
+    schema = T.StructType([T.StructField("n_chars", T.LongType()) if f.name == "n_chars" else f for f in rows.schema.fields])
+    return base.unwrap(repeated(rows, width, digit).select(*names, "places").mapInArrow(run, schema), docs.columns, *plain)
