@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and ORACLE_SQL.
-MODULES = ()
+MODULES = ("catalogue",)
 
 
 def _merged(name: str) -> dict:
