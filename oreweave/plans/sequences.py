@@ -122,7 +122,7 @@ def j19_transform_candidates(spark, sf):
     return d.groupBy("file", "key").agg(F.round(F.avg("d"), 4).alias("roughness"))
 
 
-_DAY = "ev AS (SELECT user_id, (epoch(ts) // 3600)::BIGINT AS hour, value FROM events)"
+_DAY = "ev AS (SELECT user_id, (epoch_us(ts) // 3600000000)::BIGINT AS hour, value FROM events)"
 
 
 def _hours(spark, sf):
