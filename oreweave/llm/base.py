@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -86,21 +85,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, so a lost executor costs no rerun of what came before."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    del df, writer
-    release(spark)
-    return spark.read.parquet(path)
+#: Spark's own setting that removes an execution's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that nothing refers to any more, before the next stage adds its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, so a lost executor costs no rerun of what came before.
+
+    The shuffle files of the write go with it, before the next stage adds its own.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

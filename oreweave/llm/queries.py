@@ -17,7 +17,6 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = base.scratch(spark)
     mark = warc.write(warc.resolve(pages), path)
-    base.release(spark)
     return warc.read(spark, path, mark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
