@@ -1,19 +1,22 @@
 """Log-probabilities of texts under a weighted backoff automaton of smoothed word n-grams.
 
-States are the root and one for each history word (and for the start of a text); arcs are the n-grams, with
+States are the root and one for each history (a frequent word, or the start of a text); arcs are the n-grams, with
 absolute discounts of their counts interpolated with the state below; a state without an arc for a token fails to
 the root, at the weight that its discounts have set free. One left-to-right traversal of a text carries the state
 and adds up logarithms.
 
 The automaton grows with the corpus, so it is never in one place. Documents are dealt to blocks of about
-`block_bytes`, by a hash of their id. Each block counts its n-grams, counts are shuffled by n-gram and summed up,
-and every block gets back the arcs and states that its texts can meet: its own part of the automaton, on which it
-scores its texts. What is moved are distinct n-grams of blocks, so a frequent n-gram has one row a block.
+`block_bytes`, by a hash of their id. Each block counts its words, and then its n-grams; counts are shuffled by word
+or n-gram and summed up, and every block gets back the arcs that its texts can meet: its own part of the automaton,
+on which it scores its texts. What is moved are distinct words and n-grams of blocks, so a frequent one has one row a
+block. Histories and successors of n-grams are words with at least 2^-20 of all training tokens. By that share there
+are at most 2^20 of them in a corpus of any size, so they (and what their arcs leave free) are sent to every executor;
+their arcs and the root's arcs, one for each word of the training texts, have no such bound and are not.
 
 Smoothing: a root arc has (c + 0.1) / (N + 0.1 (V + 1)), the last one for unknown tokens. Arcs of a history h need a
 count of 2 and have (c - D(c)) / c(h) + free(h) root(w), where D(2) and D(3 and more) follow from the numbers of
 n-grams seen once to four times, and free(h) is what the arcs leave. Each state's probabilities sum up to 1.
-Tokens are keyed by 64-bit hashes.
+Words are keyed by 64-bit hashes.
 
 Defined cases: a null text is empty and scores the end token alone; a null doc_id counts as the empty string in
 the split between training and held-out rows; repeated rows are each counted and scored; without training
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 
 from oreweave.llm import base
 
-ROOT, START, END = 0, -1, 1
+START, END = -1, 1
 SMOOTH = 0.1
-ARC = pa.schema([("state", pa.int64()), ("token", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
+#: Words of at least 2^-FREQUENT of all training tokens take part in n-grams.
+FREQUENT = 20
+ROWS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +63,14 @@ def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted(state: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (state, token), sorted, and their summed weights."""
-    order = np.lexsort((token, state))
-    s, t, w = state[order], token[order], weight[order]
-    if not len(s):
-        return s, t, w
-    heads = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
-    return s[heads], t[heads], np.add.reduceat(w, heads)
+def counted(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their summed weights."""
+    if not len(key):
+        return key, weight
+    order = np.argsort(key)
+    k, w = key[order], weight[order]
+    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[heads], np.add.reduceat(w, heads)
 
 
 def dealt(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
@@ -77,73 +82,70 @@ def dealt(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
     return docs.withColumns({"held_out": base.crc_bucket("doc_id", modulus) == 0, "block": block})
 
 
-def count_blocks(docs: DataFrame) -> DataFrame:
-    """state, token, block, n: the block's distinct root arcs and n-grams with their counts in training texts."""
+def count_blocks(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """key, block, n: the block's distinct words (or n-grams of the vocabulary) and their counts in training texts, 0 included."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = key[0].as_py()
         part = pa.Table.from_batches(list(batches))
-        tokens, sizes = tokens_of(part["text"].to_pylist())
+        keys, sizes = tokens_of(part["text"].to_pylist())
         train = np.repeat(~part["held_out"].to_numpy(), sizes).astype(np.int64)
-        before = histories(tokens, sizes)
-        starts = before == START
-        words, at = np.unique(tokens, return_inverse=True)
-        root = np.bincount(at, weights=train, minlength=len(words)).astype(np.int64)
-        some = train > 0
-        grams = counted(before[some], tokens[some], train[some])
-        state = np.concatenate([[ROOT], np.full(len(words), ROOT), grams[0]])
-        token = np.concatenate([[START], words, grams[1]])
-        n = np.concatenate([[train[starts].sum()], root, grams[2]])
-        # N-grams that only held-out texts have: they ask for an arc, too.
-        rest = counted(before[~some], tokens[~some], train[~some])
-        state, token, n = (np.concatenate(x) for x in ((state, rest[0]), (token, rest[1]), (n, rest[2])))
+        if vocabulary is not None:
+            keys, some = grams(vocabulary, keys, sizes)
+            keys, train = keys[some], train[some]
+        keys, n = counted(keys, train)
         for i in range(0, len(n), 1 << 17):
             s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(state[s]), pa.array(token[s]), pa.array(np.full(len(n[s]), block)), pa.array(n[s])], schema=ARC)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(np.full(len(n[s]), block)), pa.array(n[s])], schema=ROWS)
 
-    return docs.groupBy("block").applyInArrow(run, "state long, token long, block long, n long")
+    return docs.groupBy("block").applyInArrow(run, "key long, block long, n long")
 
 
-def arcs(counts: DataFrame) -> DataFrame:
-    """state, token, block, n (over all blocks), first: for each block the arcs that exist, first in one of the blocks.
+def numbers(vocabulary: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Places of tokens in the sorted vocabulary, -1 where it has none."""
+    at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == tokens, at, -1)
 
-    Rows of block -1 tell how many n-grams were seen `token` times (1 to 4).
+
+def grams(vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram key that ends at each token, and whether both its words are in the vocabulary."""
+    token, state = numbers(vocabulary, tokens), numbers(vocabulary, histories(tokens, sizes))
+    return state << (FREQUENT + 1) | token, (token >= 0) & (state >= 0)
+
+
+def summed(counts: DataFrame, least: int) -> DataFrame:
+    """key, block, n (over all blocks), first: for each block the keys of at least `least` in all, first in one of the blocks.
+
+    Rows of block -1 tell how many keys were seen `key` times (1 to 4).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(5, dtype=np.int64)
-        names = ["state", "token", "block", "n", "first"]
-
-        def summed(x: list[np.ndarray]) -> pa.RecordBatch:
-            state, token, block, n = x
-            heads = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (token[1:] != token[:-1])]))
-            total = np.add.reduceat(n, heads)
-            root = state[heads] == ROOT
-            counts = total[~root & (total <= 4)]
-            seen[:] += np.bincount(counts, minlength=5)
+        names = ["key", "block", "n", "first"]
+
+        def total(key: np.ndarray, block: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sums = np.add.reduceat(n, heads)
+            seen[:] += np.bincount(sums[sums <= 4], minlength=5)
             sizes = np.diff(np.append(heads, len(n)))
-            keep = np.repeat(np.where(root, total > 0, total >= 2), sizes)
+            keep = np.repeat(sums >= least, sizes)
             first = np.zeros(len(n), dtype=bool)
             first[heads] = True
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (state[keep], token[keep], block[keep], np.repeat(total, sizes)[keep], first[keep])], names)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (key[keep], block[keep], np.repeat(sums, sizes)[keep], first[keep])], names)
 
-        kept = [np.empty(0, dtype=np.int64)] * 4
+        kept = [np.empty(0, dtype=np.int64)] * 3
         for batch in batches:
             part = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(kept)]
-            if not len(part[0]):
-                continue
-            # The last n-gram may go on: it has one row a block at most.
-            end = len(part[0]) - 1 - int(np.argmin(((part[0] == part[0][-1]) & (part[1] == part[1][-1]))[::-1])) + 1
-            if (part[0][0] == part[0][-1]) and (part[1][0] == part[1][-1]):
-                end = 0
+            # The last key may go on: it has one row a block at most.
+            end = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
             if end:
-                yield summed([a[:end] for a in part])
+                yield total(*(a[:end] for a in part))
             kept = [a[end:] for a in part]
         if len(kept[0]):
-            yield summed(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(4, np.int64)), pa.array(np.arange(1, 5)), pa.array(np.full(4, -1)), pa.array(seen[1:]), pa.array(np.zeros(4, bool))], names)
+            yield total(*kept)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, 5)), pa.array(np.full(4, -1)), pa.array(seen[1:]), pa.array(np.zeros(4, bool))], names)
 
-    return counts.repartition("state", "token").sortWithinPartitions("state", "token").mapInArrow(run, "state long, token long, block long, n long, first boolean")
+    return counts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, block long, n long, first boolean")
 
 
 class Smoothing:
@@ -165,42 +167,42 @@ class Smoothing:
         return count - np.where(count == 2, self.two, self.more)
 
 
-class Automaton:
-    """The part of the automaton that a block can meet.
+class States:
+    """What every executor knows: the frequent words, as histories, and what their arcs leave free."""
 
-    words: sorted token hashes of the root's arcs (START among them, as a state); count, spent: their counts and,
-    as histories, the discounted counts of all their arcs. state, token, n: the arcs of histories.
-    """
+    def __init__(self, vocabulary: np.ndarray, times: np.ndarray, smoothing: Smoothing):
+        self.vocabulary, self.times, self.smoothing = vocabulary, times.astype(float), smoothing
+        # The last one is for tokens that are no history.
+        self.free = np.ones(len(vocabulary) + 1)
+
+    def spend(self, state: np.ndarray, spent: np.ndarray) -> None:
+        self.free[state] = 1 - spent / self.times[state]
+
+
+class Automaton:
+    """The part of the automaton that a block can meet: words (hashes) with counts, n-gram keys with counts."""
 
-    def __init__(self, words: np.ndarray, count: np.ndarray, spent: np.ndarray, state: np.ndarray, token: np.ndarray, n: np.ndarray, smoothing: Smoothing):
-        self.words = words
-        is_token = words != START
-        self.known = np.append(is_token & (count > 0), False)
-        self.root = smoothing.root(np.append(np.where(is_token, count, 0), 0).astype(float))
-        times = np.append(count, 0).astype(float)
-        self.free = np.where(times > 0, 1 - np.append(spent, 0) / np.maximum(times, 1), 1.0)
-        s, t = self.find(state), self.find(token)
-        key = s * (len(words) + 1) + t
-        order = np.argsort(key)
-        self.arcs = key[order]
-        self.weight = (smoothing.left(n.astype(float)) / np.maximum(times[s], 1))[order]
-
-    def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Indices of words; unknown ones get the index after the last."""
-        at = np.minimum(np.searchsorted(self.words, tokens), max(len(self.words) - 1, 0))
-        return np.where(self.words[at] == tokens, at, len(self.words)) if len(self.words) else np.zeros(len(tokens), dtype=np.int64)
+    def __init__(self, states: States, words: np.ndarray, count: np.ndarray, keys: np.ndarray, n: np.ndarray):
+        self.states, order = states, np.argsort(words)
+        self.words = words[order]
+        self.root = states.smoothing.root(np.append(count[order], 0).astype(float))
+        order = np.argsort(keys)
+        self.arcs = keys[order]
+        self.weight = states.smoothing.left(n[order].astype(float)) / states.times[self.arcs >> (FREQUENT + 1)]
 
     def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: known tokens, base score, score."""
-        token, state = self.find(tokens), self.find(histories(tokens, sizes))
-        key = state * (len(self.words) + 1) + token
-        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-        taken = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), dtype=bool)
+        token = numbers(self.words, tokens) if len(self.words) else np.full(len(tokens), -1)
         low = self.root[token]
+        vocabulary = self.states.vocabulary
         # The failure arc's weight applies either way: arcs are interpolated with the root.
-        p = self.free[state] * low + (np.where(taken, self.weight[at], 0.0) if len(self.arcs) else 0.0)
+        p = self.states.free[numbers(vocabulary, histories(tokens, sizes))] * low
+        if len(self.arcs):
+            key, some = grams(vocabulary, tokens, sizes)
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            p += np.where(some & (self.arcs[at] == key), self.weight[at], 0.0)
         heads = np.cumsum(sizes) - sizes
-        return np.add.reduceat(self.known[token].astype(np.int64), heads), np.add.reduceat(np.log10(low), heads), np.add.reduceat(np.log10(p), heads)
+        return np.add.reduceat((token >= 0).astype(np.int64), heads), np.add.reduceat(np.log10(low), heads), np.add.reduceat(np.log10(p), heads)
 
 
 def score(docs: DataFrame, modulus: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
@@ -209,27 +211,35 @@ def score(docs: DataFrame, modulus: int = 10, block_bytes: int = 8 << 20) -> Dat
     Learns from the documents whose crc32(doc_id as text) mod modulus is not 0.
     """
     docs = dealt(docs, modulus, block_bytes)
-    found = base.cut(arcs(count_blocks(docs)))
-    roots = found.where((F.col("state") == ROOT) & (F.col("block") >= 0))
-    n, v = roots.where(F.col("first") & (F.col("token") != START)).agg(F.sum("n"), F.count("*")).first()
-    seen = {r["token"]: r["n"] for r in found.where("block = -1").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    smoothing = Smoothing(n or 0, v or 0, seen)
-    grams = found.where((F.col("state") != ROOT) & (F.col("block") >= 0))
+    roots = base.cut(summed(count_blocks(docs), 1)).where("block >= 0")
+    n, v = roots.where("first").agg(F.sum("n"), F.count("*")).first()
+    n, v = n or 0, v or 0
+    # At most 2^FREQUENT rows: each has that share of all tokens. The start of a text is seen as often as its end.
+    frequent = roots.where(F.col("first") & (F.col("n") * (1 << FREQUENT) >= n)).select("key", "n").toArrow()
+    words, times = frequent["key"].to_numpy(), frequent["n"].to_numpy()
+    words, times = np.append(words, START), np.append(times, times[words == END].sum())
+    order = np.argsort(words)
+    words, times = words[order], times[order]
+    found = base.cut(summed(count_blocks(docs, words), 2))
+    seen = {r["key"]: r["n"] for r in found.where("block = -1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    arcs = found.where("block >= 0")
+    smoothing = Smoothing(n, v, seen)
+    states = States(words, times, smoothing)
     left = F.col("n") - F.when(F.col("n") == 2, smoothing.two).otherwise(smoothing.more)
-    spent = grams.where("first").groupBy(F.col("state").alias("history")).agg(F.sum(left).alias("spent"))
-    states = roots.join(spent, roots["token"] == spent["history"], "left").select("block", "state", "token", "n", F.coalesce("spent", F.lit(0.0)).alias("spent"))
-    part = base.cut(states.unionByName(grams.select("block", "state", "token", "n", F.lit(0.0).alias("spent"))))
+    # At most one row for each of the frequent words.
+    spent = arcs.where("first").groupBy(F.shiftright("key", FREQUENT + 1).alias("state")).agg(F.sum(left).alias("spent")).toArrow()
+    states.spend(spent["state"].to_numpy(), spent["spent"].to_numpy())
+    part = roots.select("block", "key", "n", F.lit(True).alias("root")).unionByName(arcs.select("block", "key", "n", F.lit(False).alias("root")))
+    known = docs.sparkSession.sparkContext.broadcast(states)
 
     def run(key: tuple, texts: pa.Table, model: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return out.empty_table()
-        state, token, count, spent = (model[c].to_numpy() for c in ("state", "token", "n", "spent"))
-        root = state == ROOT
-        order = np.argsort(token[root])
-        automaton = Automaton(token[root][order], count[root][order], spent[root][order], state[~root], token[~root], count[~root], smoothing)
+        keys, count, root = (model[c].to_numpy() for c in ("key", "n", "root"))
+        automaton = Automaton(known.value, keys[root], count[root], keys[~root], count[~root])
         tokens, sizes = tokens_of(texts["text"].to_pylist())
-        known, low, high = automaton.traverse(tokens, sizes)
-        return pa.table([texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), smoothing.n)), pa.array(low), pa.array(high)], schema=out)
+        some, low, high = automaton.traverse(tokens, sizes)
+        return pa.table([texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(some), pa.array(np.full(len(sizes), n)), pa.array(low), pa.array(high)], schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return docs.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
