@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreweave.sources.scratch import cut
+
 
 def islands(rows: DataFrame, part: list[str], order: list[str], is_new: Column, name: str = "island") -> DataFrame:
     """rows with the number of the island each belongs to; is_new may use lag over the same window."""
@@ -78,7 +80,8 @@ def chain_lengths(records: DataFrame, part: list[str], start: str, end: str, rou
         for p in part:
             condition = (steps[p] == onward[f"_{p}"]) & condition
         joined = steps.join(onward, condition, "left")
-        grown = joined.select(*part, start, F.coalesce("_to", "to").alias("to"), (F.col("length") + F.coalesce("_n", F.lit(0))).alias("length"), F.col("_n").isNotNull().alias("_grew")).checkpoint()
+        grown = joined.select(*part, start, F.coalesce("_to", "to").alias("to"), (F.col("length") + F.coalesce("_n", F.lit(0))).alias("length"), F.col("_n").isNotNull().alias("_grew"))
+        grown = cut(grown)
         done = grown.where("_grew").limit(1).count() == 0
         steps = grown.drop("_grew")
         if done:
