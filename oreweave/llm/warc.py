@@ -2,11 +2,11 @@
 
 Headers (id, url, digest, length) are shuffled by payload digest, apart from the payloads; the record with the
 largest id of each digest is the response that the others revisit. A digest shared by a third of all pages is
-met in many tasks (`base.per_key_join`). Records are written by Spark's own text writer, whose separator ends
-each record, so the archives get the commit protocol, any Hadoop file system and retries after lost executors.
-Every archive run has a boundary header with a random id as the first line of its records. It lets the reader
-split large archives between tasks; a payload cannot hold it, as it is drawn after the payloads exist.
-`parse_archive` reads any WARC file without it.
+met in many tasks (shares of a digest are salted). Each record is a gzip member of its own, as the format asks
+for. Members are written by Spark's own text writer, so the archives get the commit protocol, any Hadoop file
+system and retries after lost executors; what the writer puts between records is an empty gzip member whose
+comment is a random mark drawn after the payloads exist. Readers of gzip skip it; Spark's reader splits large
+archives between tasks by it. `parse_archive` reads any WARC file, compressed or not, without knowing the mark.
 
 Defined cases: a null payload is empty; equal payloads shorter than `min_payload` bytes are all responses;
 repeated rows of the response's id are all responses; a row with a null id never becomes the response unless
@@ -16,9 +16,11 @@ and no rows; columns besides those named are ignored.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,15 +71,34 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")))
 
 
+def _mark(name: str) -> bytes:
+    """A gzip member of no data with name as its comment (RFC 1952)."""
+    return b"\x1f\x8b\x08\x10\0\0\0\0\0\xff" + name.encode() + b"\0" + b"\x03\0" + bytes(8)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64).column(0)
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0) for x in part.to_pylist()], pa.binary())], ["member"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64).column(0)
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(x) for x in part.to_pylist()], pa.binary())], ["raw"])
+
+
 def write(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 0) -> str:
-    """Write the archives with fresh headers; gives the boundary that the splittable reader needs."""
-    boundary = uuid.uuid4().hex
+    """Write the archives with fresh headers; gives the mark that the splittable reader needs."""
+    mark = uuid.uuid4().hex
     own = _record_id(F.col("page_id"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(EOL + EOL)).cast("binary")
     response = F.col("record_type") == "response"
     block = F.when(response, F.concat(http, F.col("payload"))).otherwise(http)
     head = F.concat(
-        F.lit(f"WARC/1.1{EOL}WARC-Boundary: {boundary}{EOL}WARC-Type: "), F.col("record_type"),
+        F.lit(f"WARC/1.1{EOL}WARC-Type: "), F.col("record_type"),
         F.lit(f"{EOL}WARC-Record-ID: <"), own, F.lit(f">{EOL}WARC-Date: {date}{EOL}WARC-Target-URI: "), _uri(F.col("url"), own),
         F.lit(f"{EOL}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.when(response, F.lit("")).otherwise(F.concat(
@@ -85,19 +106,20 @@ def write(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", re
             F.lit(f">{EOL}WARC-Refers-To-Target-URI: "), _uri(F.col("refers_url"), _record_id(F.col("refers_to"))), F.lit(f"{EOL}WARC-Truncated: length"))),
         F.lit(f"{EOL}Content-Type: application/http; msgtype=response{EOL}Content-Length: "), F.octet_length(block).cast("string"), F.lit(EOL + EOL),
     )
+    record = F.concat(head.cast("binary"), block, F.lit(EOL + EOL).cast("binary")).alias("record")
     # A binary cast to string keeps its bytes, and the text writer puts them out as they are.
-    record = F.concat(head.cast("binary"), block).cast("string").alias("value")
-    out = resolved.select(record).write.option("lineSep", EOL + EOL)
+    members = resolved.select(record).mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
+    out = members.write.option("lineSep", _mark(mark).decode("latin-1")).option("encoding", "ISO-8859-1")
     (out.option("maxRecordsPerFile", records_per_file) if records_per_file else out).text(path)
-    return boundary
+    return mark
 
 
-def read(spark: SparkSession, path: str, boundary: str) -> DataFrame:
+def read(spark: SparkSession, path: str, mark: str) -> DataFrame:
     """The records of archives that `write` made, split between tasks; bytes are cut by Content-Length."""
-    raw = spark.read.option("lineSep", f"WARC/1.1{EOL}WARC-Boundary: {boundary}{EOL}").text(path).where("value <> ''")
-    whole = raw.select(F.col("value").cast("binary").alias("raw"), F.instr("value", EOL + EOL).alias("_chars"), "value")
+    raw = spark.read.option("lineSep", _mark(mark).decode("latin-1")).option("encoding", "ISO-8859-1").text(path).where("value <> ''")
+    whole = raw.select(F.col("value").cast("binary").alias("member")).mapInArrow(_records, "raw binary").withColumn("value", F.col("raw").cast("string"))
     # Header lines are cut as characters, the block as bytes.
-    whole = whole.withColumn("head", F.expr("substring(value, 1, _chars + 1)"))
+    whole = whole.withColumn("head", F.expr("substring(value, 1, instr(value, '\\r\\n\\r\\n') + 1)"))
     whole = whole.withColumn("start", F.octet_length("head") + 2)
 
     def field(name: str) -> Column:
@@ -128,7 +150,9 @@ def read(spark: SparkSession, path: str, boundary: str) -> DataFrame:
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an uncompressed WARC file."""
+    """Header fields (names in lower case) and block of each record of a WARC file, plain or gzipped."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
