@@ -111,7 +111,8 @@ def walk_iff(data: bytes) -> Iterator[dict]:
         values = {f["name"]: f["value"] for f in c["fields"]}
         if c["id"] == "COMM" and "rate_mantissa" in values:
             # 80-bit extended number: sign and exponent, then a 64-bit mantissa.
-            rate = int(values["rate_mantissa"]) * 2.0 ** (int(values["rate_exponent"]) - 16383 - 63)
+            power = int(values["rate_exponent"]) - 16383
+            rate = int(values["rate_mantissa"]) * 2.0 ** (power - 63) if 0 <= power < 64 else 0.0
             c["fields"].append({"name": "sample_rate", "value": f"{rate:g}", "off": 8, "len": 10})
         yield c
 
