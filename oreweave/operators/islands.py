@@ -58,9 +58,9 @@ def coalesced(records: DataFrame, part: list[str], order: str, end: str, kind: s
 
 def interval_anti(rows: DataFrame, others: DataFrame, part: list[str], start: str, end: str, share: float) -> DataFrame:
     """Rows of which no single other interval of the same part covers `share` or more."""
-    o = others.select(*(F.col(p).alias(f"_{p}") for p in part), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    o = others.select(*(F.col(p).alias(f"_{p}") for p in part), F.col(start).alias("_other_start"), F.col(end).alias("_other_end"))
     same = [rows[p] == o[f"_{p}"] for p in part]
-    over = F.least(F.col(end), F.col("_e")) - F.greatest(F.col(start), F.col("_s"))
+    over = F.least(F.col(end), F.col("_other_end")) - F.greatest(F.col(start), F.col("_other_start"))
     condition = (over > 0) & (over >= share * (F.col(end) - F.col(start)))
     for s in same:
         condition = s & condition
