@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from oreweave.functions import codecs
 from oreweave.plans import bindings as b
 from oreweave.sources import sniff, walkers
 from oreweave.sources.package import ship
@@ -19,7 +20,7 @@ def files(spark, sf):
     """path, content: a WAVE file of 64 samples for each vector; every third has a `note` chunk of odd size in front."""
     ship(spark)
     e = b.table(spark, sf, "embeddings")
-    pcm = F.array_join(F.transform("embedding", lambda x: _le(F.floor(x * 32000).cast("long"), 2)), "")
+    pcm = F.array_join(F.transform("embedding", lambda x: _le(F.floor(x.cast("double") * 32000).cast("long"), 2)), "")
     chunk = lambda name, size, body: F.concat(F.lit(name.encode().hex()), _le(F.lit(size), 4), body)
     rate = 8000 + F.col("vec_id") * 10
     fmt = F.concat(_le(F.lit(1), 2), _le(F.lit(1), 2), _le(rate, 4), _le(rate * 2, 4), _le(F.lit(2), 2), _le(F.lit(16), 2))
@@ -56,10 +57,24 @@ def x16_classify(spark, sf):
     return f.select("path", kind.alias("kind"))
 
 
+def f42_pcm_decode(spark, sf):
+    f = files(spark, sf).withColumn("pcm", codecs.udf(codecs.pcm)(F.expr("substring(content, octet_length(content) - 127, 128)")))
+    return f.select("vec_id", F.posexplode("pcm").alias("i", "v")).select("vec_id", "i", F.round(F.col("v") * 32768).cast("int").alias("sample"))
+
+
+def f45_mu_law(spark, sf):
+    ship(spark)
+    f = b.table(spark, sf, "benchmark").select("item_id", codecs.udf(codecs.mu_law)(F.col("text").cast("binary")).alias("v"))
+    return f.select("item_id", F.aggregate("v", F.lit(0.0), lambda t, x: t + x).alias("s"), F.size("v").alias("n")).select("item_id", "n", F.round(F.col("s") * 32768).cast("long").alias("total"))
+
+
 _FILES = "files AS (SELECT vec_id, '/v/' || vec_id || '.wav' AS path, vec_id % 3 = 0 AS note FROM embeddings)"
 
-QUERIES = {f.__name__: f for f in (s06_sniff, s09_walk_chunks, s11_generic_grid, s18_format_fields, x16_classify)}
+QUERIES = {f.__name__: f for f in (f42_pcm_decode, f45_mu_law, s06_sniff, s09_walk_chunks, s11_generic_grid, s18_format_fields, x16_classify)}
 ORACLE_SQL = {
+    "f42_pcm_decode": "SELECT vec_id, i::INT AS i, floor(v * 32000)::INT AS sample FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings)",
+    "f45_mu_law": """WITH b AS (SELECT item_id, 255 - ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark), (SELECT unnest(range(20000)) AS i) WHERE 2 * i < length(h)),
+        s AS (SELECT item_id, v, ((((v & 15) << 3) + 132) << ((v >> 4) & 7)) - 132 AS size FROM b) SELECT item_id, count(*)::INT AS n, sum(CASE WHEN v & 128 > 0 THEN -size ELSE size END)::BIGINT AS total FROM s GROUP BY item_id""",
     "s06_sniff": f"WITH {_FILES} SELECT vec_id, 'wav' AS format, CASE WHEN note THEN 186 ELSE 172 END AS length FROM files",
     "s09_walk_chunks": f"""WITH {_FILES} SELECT path, 0 AS seq, 'RIFF' AS id, 0 AS offset, CASE WHEN note THEN 178 ELSE 164 END AS size, 0 AS warnings FROM files UNION ALL
         SELECT path, 1, 'fmt ', 12, 16, 0 FROM files UNION ALL SELECT path, 2, 'note', 36, 5, 0 FROM files WHERE note UNION ALL
