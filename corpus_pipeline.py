@@ -10,37 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from oreweave.llm import base, bpe, mixing, quality_rules, simhash, suffix_dedup
-from oreweave.sources.package import ship
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    ship(spark)
+    base.ship(spark)
     return quality_rules.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays: the one of the smallest id."""
-    ship(spark)
+    base.ship(spark)
     return simhash.deduplicate(docs)
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte windows that a smaller document has too are taken out of the texts."""
-    ship(spark)
+    base.ship(spark)
     return suffix_dedup.remove(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets the same share; rows repeat as often as their Poisson draw says."""
-    ship(spark)
+    base.ship(spark)
     plain = ("doc_id", "text", "source")
     return base.unwrap(mixing.mix(base.wrap(docs, *plain)), docs.columns, *plain)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they decode to."""
-    ship(spark)
+    base.ship(spark)
     coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded")
 

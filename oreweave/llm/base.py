@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreweave.sources.package import ship
+from oreweave.sources import package
 
 #: The white space of every operator here: space and the ASCII controls 9 to 13.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -29,6 +29,17 @@ def sql_ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows in an Arrow batch, and Spark's own number that it replaces: texts are long, and batches are held several times.
+_BATCH, _BATCH_ROWS, _SPARKS_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "500", "10000"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers; keep Arrow batches small unless the session has chosen a size."""
+    package.ship(spark)
+    if spark.conf.get(_BATCH, _SPARKS_ROWS) == _SPARKS_ROWS:
+        spark.conf.set(_BATCH, _BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
@@ -107,7 +118,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `text` column holds about `most` bytes, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))

@@ -58,7 +58,7 @@ def _byte_letters() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file in the tokenizers library's JSON format."""
 
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, cached: int = 80_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]
