@@ -235,8 +235,8 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, salts: int = 64) ->
     # The root itself is a node of its component too.
     named = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     joined = distinct.join(named, distinct["fp"] == named["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = joined.select("fp", "salts", F.col("root")).join(smallest, "root").select(F.col("fp").alias("_fp"), F.explode("salts").alias("_salt"), "component_id")
+    whole = base.per_key_join(joined.select("fp", "salts", "root", "first"), ["root"], F.col("fp"), {"component_id": ("min", F.col("first"))})
+    table = whole.select(F.col("fp").alias("_fp"), F.explode("salts").alias("_salt"), "component_id")
     return salted.join(table, (salted["fp"] == table["_fp"]) & (salted["salt"] == table["_salt"])).select("doc_id", "fp", "component_id")
 
 
