@@ -74,3 +74,17 @@ def improved_bpm(detected: Column, named: Column) -> Column:
     close = [F.when(F.abs(detected * f - named) <= 20, detected * f) for f in (1.0, 2.0, 0.5, 1.5, 1 / 1.5)]
     inside = (detected >= 60) & (detected <= 200)
     return F.when(~inside | detected.isNull(), named).when(named.isNull(), detected).otherwise(F.coalesce(*close, detected))
+
+
+def key_from_name(stem: Column) -> Column:
+    """The key that a file name tells: a note with `min`/`maj` (or m/M), else a bare note between separators; sharps only."""
+    clean = F.regexp_replace(stem, "\\.[A-Za-z0-9]{1,5}$", "")
+    note = lambda pattern, flags="": F.regexp_extract(clean, f"{flags}(?:^|[ _-])([A-G][#b]?){pattern}(?:[ _-]|$)", 1)
+    minor, major, bare = note("[ _-]?(?:m|min|minor)"), note("[ _-]?(?:M|maj|major)"), note("")
+    spelt = lambda n: F.element_at(F.array(*map(F.lit, NAMES)), pitch_class(n) + 1)
+    return F.when(minor != "", F.concat(spelt(minor), F.lit("m"))).when(major != "", spelt(major)).when(bare != "", spelt(bare))
+
+
+def fused_key(detected: Column, named: Column) -> Column:
+    """A file name's key wins over a detected one."""
+    return F.coalesce(named, detected)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oreweave.functions import text
+from oreweave.functions import music, text
 from oreweave.operators import bytestrings as bs
 from oreweave.operators import fulltext
 from oreweave.operators import islands as isl
@@ -205,3 +205,63 @@ def x24_children(spark, sf):
     c = o.select(F.col("file").alias("f"), F.col("seq").alias("q"), F.col("offset").alias("p"), F.col("size").alias("z"))
     inside = (o["file"] == c["f"]) & (o["seq"] != c["q"]) & (c["p"] >= o["offset"]) & (c["p"] + c["z"] <= o["offset"] + o["size"]) & (c["z"] < o["size"])
     return o.join(c, inside, "left").groupBy("file", "seq").agg(F.count("q").alias("children"))
+
+
+_KEYED = "k AS (SELECT p_partkey, 'pad_' || (['C', 'Db', 'F#', 'A'])[p_partkey % 4 + 1] || (['m', '', 'maj', ' min', 'x'])[p_partkey % 5 + 1] || '_' || (p_partkey % 90 + 60) || '.wav' AS name, CASE WHEN p_partkey % 3 = 0 THEN 'G' END AS detected FROM part)"
+_NAMED = """CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE (['C', 'C#', 'F#', 'A'])[p_partkey % 4 + 1] || CASE WHEN p_partkey % 5 IN (0, 3) THEN 'm' ELSE '' END END"""
+
+
+def _keyed(spark, sf):
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    name = F.concat(F.lit("pad_"), pick(["C", "Db", "F#", "A"], 4), pick(["m", "", "maj", " min", "x"], 5), F.lit("_"), (k % 90 + 60).cast("string"), F.lit(".wav"))
+    return b.table(spark, sf, "part").select("p_partkey", name.alias("name"), F.when(k % 3 == 0, "G").alias("detected"))
+
+
+@query(f"SELECT p_partkey, {_NAMED} AS key FROM k", _KEYED)
+def f14_key_from_names(spark, sf):
+    return _keyed(spark, sf).select("p_partkey", music.key_from_name(F.col("name")).alias("key"))
+
+
+@query(f"SELECT p_partkey, coalesce({_NAMED}, detected) AS key FROM k", _KEYED)
+def f27_fused_key(spark, sf):
+    return _keyed(spark, sf).select("p_partkey", music.fused_key(F.col("detected"), music.key_from_name(F.col("name"))).alias("key"))
+
+
+@query(f"SELECT p_partkey, (p_partkey % 90 + 60)::DOUBLE AS bpm, coalesce({_NAMED}, detected) AS key FROM k", _KEYED)
+def x23_detected(spark, sf):
+    """Tempo and key of each name, fused with what was detected."""
+    return _keyed(spark, sf).select("p_partkey", music.bpm_from_name(F.col("name")).alias("bpm"), music.fused_key(F.col("detected"), music.key_from_name(F.col("name"))).alias("key"))
+
+
+@query("SELECT file, 0 AS part, substr(h, 9, 32) AS digits FROM files UNION ALL SELECT file, 1, substr(h, 41, 20) FROM files", BYTES)
+def k13_carve(spark, sf):
+    """Ranges cut out of each file: [4, 20) and [20, 30)."""
+    spans = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.lit(at).alias("at"), F.lit(n).alias("n")) for i, (at, n) in enumerate(((4, 16), (20, 10)))))).alias("s")
+    return files(spark, sf).select("file", "data", spans).select("file", "s.part", F.hex(F.expr("substring(data, s.at + 1, s.n)")).alias("digits"))
+
+
+@query("SELECT item_id, to_base64(encode(text)) AS b64, hex(encode(text)) AS hex FROM benchmark")
+def k14_encodings(spark, sf):
+    d = F.col("text").cast("binary")
+    return b.table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.base64(d), "\\s", "").alias("b64"), F.hex(d).alias("hex"))
+
+
+@query("SELECT file, substr(h, (n - 8)::INT * 2 + 1, 16) AS tail FROM files WHERE n >= 8", BYTES)
+def s13_scoped_read(spark, sf):
+    d = files(spark, sf).where(F.octet_length("data") >= 8)
+    return d.select("file", F.hex(F.expr("substring(data, octet_length(data) - 7, 8)")).alias("tail"))
+
+
+@query("SELECT s.path, coalesce(f.path IS NOT NULL, false) AS usable, s.bpm FROM (SELECT path, bpm FROM samples WHERE id IN (1, 5, 10, 700)) s LEFT JOIN (SELECT path FROM features WHERE version = 3) f USING (path)", b.SAMPLES, b.FEATURES)
+def x05_resolved_reference(spark, sf):
+    refs = b.samples(spark, sf).where(F.col("id").isin(1, 5, 10, 700)).select("path", "bpm")
+    current = b.features(spark, sf).where("version = 3").select("path", F.lit(True).alias("usable"))
+    return refs.join(current, "path", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
+@query("SELECT label, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS sd FROM (SELECT label, list_avg(embedding::DOUBLE[]) AS m FROM embeddings) GROUP BY label")
+def a13_feature_summary(spark, sf):
+    v = F.col("embedding").cast("array<double>")
+    mean = F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / F.size(v)
+    return b.table(spark, sf, "embeddings").select("label", mean.alias("m")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("sd"))

@@ -114,3 +114,21 @@ def test_range_specs_and_filters(spark):
     with pytest.raises(ValueError):
         catalogue.page(df, -1, F.col("path"))
     assert catalogue.page(df, 0, F.col("path")).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    from oreweave.sources import sinks
+
+    rows = sinks.union(spark.createDataFrame([(1, "a")], "x int, y string"), spark.createDataFrame([("b", 2.5)], "y string, z double"))
+    assert rows.columns == ["x", "y", "z"]
+    for kind in ("csv", "tsv", "json", "parquet"):
+        sinks.render(rows, str(tmp_path / kind), kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "json")).collect()) == ['{"x":1,"y":"a"}', '{"y":"b","z":2.5}']
+    with pytest.raises(ValueError):
+        sinks.render(rows, str(tmp_path / "q"), "nothing")
+    files = spark.createDataFrame([("/a/b c.bin", bytearray(b"0123456789"))], "path string, content binary")
+    regions = spark.createDataFrame([("/a/b c.bin", 2, 3, "wav"), ("/a/b c.bin", 8, 9, None)], "path string, offset long, length long, kind string")
+    assert sorted((r.name, bytes(r.data)) for r in sinks.carve(files, regions).collect()) == [("b_c_00000002.wav", b"234"), ("b_c_00000008.bin", b"89")]
+    tags = spark.createDataFrame([("b c.bin", [" x", ""])], "basename string, tags array<string>")
+    assert [(r.path, r.tag) for r in sinks.imported_tags(files, tags).collect()] == [("/a/b c.bin", "x")]
