@@ -4,7 +4,7 @@ Every window of `width` bytes that also starts in a document with a smaller id i
 ordered through `width` bytes only, and few of them: of each window's `width - digit + 1` substrings of `digit`
 bytes, the one with the smallest hash (leftmost of equals) is its anchor. The anchor depends on the window's
 bytes alone, so equal windows have equal anchors at equal offsets, and suffixes are sorted from the anchors, one
-for about every sixteen bytes.
+for about every fourteen bytes.
 
 Pass 1 orders anchors by their first digit (a hash of the anchor's bytes) and within it by the second (a hash of
 all bytes of the anchor's windows). A first digit that one document has alone ends there. Of equal first and second
@@ -50,7 +50,7 @@ class Powers:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), BLOCK * 2)
+            size = max(n + n // 4, BLOCK + BLOCK // 4)
             self.up, self.down = (np.multiply.accumulate(np.concatenate([[U(1)], np.full(size - 1, m, dtype=U)])) for m in (self.multiplier, self.inverse))
 
 
@@ -281,7 +281,7 @@ def spans(places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return start[heads], reach[np.append(heads[1:], len(start)) - 1] if len(start) else end
 
 
-def repeated(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
+def repeated(docs: DataFrame, width: int = 50, digit: int = 24) -> DataFrame:
     """The columns of docs and `places`: the windows (packed) that also start in a document with a smaller doc_id."""
     docs = docs.drop("places", "doc", "deeper")
     found = base.cut(settle(first_pass(docs, width, digit), deepen=True))
@@ -293,7 +293,7 @@ def _own(places: np.ndarray, raw: bytes) -> np.ndarray:
     return places[(places >> _TAG) == text_tag(raw)] if len(places) else places
 
 
-def report(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
+def report(docs: DataFrame, width: int = 50, digit: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def report(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
     return repeated(docs.select("doc_id", "text"), width, digit).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, width: int = 50, digit: int = 20) -> DataFrame:
+def remove(docs: DataFrame, width: int = 50, digit: int = 24) -> DataFrame:
     """docs with the repeated bytes taken out of `text`; a character goes if all of its bytes go. n_chars follows, if there is one."""
     plain = ("doc_id", "text", "n_chars")
     rows = base.wrap(docs, *plain)
