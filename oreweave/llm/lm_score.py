@@ -1,17 +1,16 @@
 """Log-probabilities of texts under a weighted backoff automaton of smoothed word n-grams.
 
-States are the root and one for each history (a frequent word, or the start of a text); arcs are the n-grams, with
+States are the root and one for each history (a word, or the start of a text); arcs are the n-grams, with
 absolute discounts of their counts interpolated with the state below; a state without an arc for a token fails to
 the root, at the weight that its discounts have set free. One left-to-right traversal of a text carries the state
 and adds up logarithms.
 
 The automaton grows with the corpus, so it is never in one place. Documents are dealt to blocks of about
-`block_bytes`, by a hash of their id. Each block counts its words, and then its n-grams; counts are shuffled by word
-or n-gram and summed up, and every block gets back the arcs that its texts can meet: its own part of the automaton,
-on which it scores its texts. What is moved are distinct words and n-grams of blocks, so a frequent one has one row a
-block. Histories and successors of n-grams are words with at least 2^-20 of all training tokens. By that share there
-are at most 2^20 of them in a corpus of any size, so they (and what their arcs leave free) are sent to every executor;
-their arcs and the root's arcs, one for each word of the training texts, have no such bound and are not.
+`block_bytes`, by a hash of their id. Each block counts its words and its n-grams; counts are shuffled by word or
+n-gram and summed up, and every block gets back the arcs and states that its texts can meet: its own part of the
+automaton, on which it scores its texts. What is moved are distinct words and n-grams of blocks, so a frequent one has
+one row a block. Every word of the training texts is a history and a successor; nothing that grows with their number
+is sent to the driver or to all executors. A block numbers its own words.
 
 Smoothing: a root arc has (c + 0.1) / (N + 0.1 (V + 1)), the last one for unknown tokens. Arcs of a history h need a
 count of 2 and have (c - D(c)) / c(h) + free(h) root(w), where D(2) and D(3 and more) follow from the numbers of
@@ -38,9 +37,8 @@ from oreweave.llm import base
 
 START, END = -1, 1
 SMOOTH = 0.1
-#: Words of at least 2^-FREQUENT of all training tokens take part in n-grams.
-FREQUENT = 20
-ROWS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
+#: Bits of a token's number in the key of an n-gram: by default, and in blocks, where any number of words fits.
+BITS, WIDE = 21, 32
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,23 +80,31 @@ def dealt(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
     return docs.withColumns({"held_out": base.crc_bucket("doc_id", modulus) == 0, "block": block})
 
 
-def count_blocks(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """key, block, n: the block's distinct words (or n-grams of the vocabulary) and their counts in training texts, 0 included."""
+def counted_grams(state: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted by state and token, and their summed weights."""
+    if not len(state):
+        return state, token, weight
+    order = np.lexsort((token, state))
+    s, t = state[order], token[order]
+    heads = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
+    return s[heads], t[heads], np.add.reduceat(weight[order], heads)
+
+
+def count_blocks(docs: DataFrame, pairs: bool = False) -> DataFrame:
+    """(state,) key, block, n: the block's distinct words (or n-grams) and their counts in training texts, 0 included."""
+    names = ["state", "key", "block", "n"] if pairs else ["key", "block", "n"]
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = key[0].as_py()
         part = pa.Table.from_batches(list(batches))
-        keys, sizes = tokens_of(part["text"].to_pylist())
+        tokens, sizes = tokens_of(part["text"].to_pylist())
         train = np.repeat(~part["held_out"].to_numpy(), sizes).astype(np.int64)
-        if vocabulary is not None:
-            keys, some = grams(vocabulary, keys, sizes)
-            keys, train = keys[some], train[some]
-        keys, n = counted(keys, train)
+        *keys, n = counted_grams(histories(tokens, sizes), tokens, train) if pairs else counted(tokens, train)
         for i in range(0, len(n), 1 << 17):
             s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(np.full(len(n[s]), block)), pa.array(n[s])], schema=ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[s] for k in keys), np.full(len(n[s]), block), n[s])], names)
 
-    return docs.groupBy("block").applyInArrow(run, "key long, block long, n long")
+    return docs.groupBy("block").applyInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def numbers(vocabulary: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -107,45 +113,51 @@ def numbers(vocabulary: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == tokens, at, -1)
 
 
-def grams(vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram key that ends at each token, and whether both its words are in the vocabulary."""
     token, state = numbers(vocabulary, tokens), numbers(vocabulary, histories(tokens, sizes))
-    return state << (FREQUENT + 1) | token, (token >= 0) & (state >= 0)
+    return state << bits | token, (token >= 0) & (state >= 0)
 
 
 def summed(counts: DataFrame, least: int) -> DataFrame:
-    """key, block, n (over all blocks), first: for each block the keys of at least `least` in all, first in one of the blocks.
+    """The keys, block, n (over all blocks), first: for each block the keys of at least `least` in all, first in one of the blocks.
 
     Rows of block -1 tell how many keys were seen `key` times (1 to 4).
     """
+    keys = [c for c in counts.columns if c not in ("block", "n")]
+    names = [*keys, "block", "n", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(5, dtype=np.int64)
-        names = ["key", "block", "n", "first"]
 
-        def total(key: np.ndarray, block: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        def changes(part: list[np.ndarray]) -> np.ndarray:
+            """Where a row's key is not the one before it."""
+            return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in part[: len(keys)]])) + 1
+
+        def total(part: list[np.ndarray], heads: np.ndarray) -> pa.RecordBatch:
+            n = part[-1]
             sums = np.add.reduceat(n, heads)
             seen[:] += np.bincount(sums[sums <= 4], minlength=5)
             sizes = np.diff(np.append(heads, len(n)))
             keep = np.repeat(sums >= least, sizes)
             first = np.zeros(len(n), dtype=bool)
             first[heads] = True
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (key[keep], block[keep], np.repeat(sums, sizes)[keep], first[keep])], names)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[keep] for k in part[:-1]), np.repeat(sums, sizes)[keep], first[keep])], names)
 
-        kept = [np.empty(0, dtype=np.int64)] * 3
+        kept = [np.empty(0, dtype=np.int64)] * (len(keys) + 2)
         for batch in batches:
             part = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(kept)]
             # The last key may go on: it has one row a block at most.
-            end = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+            heads = changes(part)
+            end = int(heads[-1]) if len(heads) else 0
             if end:
-                yield total(*(a[:end] for a in part))
+                yield total([a[:end] for a in part], np.append(0, heads[:-1]))
             kept = [a[end:] for a in part]
         if len(kept[0]):
-            yield total(*kept)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, 5)), pa.array(np.full(4, -1)), pa.array(seen[1:]), pa.array(np.zeros(4, bool))], names)
+            yield total(kept, np.zeros(1, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, 5))] * len(keys) + [pa.array(np.full(4, -1)), pa.array(seen[1:]), pa.array(np.zeros(4, bool))], names)
 
-    return counts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, block long, n long, first boolean")
+    return counts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", first boolean")
 
 
 class Smoothing:
@@ -168,7 +180,7 @@ class Smoothing:
 
 
 class States:
-    """What every executor knows: the frequent words, as histories, and what their arcs leave free."""
+    """Words as histories, and what their arcs leave free."""
 
     def __init__(self, vocabulary: np.ndarray, times: np.ndarray, smoothing: Smoothing):
         self.vocabulary, self.times, self.smoothing = vocabulary, times.astype(float), smoothing
@@ -176,19 +188,21 @@ class States:
         self.free = np.ones(len(vocabulary) + 1)
 
     def spend(self, state: np.ndarray, spent: np.ndarray) -> None:
-        self.free[state] = 1 - spent / self.times[state]
+        # Histories of held-out texts alone have no count and no arcs.
+        some = self.times[state] > 0
+        self.free[state[some]] = 1 - spent[some] / self.times[state[some]]
 
 
 class Automaton:
     """The part of the automaton that a block can meet: words (hashes) with counts, n-gram keys with counts."""
 
-    def __init__(self, states: States, words: np.ndarray, count: np.ndarray, keys: np.ndarray, n: np.ndarray):
-        self.states, order = states, np.argsort(words)
+    def __init__(self, states: States, words: np.ndarray, count: np.ndarray, keys: np.ndarray, n: np.ndarray, bits: int = BITS):
+        self.states, self.bits, order = states, bits, np.argsort(words)
         self.words = words[order]
         self.root = states.smoothing.root(np.append(count[order], 0).astype(float))
         order = np.argsort(keys)
         self.arcs = keys[order]
-        self.weight = states.smoothing.left(n[order].astype(float)) / states.times[self.arcs >> (FREQUENT + 1)]
+        self.weight = states.smoothing.left(n[order].astype(float)) / states.times[self.arcs >> bits]
 
     def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text: known tokens, base score, score."""
@@ -198,7 +212,7 @@ class Automaton:
         # The failure arc's weight applies either way: arcs are interpolated with the root.
         p = self.states.free[numbers(vocabulary, histories(tokens, sizes))] * low
         if len(self.arcs):
-            key, some = grams(vocabulary, tokens, sizes)
+            key, some = grams(vocabulary, tokens, sizes, self.bits)
             at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
             p += np.where(some & (self.arcs[at] == key), self.weight[at], 0.0)
         heads = np.cumsum(sizes) - sizes
@@ -214,29 +228,31 @@ def score(docs: DataFrame, modulus: int = 10, block_bytes: int = 8 << 20) -> Dat
     roots = base.cut(summed(count_blocks(docs), 1)).where("block >= 0")
     n, v = roots.where("first").agg(F.sum("n"), F.count("*")).first()
     n, v = n or 0, v or 0
-    # At most 2^FREQUENT rows: each has that share of all tokens. The start of a text is seen as often as its end.
-    frequent = roots.where(F.col("first") & (F.col("n") * (1 << FREQUENT) >= n)).select("key", "n").toArrow()
-    words, times = frequent["key"].to_numpy(), frequent["n"].to_numpy()
-    words, times = np.append(words, START), np.append(times, times[words == END].sum())
-    order = np.argsort(words)
-    words, times = words[order], times[order]
-    found = base.cut(summed(count_blocks(docs, words), 2))
+    found = base.cut(summed(count_blocks(docs, pairs=True), 2))
     seen = {r["key"]: r["n"] for r in found.where("block = -1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     arcs = found.where("block >= 0")
     smoothing = Smoothing(n, v, seen)
-    states = States(words, times, smoothing)
     left = F.col("n") - F.when(F.col("n") == 2, smoothing.two).otherwise(smoothing.more)
-    # At most one row for each of the frequent words.
-    spent = arcs.where("first").groupBy(F.shiftright("key", FREQUENT + 1).alias("state")).agg(F.sum(left).alias("spent")).toArrow()
-    states.spend(spent["state"].to_numpy(), spent["spent"].to_numpy())
-    part = roots.select("block", "key", "n", F.lit(True).alias("root")).unionByName(arcs.select("block", "key", "n", F.lit(False).alias("root")))
-    known = docs.sparkSession.sparkContext.broadcast(states)
+    spent = base.cut(arcs.where("first").groupBy("state").agg(F.sum(left).alias("spent")))
+    # The start of a text is no word. It is seen as often as a text's end.
+    start = (spent.where(F.col("state") == START).first() or {"spent": 0.0})["spent"]
+    ends = (roots.where((F.col("key") == END) & F.col("first")).first() or {"n": 0})["n"]
+    states = roots.join(spent, roots["key"] == spent["state"], "left").select("block", F.lit(None).cast("long").alias("state"), "key", "n", F.coalesce("spent", F.lit(0.0)).alias("spent"))
+    part = states.unionByName(arcs.select("block", "state", "key", "n", F.lit(0.0).alias("spent")))
 
     def run(key: tuple, texts: pa.Table, model: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return out.empty_table()
-        keys, count, root = (model[c].to_numpy() for c in ("key", "n", "root"))
-        automaton = Automaton(known.value, keys[root], count[root], keys[~root], count[~root])
+        root = model["state"].is_null().to_numpy()
+        token, count, taken = (model[c].to_numpy() for c in ("key", "n", "spent"))
+        history = model["state"].fill_null(0).to_numpy()[~root]
+        words = np.append(token[root], START)
+        order = np.argsort(words)
+        words = words[order]
+        known = States(words, np.append(count[root], ends)[order], smoothing)
+        known.spend(np.arange(len(words)), np.append(taken[root], start)[order])
+        keys = numbers(words, history) << WIDE | numbers(words, token[~root])
+        automaton = Automaton(known, token[root], count[root], keys, count[~root], WIDE)
         tokens, sizes = tokens_of(texts["text"].to_pylist())
         some, low, high = automaton.traverse(tokens, sizes)
         return pa.table([texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(some), pa.array(np.full(len(sizes), n)), pa.array(low), pa.array(high)], schema=out)

@@ -86,6 +86,19 @@ def test_lm_score_matches_brute_force(docs, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_rare_words_have_arcs(spark):
+    """n-grams of words seen twice count in a corpus of any number of tokens."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10][:3]
+    data = spark.createDataFrame([(ids[0], "a " * 2_200_000), (ids[1], "x y"), (ids[2], "x y")], "doc_id long, text string")
+    n, s = 2_200_007, lm_score.Smoothing(2_200_007, 4, {1: 2, 2: 3})
+    root = lambda c: (c + 0.1) / (n + 0.1 * 5)
+    left = 2 - s.two
+    steps = [(1 - left / 3, root(2), left / 3), (1 - left / 2, root(2), left / 2), (1 - left / 2, root(3), left / 2)]
+    want = sum(math.log10(free * low + arc) for free, low, arc in steps)
+    got = {r.doc_id: r.score for r in lm_score.score(data).collect()}
+    assert got[ids[1]] == got[ids[2]] == pytest.approx(want)
+
+
 def test_lm_states_are_distributions():
     import numpy as np
 
