@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oreweave.llm import base, bpe, mixing, quality_rules, simhash, suffix_dedup
+from oreweave.llm import base, bpe, mixing, quality_rules, shingles, suffix_dedup
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one of the smallest id."""
+    """One document of each group of near copies (0.8 of their five-word shingles) stays: the one of the smallest id."""
     base.ship(spark)
-    return simhash.deduplicate(docs)
+    return shingles.deduplicate(docs)
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ doc_id are fingerprinted, but never name a component unless all of its rows have
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -227,11 +227,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def groups(docs: DataFrame, words: int = 3, radius: int = 2, salts: int = 64) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id of the documents reachable over links."""
-    prints = base.cut(fingerprints(docs, words))
+    return joined_up(base.cut(fingerprints(docs, words)), lambda distinct: links(distinct, radius), salts)
+
+
+def joined_up(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame], salts: int = 64) -> DataFrame:
+    """prints (doc_id, fp) with component_id, by the links (a, b) between distinct fp."""
     salted = prints.withColumn("salt", base.salt_of(F.col("doc_id"), salts=salts))
     distinct = salted.groupBy("fp", "salt").agg(F.min("doc_id").alias("first")).groupBy("fp").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
     distinct = base.cut(distinct)
-    linked = components(links(distinct, radius))
+    linked = components(links_of(distinct))
     # The root itself is a node of its component too.
     named = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     joined = distinct.join(named, distinct["fp"] == named["node"], "left").withColumn("root", F.coalesce("root", "fp"))
@@ -242,14 +246,3 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, salts: int = 64) ->
 
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that name their component; of rows with the same doc_id and text, one stays.
-
-    Rows without a doc_id stay only in components of nothing else.
-    """
-    named = groups(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = base.wrap(docs, "doc_id", "text")
-    kept = rows.join(named, rows["doc_id"].eqNullSafe(named["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return base.unwrap(kept, docs.columns, "doc_id", "text")

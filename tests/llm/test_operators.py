@@ -381,6 +381,42 @@ def test_fingerprints_are_homomorphic(spark):
     assert lanes.select(fingerprint.as_text("x") if False else fingerprint.as_text(F.col("x")).alias("v")).first().v != swapped.select(fingerprint.as_text(F.col("y")).alias("v")).first().v
 
 
+def test_near_duplicate_stage_matches_brute_force(spark, docs):
+    """Kept ids by all pairs of shingle sets, with planted near copies and a passage that many texts share."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abdeghinorst") for _ in range(r.randint(2, 8)))
+    passage, data = [word() for _ in range(40)], []
+    for i in range(60):
+        body = [word() for _ in range(r.randint(30, 200))] + passage
+        data.append((10_000 + 10 * i, " ".join(body)))
+        for k in range(1, r.randint(1, 5)):
+            near = list(body)
+            for _ in range(k):
+                near[r.randrange(len(near))] = word()
+            data.append((10_000 + 10 * i + k, " ".join(near).upper()))
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(data, "doc_id long, text string"))
+
+    def cut(text):
+        w = WORD.findall(lower(text))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    found = [(x.doc_id, cut(x.text)) for x in table.collect()]
+    group = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            a, b = found[i][1], found[j][1]
+            if group[i] != group[j] and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (d, _), g in zip(found, group, strict=True):
+        least[g] = min(x for x in (d, least.get(g)) if x is not None) if (d, least.get(g)) != (None, None) else None
+    want = {d for (d, _), g in zip(found, group, strict=True) if d == least[g]}
+    got = corpus_pipeline.near_duplicates(spark, table, "").collect()
+    assert {x.doc_id for x in got} == want
+    assert 60 < len({d for d in want if d and d >= 10_000}) < len(data)
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     """Every stage on awkward rows, and the whole run against the operators' brute-force rules."""
     columns = docs.columns
