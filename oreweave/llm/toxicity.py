@@ -2,25 +2,27 @@
 
 Examples are at most `examples` labelled documents, half of each class as far as there are (documented bound,
 those with the smallest hashes); everything that is sent to executors is bounded by them. The space is that of
-the examples' terms whose presence depends on the label (chi-square of one degree of freedom of at least
-`least_chi2`, in three examples or more). Their document frequencies are counted over all documents; weights are
+all terms of the examples: words in lower case, less the ASCII punctuation around them (words of nothing else stay as
+they are). Their document frequencies are counted over all documents; weights are
 (1 + log tf) log((1 + n) / (1 + df)), vectors have length one.
 
 Examples of like vocabulary stand side by side in blocks. For each term and block the index has the largest
 weight, so the sum over a text's terms bounds every cosine in the block. The blocks of the highest bounds are
 searched first, then only those whose bound exceeds the k-th best cosine so far: neighbours are exact. Their
 votes, weighted by squared cosine, are turned into probabilities by a logistic curve of the vote and of how many
-telling terms the text has, fitted to the votes that examples get from the other examples, with classes weighted as
+telling terms the text has (terms whose presence depends on the label: chi-square of one degree of freedom of at least
+`least_chi2`, in three examples or more; they bear on the curve alone, not on the neighbours), fitted to the votes that examples get from the other examples, with classes weighted as
 in all labels. The neighbours are the evidence.
 
-Defined cases: a null text is empty; texts without a telling term get the weighted share of label 1 among examples
-without one, and no evidence; ties of cosines go to the example with the smaller doc_id; repeated label rows
+Defined cases: a null text is empty; texts without a term of another example get the weighted share of label 1 among
+examples without one, and no evidence; ties of cosines go to the example with the smaller doc_id; repeated label rows
 give repeated examples; without examples of both classes every score is the share of label 1 (0.5 without
 labels); no rows give no rows.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,16 @@ from pyspark.sql import functions as F
 from oreweave.llm import base
 
 BLOCK = 64
+PUNCTUATION = string.punctuation.encode()
+
+
+def words_of(text: str) -> list[bytes]:
+    return [w.strip(PUNCTUATION) or w for w in text.encode().lower().split()]
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct term hashes (64 bits) and their counts."""
-    words = text.encode().lower().split()
+    words = words_of(text)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
     return np.unique(hashes, return_counts=True)
 
@@ -50,8 +57,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Examples as postings by term and block."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], vocabulary: np.ndarray, df: np.ndarray, n: int, prior: float, k: int = 24):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], vocabulary: np.ndarray, df: np.ndarray, n: int, prior: float, k: int = 24, telling: np.ndarray | None = None):
         self.vocabulary, self.prior, self.k = vocabulary, prior, k
+        self.telling = np.ones(len(vocabulary), bool) if telling is None else np.isin(vocabulary, telling)
         self.idf = np.log((1.0 + n) / (1.0 + df))
         order = self._side_by_side(ids, terms, counts)
         self.ids, self.labels = ids[order], labels[order].astype(float)
@@ -95,8 +103,9 @@ class Index:
         return (at, weight / length) if length > 0 else (at[:0], weight[:0])
 
     def mass(self, terms: np.ndarray, counts: np.ndarray) -> float:
-        """How much of the space a text holds: the logarithm of its vector's length before scaling."""
-        at, weight = self.vector(terms, np.ones_like(counts))
+        """How much of the telling terms a text holds: the logarithm of their vector's length before scaling."""
+        at, _ = self.vector(terms, np.ones_like(counts))
+        at = at[self.telling[at]]
         return float(np.log1p(np.sqrt((self.idf[at] ** 2).sum()))) if len(at) else 0.0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +207,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
         for batch in base.text_chunks(batches):
             for text in base.texts_of(batch):
                 n += 1
-                words = set(text.encode().lower().split())
+                words = set(words_of(text))
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
                 at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                 df[at[vocabulary[at] == hashes]] += 1
@@ -233,9 +242,9 @@ def build(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     rows = _examples(docs, known, sizes, examples, seed).toArrow().sort_by("doc_id")
     terms, counts = ([x.values.to_numpy(zero_copy_only=False) for x in rows[c]] for c in ("terms", "counts"))
     own = rows["label"].to_numpy().astype(np.int64)
-    vocabulary = telling_terms(terms, own, least_chi2)
+    vocabulary = np.unique(np.concatenate(terms)) if terms else np.empty(0, np.int64)
     df, n = frequencies(docs, vocabulary) if len(vocabulary) else (vocabulary, 0)
-    return Index(rows["doc_id"].to_numpy(), own, terms, counts, vocabulary, df, n, prior)
+    return Index(rows["doc_id"].to_numpy(), own, terms, counts, vocabulary, df, n, prior, telling=telling_terms(terms, own, least_chi2))
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, threshold: float = 0.7, label: str = "toxic", shown: int = 5) -> DataFrame:

@@ -271,6 +271,32 @@ def test_classifiers_on_held_out_rows(spark, which):
     assert run(docs, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def test_toxic_evidence_is_over_all_terms(spark):
+    """Evidence against cosines over all words of all texts, and a telling word that only four examples have."""
+    import numpy as np
+
+    docs, labels = labelled(spark, 300)
+    bucket = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    train, held = [i for i in range(1000, 1100) if not bucket(i)][:4], next(i for i in range(1000, 1100) if bucket(i))
+    more = [(i, f"zorch### q{i} r{i}", "en", "s", "") for i in train] + [(held, "some zorch!!", "en", "s", "")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in more], "doc_id long, text string"))
+    labels = labels.unionByName(spark.createDataFrame([(i, 0, 1) for i in train], labels.schema))
+    words = [(r.doc_id, Counter(w.strip("!#") or w for w in WORD.findall(lower(r.text)))) for r in docs.collect()]
+    df = Counter(w for _, c in words for w in c)
+    weigh = lambda c: {w: (1 + math.log(k)) * math.log((1 + len(words)) / (1 + df[w])) for w, k in c.items()}
+    marked = {r.doc_id for r in labels.collect() if r.toxic is not None and r.doc_id is not None and not bucket(r.doc_id)}
+    examples = [(i, weigh(c)) for i, c in words if i in marked]
+    inside = {w for _, v in examples for w in v}
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    for i, c in [x for x in words if x[0] is not None and bucket(x[0])][-20:]:
+        q = {w: x for w, x in weigh(c).items() if w in inside}
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1
+        want = sorted((sum(x * v.get(w, 0) for w, x in q.items()) / norm(q) / norm(v) for _, v in examples), reverse=True)
+        found = [e.cosine for e in got[i].evidence]
+        assert np.allclose(found, want[: len(found)]) and len(found) == min(5, sum(x > 0 for x in want))
+    assert {e.doc_id for e in got[held].evidence} >= set(train)
+
+
 def test_block_max_search_is_exact():
     import numpy as np
 
