@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, format string, seq int, id string, offset long, size long, summary string, fields array<struct<name: string, value: string, off: int, len: int>>, warnings array<string>"
-MOST_CHUNKS = 100_000
+#: Chunk rows in an Arrow batch.
+BATCH = 10_000
 
 WALKERS: dict[str, Callable[[bytes], Iterator[dict]]] = {}
 
@@ -298,18 +300,19 @@ def generic(data: bytes) -> Iterator[dict]:
     yield from found
 
 
-def walk(data: bytes, kind: str | None) -> list[dict]:
-    """All chunks, numbered; a walker that fails leaves what it found and a warning."""
-    out = []
+def walked(data: bytes, kind: str | None) -> Iterator[dict]:
+    """All chunks, numbered, one at a time; a walker that fails leaves what it found and a warning."""
+    seq = 0
     try:
         for c in WALKERS.get(kind, generic)(data):
-            out.append(c | {"seq": len(out)})
-            if len(out) >= MOST_CHUNKS:
-                out[-1]["warnings"].append(f"only the first {MOST_CHUNKS} chunks are listed")
-                break
+            yield c | {"seq": seq}
+            seq += 1
     except (struct.error, IndexError, ValueError) as e:
-        out.append(chunk("error", 0, 0, "", warnings=[f"walker stopped: {e}"]) | {"seq": len(out)})
-    return out
+        yield chunk("error", 0, 0, "", warnings=[f"walker stopped: {e}"]) | {"seq": seq}
+
+
+def walk(data: bytes, kind: str | None) -> list[dict]:
+    return list(walked(data, kind))
 
 
 def chunks(files: DataFrame) -> DataFrame:
@@ -319,9 +322,9 @@ def chunks(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                rows = [{"path": path.as_py(), "format": kind.as_py(), **c} for c in walk(data.as_py() or b"", kind.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                rows = ({"path": path.as_py(), "format": kind.as_py(), **c} for c in walked(data.as_py() or b"", kind.as_py()))
+                while part := list(islice(rows, BATCH)):
+                    yield pa.RecordBatch.from_pylist(part, schema=kinds)
 
     return files.select("path", "format", "content").mapInArrow(run, SCHEMA)
 

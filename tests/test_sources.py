@@ -85,6 +85,15 @@ def test_mutated_files_never_crash(kind):
                 assert c["offset"] >= 0 and c["seq"] >= 0
 
 
+def test_all_chunks_of_a_long_file(spark):
+    data = riff((b"fmt ", FMT), *[(b"odd ", b"ab")] * 100_100)
+    n = len(walkers.walk(data, "wav"))
+    assert n > 100_100
+    found = walkers.chunks(spark.createDataFrame([("a.wav", "wav", data)], "path string, format string, content binary"))
+    assert [r.seq for r in found.select("seq").orderBy("seq").collect()] == list(range(n))
+    assert found.where("size(warnings) > 0").count() == 0
+
+
 def test_scan_sniff_and_walk(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, data in SAMPLES.items():
