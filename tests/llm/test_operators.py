@@ -459,3 +459,63 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
     assert out and all(r.ids == library.encode(r.decoded, add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in out)
     kept = {r.doc_id for r in quality_rules.report(docs).where("kept").collect()}
     assert {r.doc_id for r in out} <= kept
+
+
+def test_pipeline_rows_match_brute_force(spark, docs, tmp_path):
+    """All rows of the run, stage by stage in plain Python from the rows that the rules keep."""
+    r, data = random.Random(8), {}
+    for d in docs.select("doc_id", "text", "lang", "source", "n_chars").collect():
+        if d.doc_id is not None:
+            data.setdefault(d.doc_id, d)
+    data = list(data.values())
+    for d in data[:60]:
+        w = (d.text or "").split(" ")
+        if len(w) > 8:
+            w[r.randrange(len(w))] = "changed"
+            data.append(d.__class__(**{**d.asDict(), "doc_id": 20_000 + d.doc_id, "text": " ".join(w)}))
+    table = spark.createDataFrame([tuple(d) for d in data], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {d.doc_id: d for d in quality_rules.filter_documents(table).collect()}
+
+    def cut(text):
+        w = WORD.findall(lower(text))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    ids = sorted(rows)
+    group, sets = {i: i for i in ids}, {i: cut(rows[i].text) for i in ids}
+    for i in ids:
+        for j in ids:
+            if j < i and group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    kept = [i for i in ids if group[i] == i]
+    assert 10 < len(kept) < len(ids) < len(data)
+    least, texts = {}, {}
+    for i in kept:
+        raw = (rows[i].text or "").encode()
+        gone = bytearray(len(raw))
+        for at in range(len(raw) - 49):
+            if least.setdefault(raw[at : at + 50], i) < i:
+                gone[at : at + 50] = b"\1" * 50
+        at, left = 0, []
+        for c in rows[i].text or "":
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                left.append(c)
+            at += n
+        texts[i] = "".join(left)
+    sources = Counter(rows[i].source for i in kept)
+    library, want = Tokenizer.from_file(TOKENIZER), []
+    for i in kept:
+        rate = len(kept) / (len(sources) * sources[rows[i].source])
+        u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        copies, p = 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            copies += 1
+            p *= rate / copies
+            total += p
+        code = library.encode(texts[i], add_special_tokens=False).ids
+        want += [(i, rows[i].lang or "", rows[i].source or "", len(texts[i]), len(code), code, texts[i])] * copies
+    got = [(x.doc_id, x.lang or "", x.source or "", x.n_chars, x.n_tokens, list(x.ids), x.decoded) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
