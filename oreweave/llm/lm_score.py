@@ -1,21 +1,23 @@
 """Log-probabilities of texts under a weighted backoff automaton of smoothed word n-grams.
 
-States are the root and one for each history (a word, or the start of a text); arcs are the n-grams, with
-absolute discounts of their counts interpolated with the state below; a state without an arc for a token fails to
-the root, at the weight that its discounts have set free. One left-to-right traversal of a text carries the state
-and adds up logarithms.
-
-The automaton grows with the corpus, so it is never in one place. Documents are dealt to blocks of about
-`block_bytes`, by a hash of their id. Each block counts its words and its n-grams; counts are shuffled by word or
-n-gram and summed up, and every block gets back the arcs and states that its texts can meet: its own part of the
-automaton, on which it scores its texts. What is moved are distinct words and n-grams of blocks, so a frequent one has
-one row a block. Every word of the training texts is a history and a successor; nothing that grows with their number
-is sent to the driver or to all executors. A block numbers its own words.
-
-Smoothing: a root arc has (c + 0.1) / (N + 0.1 (V + 1)), the last one for unknown tokens. Arcs of a history h need a
-count of 2 and have (c - D(c)) / c(h) + free(h) root(w), where D(2) and D(3 and more) follow from the numbers of
-n-grams seen once to four times, and free(h) is what the arcs leave. Each state's probabilities sum up to 1.
-Words are keyed by 64-bit hashes.
+States are the root and the histories (the start of a text, a word, two words, ... up to `order` - 1) that training
+texts hold twice or more. The arcs of a state are the n-grams seen from it; each leads to the longest suffix that is
+a state. A state without an arc for a token takes its failure arc, at that arc's weight, to the state of its history
+less the first word. Texts are traversed from left to right: a state is carried, and logarithms are added up.
+
+The automaton grows with the corpus, so it is never in one place. Texts are gathered to blocks of about `block_bytes`.
+Order by order, each block sends its distinct n-grams (64-bit keys, sorted, as differences) to the parts that
+own ranges of the keys; a part sums up what all blocks have sent, and sends the totals back in the order in which the
+keys came, so no key travels twice. With them a block knows all states and arcs that its texts can meet: its own part
+of the automaton, on which it scores its texts. N-grams are sent on only where their history is a state. No n-gram of
+a state is left out, however rare its words are, and nothing that grows with the corpus is sent to the driver or to
+all executors. A hot n-gram has one key a block, and keys are hashes, so blocks and parts are even.
+
+Smoothing: a root arc has (c + 0.1) / (N + 0.1 (V + 1)), the last one for unknown tokens. An arc of history h has
+(1 - f) c(hw) / c(h) + f p(w | h less its first word), and h's failure arc has f, which depends on c(h) alone:
+for all histories seen about as often it is the share of their tokens that follow them once only (the Good-Turing
+estimate of what is yet unseen). So each state's probabilities sum up to 1. Histories seen once would have f = 1 by
+that estimate, which is why they are no states.
 
 Defined cases: a null text is empty and scores the end token alone; a null doc_id counts as the empty string in
 the split between training and held-out rows; repeated rows are each counted and scored; without training
@@ -30,15 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreweave.llm import base
 
+U = np.uint64
 START, END = -1, 1
 SMOOTH = 0.1
-#: Bits of a token's number in the key of an n-gram: by default, and in blocks, where any number of words fits.
-BITS, WIDE = 21, 32
+#: A history is a state if training texts hold it so often.
+LEAST = 2
+BUCKETS = 96
+#: Tokens that a lane of the traversal has at most.
+LANE = 512
+#: Of a block that is none: rows for all blocks together.
+ALL = -1
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +55,7 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = [t.encode().lower().split() for t in texts]  # bytes: A-Z and white space 9 to 13 and 32 only
     sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    flat = np.fromiter((h for w in words for h in map(digest, w)), dtype=np.uint64, count=int(sizes.sum()) - len(words)).view(np.int64)
+    flat = np.fromiter((h for w in words for h in map(digest, w)), dtype=U, count=int(sizes.sum()) - len(words)).view(np.int64)
     out = np.full(int(sizes.sum()), END, dtype=np.int64)
     inner = np.ones(len(out), dtype=bool)
     inner[np.cumsum(sizes) - 1] = False
@@ -54,208 +63,356 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.cumsum(sizes) - sizes] = START
-    return out
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
 
 
-def counted(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and their summed weights."""
-    if not len(key):
-        return key, weight
-    order = np.argsort(key)
-    k, w = key[order], weight[order]
-    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[heads], np.add.reduceat(w, heads)
+def longer(history: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Keys of histories followed by tokens, both given by their keys."""
+    return mixed(history * U(0x9E3779B97F4A7C15) + token)
 
 
-def dealt(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
-    """doc_id, text, held_out, block."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(blocks))
-    return docs.withColumns({"held_out": base.crc_bucket("doc_id", modulus) == 0, "block": block})
+def pack(x: np.ndarray) -> bytes:
+    """Non-negative integers, lowest bytes of all first; as many bytes each as the largest needs."""
+    x = np.ascontiguousarray(x, dtype=U)
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def counted_grams(state: np.ndarray, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams, sorted by state and token, and their summed weights."""
-    if not len(state):
-        return state, token, weight
-    order = np.lexsort((token, state))
-    s, t = state[order], token[order]
-    heads = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]))
-    return s[heads], t[heads], np.add.reduceat(weight[order], heads)
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], n).T
+    return out.reshape(-1).view(U)
 
 
-def count_blocks(docs: DataFrame, pairs: bool = False) -> DataFrame:
-    """(state,) key, block, n: the block's distinct words (or n-grams) and their counts in training texts, 0 included."""
-    names = ["state", "key", "block", "n"] if pairs else ["key", "block", "n"]
+def bucket_of(count: np.ndarray) -> np.ndarray:
+    """Exact below 8, then four buckets for each power of two."""
+    c = np.maximum(count, 1).astype(float)
+    return np.where(count < 8, count, np.minimum(8 + 4 * (np.log2(c) - 3), BUCKETS - 1)).astype(np.int64)
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = key[0].as_py()
-        part = pa.Table.from_batches(list(batches))
-        tokens, sizes = tokens_of(part["text"].to_pylist())
-        train = np.repeat(~part["held_out"].to_numpy(), sizes).astype(np.int64)
-        *keys, n = counted_grams(histories(tokens, sizes), tokens, train) if pairs else counted(tokens, train)
-        for i in range(0, len(n), 1 << 17):
-            s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[s] for k in keys), np.full(len(n[s]), block), n[s])], names)
 
-    return docs.groupBy("block").applyInArrow(run, ", ".join(f"{c} long" for c in names))
+class Distinct:
+    """Sorted distinct keys; a place of each among the keys given, and each one's number."""
 
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        s = keys[self.order]
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = s[1:] != s[:-1]
+        self.heads = np.flatnonzero(new)
+        self.keys, self.place = s[self.heads], self.order[self.heads]
+        self.number = np.empty(len(s), dtype=np.int64)
+        self.number[self.order] = np.cumsum(new) - 1
 
-def numbers(vocabulary: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Places of tokens in the sorted vocabulary, -1 where it has none."""
-    at = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == tokens, at, -1)
+    def total(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.order], self.heads) if len(self.heads) else np.zeros(0, dtype=np.int64)
 
 
-def grams(vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram key that ends at each token, and whether both its words are in the vocabulary."""
-    token, state = numbers(vocabulary, tokens), numbers(vocabulary, histories(tokens, sizes))
-    return state << bits | token, (token >= 0) & (state >= 0)
+class Block:
+    """The tokens of some texts, and order by order their n-grams and counts in all training texts.
 
+    Of each order: keys (sorted, distinct), `at` (the number among them of the n-gram that ends at each token, -1 for
+    none), a place where each ends, its token and history (number in the order below), and its count. Number `start` of
+    order 1 is the start of a text.
+    """
 
-def summed(counts: DataFrame, least: int) -> DataFrame:
-    """The keys, block, n (over all blocks), first: for each block the keys of at least `least` in all, first in one of the blocks.
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
+        self.tokens, self.sizes = tokens, sizes
+        self.first = np.cumsum(sizes) - sizes
+        self.word, self.end = mixed(vocabulary.view(U)), int(np.searchsorted(vocabulary, END))
+        found = Distinct(np.append(self.word, mixed(np.array([START]).view(U))))
+        self.start, self.own = int(found.number[-1]), found.number[:-1]
+        self.keys, self.at, self.token, self.history, self.ends, self.count = [found.keys], [self.own[tokens]], [found.place], [None], [None], []
+        self.known = found
+
+    def learn(self, count: np.ndarray) -> None:
+        self.count.append(count.astype(np.int64))
+
+    def grow(self) -> None:
+        """The n-grams of the next order whose history is a state."""
+        before = np.empty(len(self.tokens), dtype=np.int64)
+        before[1:] = self.at[-1][:-1]
+        before[self.first] = self.start if len(self.keys) == 1 else -1
+        some = np.flatnonzero((before >= 0) & (self.count[-1][before] >= LEAST)) if len(self.keys[-1]) else np.empty(0, dtype=np.int64)
+        before, token = before[some], self.tokens[some]
+        self.known = found = Distinct(longer(self.keys[-1][before], self.word[token]))
+        at = np.full(len(self.tokens), -1, dtype=np.int64)
+        at[some] = found.number
+        self.some = some
+        self.keys.append(found.keys)
+        self.ends.append(some[found.place])
+        self.at.append(at)
+        self.token.append(token[found.place])
+        self.history.append(before[found.place])
+
+    def training(self, train: np.ndarray) -> np.ndarray:
+        """How often each n-gram of the last order is in texts where train (a flag for each) is set."""
+        weight = np.repeat(train, self.sizes).astype(np.int64)
+        if len(self.keys) > 1:
+            return self.known.total(weight[self.some])
+        out = np.zeros(len(self.known.keys), dtype=np.int64)
+        out[self.own] = np.bincount(self.tokens, weights=weight, minlength=len(self.word)).astype(np.int64)
+        out[self.start] = int(train.sum())
+        return out
+
+    def buckets(self) -> np.ndarray:
+        """Of each n-gram of the last order, the bucket of its history's count; for words 0, for the start of a text 1."""
+        if len(self.keys) > 1:
+            return bucket_of(self.count[-1][self.history[-1]])
+        return (np.arange(len(self.known.keys)) == self.start).astype(np.int64)
+
+
+def blocks(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
+    """block, n_tokens, ids, held, sizes, vocabulary and tokens of the texts of each block, as a written table."""
+
+    def block(number: int, ids: list, held: list, texts: list[str]) -> pa.RecordBatch:
+        hashes, sizes = tokens_of(texts)
+        vocabulary, tokens = np.unique(hashes, return_inverse=True)
+        values = [[number], [len(tokens)], [ids], [held], [sizes.tolist()], [vocabulary.tobytes()], [tokens.astype(np.int32).tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, BLOCK, strict=True)], schema=BLOCK)
 
-    Rows of block -1 tell how many keys were seen `key` times (1 to 4).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        ids, held, texts = [], [], []
+        for batch in base.text_chunks(batches):
+            new = base.texts_of(batch)
+            ids += batch.column(0).to_pylist()
+            held += batch.column(2).to_pylist()
+            texts += new
+            size += sum(map(len, new))
+            if size >= block_bytes:
+                yield block(number, ids, held, texts)
+                number, size, ids, held, texts = number + 1, 0, [], [], []
+        if ids:
+            yield block(number, ids, held, texts)
+
+    rows = docs.select("doc_id", "text", (base.crc_bucket("doc_id", modulus) == 0).alias("held"))
+    return base.cut(rows.mapInArrow(run, "block long, n_tokens long, ids array<long>, held array<boolean>, sizes array<long>, vocabulary binary, tokens binary"))
+
+
+BLOCK = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
+SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("buckets", pa.binary())])
+SENT_DDL = "part long, block long, n long, least long, keys binary, counts binary, buckets binary"
+TOTALS = pa.schema([("block", pa.int64()), ("order", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("totals", pa.binary())])
+TOTALS_DDL = "block long, order long, part long, n long, totals binary"
+
+
+def block_of(rows: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[Block, np.ndarray]:
+    """A row of blocks(), and which texts are for training."""
+    get = lambda name: rows.column(rows.schema.get_field_index(name))[i].as_py()
+    vocabulary, tokens = np.frombuffer(get("vocabulary"), dtype=np.int64), np.frombuffer(get("tokens"), dtype=np.int32).astype(np.int64)
+    return Block(vocabulary, tokens, np.array(get("sizes"), dtype=np.int64)), ~np.array(get("held"), dtype=bool)
+
+
+def sent(number: int, block: Block, train: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the block's last order, cut by the parts that own their keys."""
+    keys, counts, buckets = block.keys[-1], block.training(train), block.buckets()
+    part = (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+    ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(keys) else np.empty(0, dtype=np.int64)
+    start, out = 0, []
+    for end in ends.tolist():
+        own = keys[start:end]
+        out.append((int(part[start]), number, end - start, int(own[:1].view(np.int64)[0]), pack(np.diff(own)), pack(counts[start:end]), pack(buckets[start:end])))
+        start = end
+    for i in range(0, len(out), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[i : i + 64], strict=True), SENT, strict=True)], schema=SENT)
+
+
+def summed(rows: DataFrame, order: int) -> DataFrame:
+    """Totals of what the blocks have sent, as they have sent it; rows of block ALL have the figures of the buckets.
+
+    These are, for each bucket: training tokens, n-grams seen once, n-grams seen.
     """
-    keys = [c for c in counts.columns if c not in ("block", "n")]
-    names = [*keys, "block", "n", "first"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(5, dtype=np.int64)
-
-        def changes(part: list[np.ndarray]) -> np.ndarray:
-            """Where a row's key is not the one before it."""
-            return np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in part[: len(keys)]])) + 1
-
-        def total(part: list[np.ndarray], heads: np.ndarray) -> pa.RecordBatch:
-            n = part[-1]
-            sums = np.add.reduceat(n, heads)
-            seen[:] += np.bincount(sums[sums <= 4], minlength=5)
-            sizes = np.diff(np.append(heads, len(n)))
-            keep = np.repeat(sums >= least, sizes)
-            first = np.zeros(len(n), dtype=bool)
-            first[heads] = True
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[keep] for k in part[:-1]), np.repeat(sums, sizes)[keep], first[keep])], names)
-
-        kept = [np.empty(0, dtype=np.int64)] * (len(keys) + 2)
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, who, sizes, keys, counts, buckets = key[0].as_py(), [], [], [], [], []
         for batch in batches:
-            part = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(kept)]
-            # The last key may go on: it has one row a block at most.
-            heads = changes(part)
-            end = int(heads[-1]) if len(heads) else 0
-            if end:
-                yield total([a[:end] for a in part], np.append(0, heads[:-1]))
-            kept = [a[end:] for a in part]
-        if len(kept[0]):
-            yield total(kept, np.zeros(1, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, 5))] * len(keys) + [pa.array(np.full(4, -1)), pa.array(seen[1:]), pa.array(np.zeros(4, bool))], names)
-
-    return counts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", first boolean")
+            for r in batch.to_pylist():
+                n, least = r["n"], np.array([r["least"]]).view(U)
+                who.append(r["block"])
+                sizes.append(n)
+                keys.append(np.cumsum(np.concatenate([least, unpack(r["keys"], n - 1)]), dtype=U))
+                counts.append(unpack(r["counts"], n).astype(np.int64))
+                buckets.append(unpack(r["buckets"], n).astype(np.uint8))
+        found = Distinct(np.concatenate(keys))
+        sums, bucket = found.total(np.concatenate(counts)), np.concatenate(buckets)[found.place]
+        figures = np.stack([np.bincount(bucket, weights=w, minlength=BUCKETS) for w in (sums, sums == 1, sums > 0)]).astype(np.int64)
+        totals = sums[found.number]
+        out, start = [(ALL, order, part, figures.size, figures.tobytes())], 0
+        for block, n in zip(who, sizes, strict=True):
+            out.append((block, order, part, n, pack(totals[start : start + n])))
+            start += n
+        for i in range(0, len(out), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[i : i + 1024], strict=True), TOTALS, strict=True)], schema=TOTALS)
+
+    return base.cut(rows.groupBy("part").applyInArrow(run, TOTALS_DDL))
 
 
 class Smoothing:
-    """Totals and discounts."""
+    """Totals, and the weights of failure arcs by order (of their history) and bucket."""
 
-    def __init__(self, n: int, v: int, seen: dict[int, int]):
-        self.n, self.v = n, v
-        n1, n2, n3, n4 = (seen.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        two = 2 - 3 * y * n3 / n2 if n2 else 0.75
-        more = 3 - 4 * y * n4 / n3 if n3 else two
-        self.two, self.more = min(max(two, 0.1), 1.9), min(max(more, 0.1), 2.9)
+    def __init__(self, figures: list[np.ndarray]):
+        """figures: of each order, three rows of BUCKETS numbers."""
+        self.n, self.v = (int(figures[0][i, 0]) for i in (0, 2)) if figures else (0, 0)
+        self.fail = [(f[1] + 1.0) / (f[0] + 2.0) for f in figures[1:]]
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + SMOOTH) / (self.n + SMOOTH * (self.v + 1))
 
-    def left(self, count: np.ndarray) -> np.ndarray:
-        """Counts less their discounts."""
-        return count - np.where(count == 2, self.two, self.more)
-
-
-class States:
-    """Words as histories, and what their arcs leave free."""
-
-    def __init__(self, vocabulary: np.ndarray, times: np.ndarray, smoothing: Smoothing):
-        self.vocabulary, self.times, self.smoothing = vocabulary, times.astype(float), smoothing
-        # The last one is for tokens that are no history.
-        self.free = np.ones(len(vocabulary) + 1)
-
-    def spend(self, state: np.ndarray, spent: np.ndarray) -> None:
-        # Histories of held-out texts alone have no count and no arcs.
-        some = self.times[state] > 0
-        self.free[state[some]] = 1 - spent[some] / self.times[state[some]]
-
 
 class Automaton:
-    """The part of the automaton that a block can meet: words (hashes) with counts, n-gram keys with counts."""
-
-    def __init__(self, states: States, words: np.ndarray, count: np.ndarray, keys: np.ndarray, n: np.ndarray, bits: int = BITS):
-        self.states, self.bits, order = states, bits, np.argsort(words)
-        self.words = words[order]
-        self.root = states.smoothing.root(np.append(count[order], 0).astype(float))
-        order = np.argsort(keys)
-        self.arcs = keys[order]
-        self.weight = states.smoothing.left(n[order].astype(float)) / states.times[self.arcs >> bits]
-
-    def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each text: known tokens, base score, score."""
-        token = numbers(self.words, tokens) if len(self.words) else np.full(len(tokens), -1)
-        low = self.root[token]
-        vocabulary = self.states.vocabulary
-        # The failure arc's weight applies either way: arcs are interpolated with the root.
-        p = self.states.free[numbers(vocabulary, histories(tokens, sizes))] * low
-        if len(self.arcs):
-            key, some = grams(vocabulary, tokens, sizes, self.bits)
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            p += np.where(some & (self.arcs[at] == key), self.weight[at], 0.0)
-        heads = np.cumsum(sizes) - sizes
-        return np.add.reduceat((token >= 0).astype(np.int64), heads), np.add.reduceat(np.log10(low), heads), np.add.reduceat(np.log10(p), heads)
-
-
-def score(docs: DataFrame, modulus: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The part of the automaton that a block can meet. State 0 is the root."""
+
+    def __init__(self, block: Block, smoothing: Smoothing):
+        orders, words = len(block.keys), len(block.word)
+        count = block.count[0][block.own]
+        self.known = count > 0
+        p = np.zeros(len(block.keys[0]))
+        p[block.own] = smoothing.root(count.astype(float))
+        self.base = self.root = np.log10(p[block.own])
+        # Histories of each order that are states get numbers; an n-gram leads to its longest suffix that is one.
+        self.states, state = 1, []
+        for k in range(max(1, orders - 1)):
+            is_state = (block.count[k] >= LEAST) & (block.token[k] != block.end)
+            state.append(np.where(is_state, self.states + np.cumsum(is_state) - 1, 0))
+            self.states += int(is_state.sum())
+        self.fail_to, self.fail = np.zeros(self.states, dtype=np.int64), np.zeros(self.states)
+        keys, weights, targets = [], [], []
+        leads = state[0]
+        self.root_to = leads[block.own]
+        for k in range(1, orders):
+            c, history = block.count[k].astype(float), block.history[k]
+            # The suffix of each n-gram, in the order below.
+            suffix = block.at[k - 1][block.ends[k]]
+            times = block.count[k - 1]
+            fail = smoothing.fail[k - 1][bucket_of(times)]
+            own = state[k - 1] > 0
+            self.fail[state[k - 1][own]] = np.log10(fail[own])
+            f = fail[history]
+            p = (1 - f) * c / times[history] + f * p[suffix]
+            arcs = c > 0
+            lower = leads[suffix]
+            leads = np.where(state[k] > 0, state[k], lower) if k < orders - 1 else lower
+            if k < orders - 1:
+                at = state[k] > 0
+                self.fail_to[state[k][at]] = lower[at]
+            keys.append((state[k - 1][history] * words + block.token[k])[arcs])
+            weights.append(np.log10(p, where=arcs, out=np.zeros(len(p)))[arcs])
+            targets.append(leads[arcs])
+        key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+        order = np.argsort(key)
+        self.arcs = key[order]
+        self.weight, self.to = (np.concatenate(x)[order] if x else np.empty(0) for x in (weights, targets))
+        self.words, self.start, self.reach = words, int(state[0][block.start]), max(1, orders - 1)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the tokens, and the logarithms that lead there."""
+        score, to = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64)
+        todo, state = np.arange(len(state)), state.copy()
+        while len(todo):
+            s, w = state[todo], token[todo]
+            at_root = s == 0
+            arc = np.zeros(len(todo), dtype=np.int64)
+            found = at_root.copy()
+            if len(self.arcs):
+                key = s * self.words + w
+                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                found |= self.arcs[arc] == key
+                by_arc = found & ~at_root
+                score[todo[by_arc]] += self.weight[arc[by_arc]]
+                to[todo[by_arc]] = self.to[arc[by_arc]]
+            score[todo[at_root]] += self.root[w[at_root]]
+            to[todo[at_root]] = self.root_to[w[at_root]]
+            todo, s = todo[~found], s[~found]
+            score[todo] += self.fail[s]
+            state[todo] = self.fail_to[s]
+        return to, score
+
+    def traverse(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The score of each text, from left to right; many lanes take their steps side by side.
+
+        A text longer than a lane goes on in the next one, which finds its state on the last tokens of the lane before.
+        """
+        n = -(-sizes // LANE)
+        text = np.repeat(np.arange(len(sizes)), n)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        start = (np.cumsum(sizes) - sizes)[text] + nth * LANE
+        size = np.minimum(sizes[text] - nth * LANE, LANE)
+        order = np.argsort(-size, kind="stable")
+        start, size, later = start[order], size[order], nth[order] > 0
+        state, score = np.where(later, 0, self.start), np.zeros(len(order))
+        for back in range(self.reach, 0, -1):
+            state[later], _ = self.step(state[later], tokens[start[later] - back])
+        # Lanes are sorted by length: those that go on come first.
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+        for i, m in enumerate(live.tolist()):
+            state[:m], new = self.step(state[:m], tokens[start[:m] + i])
+            score[:m] += new
+        return np.bincount(text[order], weights=score, minlength=len(sizes))
+
+
+def score(docs: DataFrame, modulus: int = 10, order: int = 3, block_bytes: int = 8 << 20, least_part: int = 1 << 20, most_part: int = 1 << 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    Learns from the documents whose crc32(doc_id as text) mod modulus is not 0.
+    Learns from the documents whose crc32(doc_id as text) mod modulus is not 0. A part sums up between least_part and
+    most_part n-grams at a time, the more the larger the corpus is.
     """
-    docs = dealt(docs, modulus, block_bytes)
-    roots = base.cut(summed(count_blocks(docs), 1)).where("block >= 0")
-    n, v = roots.where("first").agg(F.sum("n"), F.count("*")).first()
-    n, v = n or 0, v or 0
-    found = base.cut(summed(count_blocks(docs, pairs=True), 2))
-    seen = {r["key"]: r["n"] for r in found.where("block = -1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    arcs = found.where("block >= 0")
-    smoothing = Smoothing(n, v, seen)
-    left = F.col("n") - F.when(F.col("n") == 2, smoothing.two).otherwise(smoothing.more)
-    spent = base.cut(arcs.where("first").groupBy("state").agg(F.sum(left).alias("spent")))
-    # The start of a text is no word. It is seen as often as a text's end.
-    start = (spent.where(F.col("state") == START).first() or {"spent": 0.0})["spent"]
-    ends = (roots.where((F.col("key") == END) & F.col("first")).first() or {"n": 0})["n"]
-    states = roots.join(spent, roots["key"] == spent["state"], "left").select("block", F.lit(None).cast("long").alias("state"), "key", "n", F.coalesce("spent", F.lit(0.0)).alias("spent"))
-    part = states.unionByName(arcs.select("block", "state", "key", "n", F.lit(0.0).alias("spent")))
-
-    def run(key: tuple, texts: pa.Table, model: pa.Table) -> pa.Table:
+    table = blocks(docs, modulus, block_bytes)
+    tokens = table.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, math.ceil(tokens / min(max(least_part, 64 * math.isqrt(tokens)), most_part)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from sent(batch.column(0)[i].as_py(), *block_of(batch, i), parts)
+
+    def learnt(texts: pa.Table, totals: pa.Table) -> tuple[Block, np.ndarray]:
+        block, train = block_of(texts)
+        rows = sorted((r["order"], r["part"], r["n"], r["totals"]) for r in totals.to_pylist())
+        for k in range(1, rows[-1][0] + 1):
+            if k > 1:
+                block.grow()
+            block.learn(np.concatenate([unpack(data, n) for o, _, n, data in rows if o == k] or [np.empty(0, dtype=U)]))
+        return block, train
+
+    def more(key: tuple, texts: pa.Table, totals: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return SENT.empty_table()
+        block, train = learnt(texts, totals)
+        block.grow()
+        return pa.Table.from_batches(sent(key[0].as_py(), block, train, parts), schema=SENT)
+
+    totals = summed(table.mapInArrow(first, SENT_DDL), 1)
+    for k in range(2, order + 1):
+        rows = table.groupBy("block").cogroup(totals.where(F.col("block") != ALL).groupBy("block")).applyInArrow(more, SENT_DDL)
+        totals = totals.unionByName(summed(rows, k))
+    figures = [np.zeros((3, BUCKETS), dtype=np.int64) for _ in range(order)]
+    added = totals.where(F.col("block") == ALL).mapInArrow(_added, "order long, figures array<long>").select("order", F.posexplode("figures"))
+    for r in added.groupBy("order", "pos").agg(F.sum("col").alias("n")).collect():
+        figures[r["order"] - 1].flat[r["pos"]] = r["n"]
+    smoothing = Smoothing(figures)
+
+    def run(key: tuple, texts: pa.Table, totals: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return out.empty_table()
-        root = model["state"].is_null().to_numpy()
-        token, count, taken = (model[c].to_numpy() for c in ("key", "n", "spent"))
-        history = model["state"].fill_null(0).to_numpy()[~root]
-        words = np.append(token[root], START)
-        order = np.argsort(words)
-        words = words[order]
-        known = States(words, np.append(count[root], ends)[order], smoothing)
-        known.spend(np.arange(len(words)), np.append(taken[root], start)[order])
-        keys = numbers(words, history) << WIDE | numbers(words, token[~root])
-        automaton = Automaton(known, token[root], count[root], keys, count[~root], WIDE)
-        tokens, sizes = tokens_of(texts["text"].to_pylist())
-        some, low, high = automaton.traverse(tokens, sizes)
-        return pa.table([texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(some), pa.array(np.full(len(sizes), n)), pa.array(low), pa.array(high)], schema=out)
+        block, _ = learnt(texts, totals)
+        automaton = Automaton(block, smoothing)
+        heads, sizes = block.first, block.sizes
+        known, low = (np.add.reduceat(x[block.tokens], heads) for x in (automaton.known.astype(np.int64), automaton.base))
+        columns = [texts["ids"].combine_chunks().flatten(), texts["held"].combine_chunks().flatten(), sizes, known, np.full(len(sizes), smoothing.n), low, automaton.traverse(block.tokens, sizes)]
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return docs.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return table.groupBy("block").cogroup(totals.where(F.col("block") != ALL).groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The figures of each order, added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            sums[r["order"]] = sums.get(r["order"], 0) + np.frombuffer(r["totals"], dtype=np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()])], ["order", "figures"])

@@ -54,63 +54,106 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def backoff_model(texts, order=3):
+    """Plain backoff: p(history, word) over dictionaries of all n-grams of training texts (lists of words)."""
+    counts = [Counter() for _ in range(order + 1)]
+    for w in texts:
+        counts[1].update((x,) for x in w)
+        counts[1]["<s>",] += 1
+        for k in range(2, order + 1):
+            line = ["<s>", *w]
+            counts[k].update(tuple(line[i : i + k]) for i in range(len(line) - k + 1))
+    n, v = sum(len(w) for w in texts), len(counts[1]) - bool(texts)
+    bucket = lambda c: c if c < 8 else min(int(8 + 4 * (math.log2(c) - 3)), 95)
+    seen, once = Counter(), Counter()
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            if counts[k - 1][g[:-1]] >= 2:
+                at = k, bucket(counts[k - 1][g[:-1]])
+                seen[at] += c
+                once[at] += c == 1
+
+    def p(history, word):
+        if not history:
+            return (counts[1][word,] + 0.1) / (n + 0.1 * (v + 1))
+        k, c = len(history), counts[len(history)][history]
+        if c < 2:
+            return p(history[1:], word)
+        at = k + 1, bucket(c)
+        f = (once[at] + 1) / (seen[at] + 2)
+        return (1 - f) * counts[k + 1][(*history, word)] / c + f * p(history[1:], word)
+
+    return p, counts[1], n
+
+
 def test_lm_score_matches_brute_force(docs, empty):
     data = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     texts = [(i, [*WORD.findall(lower(t)), None]) for i, t in data]
-    one, two, starts = Counter(), Counter(), 0
-    for i, w in texts:
-        if not held(i):
-            one.update(w)
-            two.update(zip(["<s>", *w], w, strict=False))
-            starts += 1
-    n, v, seen = sum(one.values()), len(one), Counter(two.values())
-    s = lm_score.Smoothing(n, v, seen)
-    cut = lambda k: s.two if k == 2 else s.more
-    times, spent = {**one, "<s>": starts}, defaultdict(float)
-    for (h, _), k in two.items():
-        if k > 1:
-            spent[h] += k - cut(k)
-    want = []
-    for i, w in texts:
-        low = high = 0.0
-        for h, x in zip(["<s>", *w], w, strict=False):
-            p = (one[x] + 0.1) / (n + 0.1 * (v + 1))
-            k, t = two[h, x], times.get(h, 0)
-            low += math.log10(p)
-            high += math.log10((1 - spent[h] / t if t else 1) * p + ((k - cut(k)) / t if k > 1 else 0))
-        want.append((str(i), held(i), len(w), sum(one[x] > 0 for x in w), n, round(low, 4), round(high, 4)))
-    for size in (8 << 20, 3000):
-        got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in lm_score.score(docs, block_bytes=size).collect()]
-        assert sorted(got) == sorted(want)
+    for order, sizes in ((3, ((8 << 20, 1 << 20), (3000, 500))), (2, ((3000, 1 << 20),)), (4, ((3000, 5000),))):
+        p, one, n = backoff_model([w for i, w in texts if not held(i)], order)
+        want = []
+        for i, w in texts:
+            line = ["<s>", *w]
+            high = sum(math.log10(p(tuple(line[max(0, j - order + 1) : j]), line[j])) for j in range(1, len(line)))
+            want.append((str(i), held(i), len(w), sum(one[x,] > 0 for x in w), n, round(sum(math.log10(p((), x)) for x in w), 4), round(high, 4)))
+        for block, part in sizes:
+            rows = lm_score.score(docs, order=order, block_bytes=block, least_part=part, most_part=part).collect()
+            got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in rows]
+            assert sorted(got) == sorted(want)
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_all_held_out(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    got = lm_score.score(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(4, 0, 0)}
+    assert all(r.score == r.base_score == pytest.approx(0) for r in got)
+
+
 def test_lm_rare_words_have_arcs(spark):
     """n-grams of words seen twice count in a corpus of any number of tokens."""
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10][:3]
-    data = spark.createDataFrame([(ids[0], "a " * 2_200_000), (ids[1], "x y"), (ids[2], "x y")], "doc_id long, text string")
-    n, s = 2_200_007, lm_score.Smoothing(2_200_007, 4, {1: 2, 2: 3})
-    root = lambda c: (c + 0.1) / (n + 0.1 * 5)
-    left = 2 - s.two
-    steps = [(1 - left / 3, root(2), left / 3), (1 - left / 2, root(2), left / 2), (1 - left / 2, root(3), left / 2)]
-    want = sum(math.log10(free * low + arc) for free, low, arc in steps)
-    got = {r.doc_id: r.score for r in lm_score.score(data).collect()}
-    assert got[ids[1]] == got[ids[2]] == pytest.approx(want)
+    data = [(ids[0], "a " * 1_200_000), (ids[1], "x y"), (ids[2], "x y")]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    p, _, _ = backoff_model([["x", "y", None], ["x", "y", None], ["a"] * 1_200_000 + [None]])
+    line = ["<s>", "x", "y", None]
+    want = sum(math.log10(p(tuple(line[max(0, j - 2) : j]), line[j])) for j in (1, 2, 3))
+    assert got[ids[1]].score == got[ids[2]].score == pytest.approx(want)
+    assert want > got[ids[1]].base_score + 8
 
 
 def test_lm_states_are_distributions():
+    """From every state that a text can reach, the probabilities of all words, the end and an unknown word sum up to 1."""
+    import numpy as np
+
+    texts = ["a b c a b d", "a b c", "b c a b", "d d d a", "a b c a"]
+    # All continuations of two words, as texts of their own: arcs exist only for n-grams of the block.
+    words = ["a", "b", "c", "d", "zz"]
+    more = [f"{x} {y} {z}" for x in words for y in words for z in words] + [f"{x} {y}" for x in words for y in words]
+    tokens, sizes = lm_score.tokens_of([*texts, *more])
+    vocabulary, at = np.unique(tokens, return_inverse=True)
+    train = np.arange(len(sizes)) < len(texts)
+    block, figures = lm_score.Block(vocabulary, at, sizes), []
+    for k in range(3):
+        if k:
+            block.grow()
+        bucket, count = block.buckets(), block.training(train)
+        figures.append(np.stack([np.bincount(bucket, weights=w, minlength=lm_score.BUCKETS) for w in (count, count == 1, count > 0)]))
+        block.learn(count)
+    automaton = lm_score.Automaton(block, lm_score.Smoothing(figures))
+    assert automaton.states > 6 and len(automaton.arcs) > 15
+    for state in range(automaton.states):
+        _, score = automaton.step(np.full(len(vocabulary), state), np.arange(len(vocabulary)))
+        assert (10**score).sum() == pytest.approx(1)
+
+
+def test_lm_packs_numbers():
     import numpy as np
 
-    words, count = np.array([1, 5, 9]), np.array([10, 12, 8])
-    smoothing = lm_score.Smoothing(30, 3, {1: 5, 2: 3, 3: 2, 4: 1})
-    states = lm_score.States(np.array([-1, 1, 5, 9]), np.array([10, 10, 12, 8]), smoothing)
-    keys, n = np.array([2 << 21 | 3, 2 << 21 | 1]), np.array([4, 2])
-    states.spend(np.array([2]), np.array([smoothing.left(n.astype(float)).sum()]))
-    a = lm_score.Automaton(states, words, count, keys, n)
-    # After token 5: every known token and the unknown one.
-    total = sum(10 ** (a.traverse(np.array([5, x]), np.array([2]))[2] - a.traverse(np.array([5]), np.array([1]))[2])[0] for x in (1, 5, 9, 77))
-    assert total == pytest.approx(1)
+    for x in ([], [0], [0, 255, 256, 1], [2**63, 2**64 - 1, 0]):
+        x = np.array(x, dtype=np.uint64)
+        assert (lm_score.unpack(lm_score.pack(x), len(x)) == x).all()
 
 
 def test_warc_round_trip(spark, tmp_path):
