@@ -121,7 +121,7 @@ class Block:
     def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
         self.tokens, self.sizes = tokens, sizes
         self.first = np.cumsum(sizes) - sizes
-        self.word, self.end = mixed(vocabulary.view(U)), int(np.searchsorted(vocabulary, END))
+        self.word, self.end = mixed(vocabulary.view(U)), int(np.flatnonzero(vocabulary == END)[0])
         found = Distinct(np.append(self.word, mixed(np.array([START]).view(U))))
         self.start, self.own = int(found.number[-1]), found.number[:-1]
         self.keys, self.at, self.token, self.history, self.ends, self.count = [found.keys], [self.own[tokens]], [found.place], [None], [None], []
@@ -169,8 +169,12 @@ def blocks(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
 
     def block(number: int, ids: list, held: list, texts: list[str]) -> pa.RecordBatch:
         hashes, sizes = tokens_of(texts)
-        vocabulary, tokens = np.unique(hashes, return_inverse=True)
-        values = [[number], [len(tokens)], [ids], [held], [sizes.tolist()], [vocabulary.tobytes()], [tokens.astype(np.int32).tobytes()]]
+        vocabulary, tokens, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        # Frequent words get small numbers, whose upper bytes compress well.
+        often = np.argsort(-times, kind="stable")
+        rank = np.empty_like(often)
+        rank[often] = np.arange(len(often))
+        values = [[number], [len(tokens)], [ids], [held], [sizes.tolist()], [vocabulary[often].tobytes()], [pack(rank[tokens])]]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, BLOCK, strict=True)], schema=BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +206,7 @@ TOTALS_DDL = "block long, order long, part long, n long, totals binary"
 def block_of(rows: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[Block, np.ndarray]:
     """A row of blocks(), and which texts are for training."""
     get = lambda name: rows.column(rows.schema.get_field_index(name))[i].as_py()
-    vocabulary, tokens = np.frombuffer(get("vocabulary"), dtype=np.int64), np.frombuffer(get("tokens"), dtype=np.int32).astype(np.int64)
+    vocabulary, tokens = np.frombuffer(get("vocabulary"), dtype=np.int64), unpack(get("tokens"), get("n_tokens")).view(np.int64)
     return Block(vocabulary, tokens, np.array(get("sizes"), dtype=np.int64)), ~np.array(get("held"), dtype=bool)
 
 
