@@ -26,19 +26,16 @@ tokens every token is unknown; texts of any length are scored whole; no rows giv
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreweave.llm import base
+from oreweave.llm.parts import ALL, SENT, SENT_DDL, Distinct, U, added, by_part, coded, gathered, longer, mixed, parts_for, summed, unpack, word_hashes
 
-U = np.uint64
 START, END = -1, 1
 SMOOTH = 0.1
 #: A history is a state if training texts hold it so often.
@@ -46,16 +43,12 @@ LEAST = 2
 BUCKETS = 96
 #: Tokens that a lane of the traversal has at most.
 LANE = 512
-#: Of a block that is none: rows for all blocks together.
-ALL = -1
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end, and the number of tokens of each."""
-    words = [t.encode().lower().split() for t in texts]  # bytes: A-Z and white space 9 to 13 and 32 only
-    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    flat = np.fromiter((h for w in words for h in map(digest, w)), dtype=U, count=int(sizes.sum()) - len(words)).view(np.int64)
+    flat, sizes = word_hashes(texts)
+    sizes += 1
     out = np.full(int(sizes.sum()), END, dtype=np.int64)
     inner = np.ones(len(out), dtype=bool)
     inner[np.cumsum(sizes) - 1] = False
@@ -63,53 +56,12 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
-
-
-def longer(history: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Keys of histories followed by tokens, both given by their keys."""
-    return mixed(history * U(0x9E3779B97F4A7C15) + token)
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers, lowest bytes of all first; as many bytes each as the largest needs."""
-    x = np.ascontiguousarray(x, dtype=U)
-    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, : data[0]] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], n).T
-    return out.reshape(-1).view(U)
-
-
 def bucket_of(count: np.ndarray) -> np.ndarray:
     """Exact below 8, then four buckets for each power of two."""
     c = np.maximum(count, 1).astype(float)
     return np.where(count < 8, count, np.minimum(8 + 4 * (np.log2(c) - 3), BUCKETS - 1)).astype(np.int64)
 
 
-class Distinct:
-    """Sorted distinct keys; a place of each among the keys given, and each one's number."""
-
-    def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys)
-        s = keys[self.order]
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = s[1:] != s[:-1]
-        self.heads = np.flatnonzero(new)
-        self.keys, self.place = s[self.heads], self.order[self.heads]
-        self.number = np.empty(len(s), dtype=np.int64)
-        self.number[self.order] = np.cumsum(new) - 1
-
-    def total(self, weights: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(weights[self.order], self.heads) if len(self.heads) else np.zeros(0, dtype=np.int64)
-
-
 class Block:
     """The tokens of some texts, and order by order their n-grams and counts in all training texts.
 
@@ -167,41 +119,17 @@ class Block:
 def blocks(docs: DataFrame, modulus: int, block_bytes: int) -> DataFrame:
     """block, n_tokens, ids, held, sizes, vocabulary and tokens of the texts of each block, as a written table."""
 
-    def block(number: int, ids: list, held: list, texts: list[str]) -> pa.RecordBatch:
-        hashes, sizes = tokens_of(texts)
-        vocabulary, tokens, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        # Frequent words get small numbers, whose upper bytes compress well.
-        often = np.argsort(-times, kind="stable")
-        rank = np.empty_like(often)
-        rank[often] = np.arange(len(often))
-        values = [[number], [len(tokens)], [ids], [held], [sizes.tolist()], [vocabulary[often].tobytes()], [pack(rank[tokens])]]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, BLOCK, strict=True)], schema=BLOCK)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = TaskContext.get().partitionId() << 32, 0
-        ids, held, texts = [], [], []
-        for batch in base.text_chunks(batches):
-            new = base.texts_of(batch)
-            ids += batch.column(0).to_pylist()
-            held += batch.column(2).to_pylist()
-            texts += new
-            size += sum(map(len, new))
-            if size >= block_bytes:
-                yield block(number, ids, held, texts)
-                number, size, ids, held, texts = number + 1, 0, [], [], []
-        if ids:
-            yield block(number, ids, held, texts)
+        for number, columns in gathered(batches, block_bytes):
+            hashes, sizes = tokens_of(columns["text"])
+            values = [number, len(hashes), columns["doc_id"], columns["held"], sizes.tolist(), *coded(hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, BLOCK, strict=True)], schema=BLOCK)
 
     rows = docs.select("doc_id", "text", (base.crc_bucket("doc_id", modulus) == 0).alias("held"))
     return base.cut(rows.mapInArrow(run, "block long, n_tokens long, ids array<long>, held array<boolean>, sizes array<long>, vocabulary binary, tokens binary"))
 
 
 BLOCK = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
-SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("buckets", pa.binary())])
-SENT_DDL = "part long, block long, n long, least long, keys binary, counts binary, buckets binary"
-TOTALS = pa.schema([("block", pa.int64()), ("order", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("totals", pa.binary())])
-TOTALS_DDL = "block long, order long, part long, n long, totals binary"
-
 
 def block_of(rows: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[Block, np.ndarray]:
     """A row of blocks(), and which texts are for training."""
@@ -211,47 +139,7 @@ def block_of(rows: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[Block, np.nda
 
 
 def sent(number: int, block: Block, train: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """The n-grams of the block's last order, cut by the parts that own their keys."""
-    keys, counts, buckets = block.keys[-1], block.training(train), block.buckets()
-    part = (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-    ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(keys) else np.empty(0, dtype=np.int64)
-    start, out = 0, []
-    for end in ends.tolist():
-        own = keys[start:end]
-        out.append((int(part[start]), number, end - start, int(own[:1].view(np.int64)[0]), pack(np.diff(own)), pack(counts[start:end]), pack(buckets[start:end])))
-        start = end
-    for i in range(0, len(out), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[i : i + 64], strict=True), SENT, strict=True)], schema=SENT)
-
-
-def summed(rows: DataFrame, order: int) -> DataFrame:
-    """Totals of what the blocks have sent, as they have sent it; rows of block ALL have the figures of the buckets.
-
-    These are, for each bucket: training tokens, n-grams seen once, n-grams seen.
-    """
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, who, sizes, keys, counts, buckets = key[0].as_py(), [], [], [], [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                n, least = r["n"], np.array([r["least"]]).view(U)
-                who.append(r["block"])
-                sizes.append(n)
-                keys.append(np.cumsum(np.concatenate([least, unpack(r["keys"], n - 1)]), dtype=U))
-                counts.append(unpack(r["counts"], n).astype(np.int64))
-                buckets.append(unpack(r["buckets"], n).astype(np.uint8))
-        found = Distinct(np.concatenate(keys))
-        sums, bucket = found.total(np.concatenate(counts)), np.concatenate(buckets)[found.place]
-        figures = np.stack([np.bincount(bucket, weights=w, minlength=BUCKETS) for w in (sums, sums == 1, sums > 0)]).astype(np.int64)
-        totals = sums[found.number]
-        out, start = [(ALL, order, part, figures.size, figures.tobytes())], 0
-        for block, n in zip(who, sizes, strict=True):
-            out.append((block, order, part, n, pack(totals[start : start + n])))
-            start += n
-        for i in range(0, len(out), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[i : i + 1024], strict=True), TOTALS, strict=True)], schema=TOTALS)
-
-    return base.cut(rows.groupBy("part").applyInArrow(run, TOTALS_DDL))
+    return by_part(number, block.keys[-1], block.training(train), parts, block.buckets())
 
 
 class Smoothing:
@@ -365,7 +253,7 @@ def score(docs: DataFrame, modulus: int = 10, order: int = 3, block_bytes: int =
     """
     table = blocks(docs, modulus, block_bytes)
     tokens = table.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, math.ceil(tokens / min(max(least_part, 64 * math.isqrt(tokens)), most_part)))
+    parts = parts_for(tokens, least_part, most_part)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,13 +276,13 @@ def score(docs: DataFrame, modulus: int = 10, order: int = 3, block_bytes: int =
         block.grow()
         return pa.Table.from_batches(sent(key[0].as_py(), block, train, parts), schema=SENT)
 
-    totals = summed(table.mapInArrow(first, SENT_DDL), 1)
+    totals = summed(table.mapInArrow(first, SENT_DDL), 1, BUCKETS)
     for k in range(2, order + 1):
         rows = table.groupBy("block").cogroup(totals.where(F.col("block") != ALL).groupBy("block")).applyInArrow(more, SENT_DDL)
-        totals = totals.unionByName(summed(rows, k))
+        totals = totals.unionByName(summed(rows, k, BUCKETS))
     figures = [np.zeros((3, BUCKETS), dtype=np.int64) for _ in range(order)]
-    added = totals.where(F.col("block") == ALL).mapInArrow(_added, "order long, figures array<long>").select("order", F.posexplode("figures"))
-    for r in added.groupBy("order", "pos").agg(F.sum("col").alias("n")).collect():
+    sums = totals.where(F.col("block") == ALL).mapInArrow(added, "order long, figures array<long>").select("order", F.posexplode("figures"))
+    for r in sums.groupBy("order", "pos").agg(F.sum("col").alias("n")).collect():
         figures[r["order"] - 1].flat[r["pos"]] = r["n"]
     smoothing = Smoothing(figures)
 
@@ -410,13 +298,3 @@ def score(docs: DataFrame, modulus: int = 10, order: int = 3, block_bytes: int =
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return table.groupBy("block").cogroup(totals.where(F.col("block") != ALL).groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The figures of each order, added up."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            sums[r["order"]] = sums.get(r["order"], 0) + np.frombuffer(r["totals"], dtype=np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()])], ["order", "figures"])

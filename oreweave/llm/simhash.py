@@ -32,6 +32,13 @@ from oreweave.llm import base
 SEED = 42
 
 
+def of_hashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts from the hashes (uint64) of their shingles, one text's after another's; each has one at least."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprint_batch(texts: list[str], words: int = 3) -> np.ndarray:
     """uint64 for each text."""
     digest, out = xxhash.xxh64_intdigest, np.zeros(len(texts), dtype=np.uint64)
@@ -49,10 +56,8 @@ def fingerprint_batch(texts: list[str], words: int = 3) -> np.ndarray:
         sizes[i] = len(own)
         hashes.append(np.array(own, dtype=np.uint64))
     if hashes:
-        bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         full = np.flatnonzero(sizes)
-        ones = np.add.reduceat(bits, np.cumsum(sizes[full]) - sizes[full], axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        out[full] = of_hashes(np.concatenate(hashes), sizes[full])
     return out
 
 
@@ -136,23 +141,27 @@ def route(root: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np
         todo.append((node.high, own[~low], np.concatenate([visit[e + radius > node.bound], own[low & (d + radius > node.bound)]])))
 
 
-def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (the smallest index of each component) after linking a[i] with b[i]."""
+def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels (the smallest index of each component) after linking a[i] with b[i], and those of the pairs that join them up."""
+    used = [(a[:0], b[:0])]
     while True:
         x, y = labels[a], labels[b]
         differ = x != y
         if not differ.any():
-            return labels
+            return labels, *map(np.concatenate, zip(*used, strict=True))
         a, b, low, high = a[differ], b[differ], np.minimum(x, y)[differ], np.maximum(x, y)[differ]
         np.minimum.at(labels, high, low)
+        won = np.flatnonzero(labels[high] == low)
+        won = won[np.unique(high[won], return_index=True)[1]]
+        used.append((a[won], b[won]))
         while (jumped := labels[labels]).tobytes() != labels.tobytes():
             labels = jumped
 
 
-def leaf_links(own: np.ndarray, visit: np.ndarray, radius: int, small: int = 4096, cells: int = 1 << 22) -> np.ndarray:
-    """Component labels over own + visit, by all near pairs that have an owner; large leaves divide further."""
+def leaf_links(own: np.ndarray, visit: np.ndarray, radius: int, small: int = 4096, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Of all near pairs over own + visit that have an owner, those of a spanning forest; large leaves divide further."""
     points = np.concatenate([own, visit])
-    labels = np.arange(len(points))
+    labels, used = np.arange(len(points)), [(np.empty(0, np.int64),) * 2]
     todo = [(np.arange(len(own)), np.arange(len(own), len(points)))]
     while todo:
         o, v = todo.pop()
@@ -168,12 +177,13 @@ def leaf_links(own: np.ndarray, visit: np.ndarray, radius: int, small: int = 409
         for at in range(0, len(o), rows):
             part = o[at : at + rows]
             i, j = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[others][None, :]) <= radius)
-            labels = forest(labels, part[i], others[j])
-    return labels
+            labels, x, y = forest(labels, part[i], others[j])
+            used.append((x, y))
+    return tuple(map(np.concatenate, zip(*used, strict=True)))
 
 
 def links(distinct: DataFrame, radius: int, leaf: int = 8192, sample: int = 1 << 16) -> DataFrame:
-    """a, b: a spanning forest, leaf by leaf, of the pairs of distinct fingerprints within radius.
+    """a, b: near pairs that are a spanning forest, leaf by leaf, of all pairs of distinct fingerprints within radius.
 
     distinct: column fp, each value once, as a written table. The tree is drawn from at most about `sample` of
     them (those with the smallest hashes).
@@ -194,9 +204,8 @@ def links(distinct: DataFrame, radius: int, leaf: int = 8192, sample: int = 1 <<
         points = np.concatenate([fp[owner], fp[~owner]])
         if not owner.any():
             return pd.DataFrame({"a": fp[:0], "b": fp[:0]})
-        labels = leaf_links(points[: owner.sum()].view(np.uint64), points[owner.sum() :].view(np.uint64), radius)
-        linked = np.flatnonzero(labels != np.arange(len(labels)))
-        return pd.DataFrame({"a": points[linked], "b": points[labels[linked]]})
+        x, y = leaf_links(points[: owner.sum()].view(np.uint64), points[owner.sum() :].view(np.uint64), radius)
+        return pd.DataFrame({"a": points[x], "b": points[y]})
 
     return distinct.select("fp").mapInArrow(deal, "leaf int, fp long, owner boolean").groupBy("leaf").applyInPandas(compare, "a long, b long")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from oreweave.llm import bpe, fingerprint, lm_score, mixing, quality_gbdt, quality_rules, simhash, suffix_dedup, toxicity, warc
+from oreweave.llm import bpe, fingerprint, lm_score, mixing, parts, quality_gbdt, quality_rules, simhash, suffix_dedup, toxicity, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -153,7 +153,7 @@ def test_lm_packs_numbers():
 
     for x in ([], [0], [0, 255, 256, 1], [2**63, 2**64 - 1, 0]):
         x = np.array(x, dtype=np.uint64)
-        assert (lm_score.unpack(lm_score.pack(x), len(x)) == x).all()
+        assert (parts.unpack(parts.pack(x), len(x)) == x).all()
 
 
 def test_warc_round_trip(spark, tmp_path):
