@@ -86,8 +86,6 @@ def with_stats(docs: DataFrame) -> DataFrame:
             stats = count_batch(base.texts_of(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, i]) for i in range(len(STATS)))], [*batch.schema.names, *STATS])
 
-
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in STATS)]))
 
 
@@ -193,6 +191,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The kept rows of docs, with its columns."""
-    model = fit(with_stats(docs.select("text")).drop("text"))
-    return base.unwrap(judge(with_stats(base.wrap(docs, "text")), model).where("kept"), docs.columns, "text")
+    """The kept rows of docs, with its columns. Texts are counted once: rows and counts are written, and read twice."""
+    rows = base.cut(with_stats(base.wrap(docs, "text")))
+    return base.unwrap(judge(rows, fit(rows.select(*STATS))).where("kept"), docs.columns, "text")
