@@ -51,17 +51,5 @@ def without_bom(text: Column) -> Column:
     return F.regexp_replace(text, "^\\x{FEFF}", "")
 
 
-def hexdump(data: Column, width: int = 16) -> Column:
-    """array of lines: offset, bytes, printable text."""
-    digits = F.lower(F.hex(data))
-
-    def line(i: Column) -> Column:
-        part = F.substring(digits, i * 2 + 1, F.lit(2 * width))
-        text = F.regexp_replace(F.decode(F.substring(data, i + 1, F.lit(width)), "ISO-8859-1"), "[^\\x20-\\x7E]", ".")
-        return F.concat(F.lpad(F.lower(F.hex(i)), 8, "0"), F.lit("  "), F.rtrim(F.regexp_replace(part, "(..)", "$1 ")), F.lit("  "), text)
-
-    return F.when(F.octet_length(data) > 0, F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1, F.lit(width)), line)).otherwise(F.array().cast("array<string>"))
-
-
 def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KiB"))).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit(" MiB")))

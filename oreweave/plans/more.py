@@ -58,9 +58,7 @@ def a14_correlation(spark, sf):
 
 @query("SELECT file, round(min(h), 5) AS low, round(max(h), 5) AS high, round(avg(h), 5) AS mean, count(*) FILTER (h >= 4) AS dense FROM (SELECT file, slice, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT file, ((pos + 1) * 8 - 1) // n AS slice, byte, count(*) AS n FROM byte GROUP BY ALL) GROUP BY file, slice) GROUP BY file", BYTES)
 def a23_entropy_summary(spark, sf):
-    rows = files(spark, sf).select("file", F.octet_length("data").alias("n"), F.posexplode(bs.byte_values(F.col("data"))).alias("pos", "byte"))
-    counts = rows.groupBy("file", bs.slices(F.col("n"), F.col("pos"), 8).alias("slice"), "byte").agg(F.count("*").alias("n"))
-    e = bs.entropy(counts, ["file", "slice"])
+    e = bs.slice_entropies(files(spark, sf), 8)
     return e.groupBy("file").agg(F.round(F.min("entropy"), 5).alias("low"), F.round(F.max("entropy"), 5).alias("high"), F.round(F.avg("entropy"), 5).alias("mean"), F.count_if(F.col("entropy") >= 4).alias("dense"))
 
 
@@ -77,11 +75,8 @@ def a27_strategies(spark, sf):
 
 @query("SELECT file, view, round(score, 4) AS score FROM (SELECT file, view, score, row_number() OVER (PARTITION BY file ORDER BY round(score, 9) DESC, o) AS k FROM (SELECT file, 0 AS o, 'all' AS view, avg(byte) AS score FROM byte GROUP BY file UNION ALL SELECT file, 1, 'even', avg(byte) FROM byte WHERE pos % 2 = 0 GROUP BY file UNION ALL SELECT file, 2, 'odd', avg(byte) FROM byte WHERE pos % 2 = 1 GROUP BY file)) WHERE k = 1", BYTES)
 def w03_best_view(spark, sf):
-    """The best of three readings of each file; on equal scores the first. One pass, three conditional averages."""
-    even = F.col("pos") % 2 == 0
-    scores = bs.exploded(files(spark, sf)).groupBy("file").agg(F.avg("byte").alias("all"), F.avg(F.when(even, F.col("byte"))).alias("even"), F.avg(F.when(~even, F.col("byte"))).alias("odd"))
-    best = F.array_max(F.array(*(F.struct(F.round(v, 9).alias("r"), F.lit(-i).alias("o"), F.lit(v).alias("view"), F.col(v).alias("score")) for i, v in enumerate(("all", "even", "odd")))))
-    return scores.select("file", best.alias("b")).select("file", "b.view", F.round("b.score", 4).alias("score"))
+    """The best of three readings of each file; on equal scores the first."""
+    return bs.views(files(spark, sf)).select("file", "view", F.round("score", 4).alias("score"))
 
 
 @query(" SELECT file, min(s) AS start, max(e) AS end_, count(*) AS n FROM (SELECT *, sum(CASE WHEN s - reach <= 8 AND s // 32 <> (reach - 1) // 32 AND id = p THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s, seq) AS g FROM (SELECT file, seq, id, offset_ AS s, offset_ + size AS e, lag(offset_ + size) OVER (PARTITION BY file ORDER BY offset_, seq) AS reach, lag(id) OVER (PARTITION BY file ORDER BY offset_, seq) AS p FROM chunks)) GROUP BY file, g", b.CHUNKS)
@@ -116,17 +111,16 @@ def w14_strides(spark, sf):
 
 @query("SELECT file, n, max_run, CASE WHEN distinct_ = 1 THEN true ELSE false END AS padding FROM (SELECT file, any_value(n) AS n, count(DISTINCT byte) AS distinct_ FROM byte GROUP BY file) JOIN (SELECT file, coalesce(max(c), 0) AS max_run FROM (SELECT file, count(*) AS c FROM (SELECT file, pos, pos - row_number() OVER (PARTITION BY file ORDER BY pos) AS run FROM byte WHERE byte BETWEEN 32 AND 126) GROUP BY file, run) GROUP BY file) USING (file)", BYTES)
 def f11_printable_runs(spark, sf):
-    f = files(spark, sf)
-    longest = bs.strings(f, 1).groupBy("file").agg(F.max("length").alias("max_run"))
-    kinds = bs.exploded(f).groupBy("file").agg(F.count("*").alias("n"), (F.countDistinct("byte") == 1).alias("padding"))
-    return kinds.join(longest, "file")
+    return bs.previews(files(spark, sf))
+
+
+_DUMP = """l AS (SELECT file, h, n, i FROM files, (SELECT unnest(range((SELECT max(n) FROM files) // 16 + 1)) AS i) WHERE 16 * i < n),
+    c AS (SELECT file, pos // 16 AS i, string_agg(CASE WHEN byte BETWEEN 32 AND 126 THEN chr(byte) ELSE '.' END, '' ORDER BY pos) AS shown FROM byte GROUP BY ALL)"""
 
 
-@query("SELECT item_id, lower(substr(h, 1, 32)) AS first_line, (length(h) // 2 + 15) // 16 AS lines FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)")
+@query("SELECT file, i::INT AS line, lower(printf('%08x', 16 * i)) || '  ' || rtrim(regexp_replace(lower(substr(h, (32 * i + 1)::INT, 32)), '(..)', '\\1 ', 'g')) || '  ' || shown AS text FROM l JOIN c USING (file, i)", BYTES, _DUMP)
 def f17_hexdump(spark, sf):
-    d = b.table(spark, sf, "benchmark").select("item_id", text.hexdump(F.col("text").cast("binary")).alias("lines"))
-    first = F.replace(F.substring(F.element_at("lines", 1), 11, 47), F.lit(" "), F.lit(""))
-    return d.select("item_id", first.alias("first_line"), F.size("lines").cast("long").alias("lines"))
+    return bs.hexdump(files(spark, sf))
 
 
 @query("SELECT file, pos::INT AS pos, 'big' AS endian FROM files, (SELECT unnest(range((SELECT max(n) FROM files))) AS pos) WHERE pos + 2 <= n AND substr(h, (2 * pos + 1)::INT, 4) = '7468' UNION ALL SELECT file, pos::INT, 'little' FROM files, (SELECT unnest(range((SELECT max(n) FROM files))) AS pos) WHERE pos + 2 <= n AND substr(h, (2 * pos + 1)::INT, 4) = '6874'", BYTES)
@@ -135,19 +129,25 @@ def f31_scan_value(spark, sf):
     return bs.find(f, b"th").withColumn("endian", F.lit("big")).unionByName(bs.find(f, b"ht").withColumn("endian", F.lit("little")))
 
 
-@query("SELECT vec_id, round(CASE WHEN e < 2 OR e > 7.7 THEN 0 ELSE greatest(0, least(1, (greatest(r1, r2) - 0.25) / 0.5)) * greatest(0, least(1, greatest(-r4, -r8, 0, r4, r8, r2 - r1) / 0.3)) * greatest(0, least(1, (0.70 - p) / 0.35)) * (0.25 + 0.75 * greatest(0, least(1, (s - 2) / 14))) END, 6) AS score FROM (SELECT vec_id, abs(embedding[1]) * 4 AS r1, abs(embedding[2]) * 4 AS r2, embedding[3] AS r4, embedding[4] AS r8, abs(embedding[5]) AS p, abs(embedding[6]) * 90 AS s, abs(embedding[7]) * 40 AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings))")
+_LIKE_SOUND = """x AS (SELECT file, n, pos, xor(byte, 170) AS byte FROM byte),
+    v AS (SELECT file, w, pos, byte FROM x, (SELECT unnest(range((SELECT max(n) FROM files) // 128 + 1)) AS w) WHERE pos >= w * 128 AND pos < w * 128 + 256 AND w * 128 + 256 <= n),
+    d AS (SELECT file, w, pos, byte, byte - avg(byte) OVER (PARTITION BY file, w) AS d FROM v),
+    l AS (SELECT *, lag(d, 1) OVER o AS l1, lag(d, 2) OVER o AS l2, lag(d, 4) OVER o AS l4, lag(d, 8) OVER o AS l8 FROM d WINDOW o AS (PARTITION BY file, w ORDER BY pos)),
+    r AS (SELECT file, w, sum(d * l1) / sum(d * d) AS r1, sum(d * l2) / sum(d * d) AS r2, sum(d * l4) / sum(d * d) AS r4, sum(d * l8) / sum(d * d) AS r8, stddev_pop(byte) AS s,
+          avg(CASE WHEN byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13) THEN 1.0 ELSE 0.0 END) AS p FROM l GROUP BY file, w),
+    h AS (SELECT file, w, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (SELECT file, w, byte, count(*) AS c FROM v GROUP BY ALL) GROUP BY file, w)"""
+
+
+@query("SELECT file, w::INT AS window, round(CASE WHEN e < 2 OR e > 7.7 THEN 0 ELSE greatest(0, least(1, (greatest(r1, r2) - 0.25) / 0.5)) * greatest(0, least(1, greatest(abs(r4), abs(r8), 0, r2 - r1) / 0.3)) * greatest(0, least(1, (0.70 - p) / 0.35)) * (0.25 + 0.75 * greatest(0, least(1, (s - 2) / 14))) END, 6) AS score FROM r JOIN h USING (file, w)", BYTES, _LIKE_SOUND)
 def f36_audio_score(spark, sf):
-    v = lambda i: F.get(F.col("embedding"), i).cast("double")
-    score = bs.audio_score(F.abs(v(0)) * 4, F.abs(v(1)) * 4, v(2), v(3), F.abs(v(4)), F.abs(v(5)) * 90, F.abs(v(6)) * 40)
-    return b.table(spark, sf, "embeddings").select("vec_id", F.round(score, 6).alias("score"))
+    """Windows of files whose bytes are xored with 170: none of them is text."""
+    return bs.audio_scores(bs.transformed(files(spark, sf), key=170)).select("file", "window", F.round("score", 6).alias("score"))
 
 
 @query("SELECT file, arg_min(key, round(roughness, 9) * 1000 + key)::INT AS key FROM (SELECT file, k AS key, avg(abs(d)) AS roughness FROM (SELECT file, k, xor(byte, k::INT) - lag(xor(byte, k::INT)) OVER (PARTITION BY file, k ORDER BY pos) AS d FROM byte, (SELECT unnest([0, 1, 90, 128, 255]) AS k)) GROUP BY file, k) GROUP BY file", BYTES)
 def f40_refined_key(spark, sf):
-    keyed = bs.exploded(files(spark, sf)).withColumn("key", F.explode(F.array(*map(F.lit, (0, 1, 90, 128, 255))))).withColumn("x", F.col("byte").bitwiseXOR(F.col("key")))
-    d = keyed.withColumn("d", F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("file", "key").orderBy("pos"))))
-    rough = d.groupBy("file", "key").agg(F.avg("d").alias("r"))
-    return rough.groupBy("file").agg(F.min_by("key", F.round("r", 9) * 1000 + F.col("key")).alias("key"))
+    rough = bs.roughness(files(spark, sf), (0, 1, 90, 128, 255))
+    return rough.groupBy("file").agg(F.min_by("key", F.round("roughness", 9) * 1000 + F.col("key")).alias("key"))
 
 
 @query("SELECT event_id, array_to_string(list_filter(json_keys(props), lambda k: k NOT IN ('v', 'w')), ',') AS unknown FROM events WHERE len(list_filter(json_keys(props), lambda k: k NOT IN ('v', 'w'))) > 0")

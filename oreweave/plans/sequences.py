@@ -37,45 +37,38 @@ def a09_byte_histogram(spark, sf):
 
 @query("SELECT file, sum(n)::BIGINT AS total, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT file, byte, count(*) AS n FROM byte GROUP BY ALL) GROUP BY file", BYTES)
 def a10_entropy(spark, sf):
-    e = bs.entropy(bs.histogram(files(spark, sf)), ["file"])
-    return e.select("file", "total", F.round("entropy", 6).alias("entropy"))
+    return bs.entropies(files(spark, sf)).select("file", "total", F.round("entropy", 6).alias("entropy"))
 
 
 @query("SELECT file, round(avg(CASE WHEN byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13) THEN 1.0 ELSE 0.0 END), 6) AS printable FROM byte GROUP BY file", BYTES)
 def a11_printable(spark, sf):
-    return bs.exploded(files(spark, sf)).groupBy("file").agg(F.round(F.avg(F.when(F.col("byte").between(32, 126) | F.col("byte").isin(9, 10, 13), 1.0).otherwise(0.0)), 6).alias("printable"))
+    return bs.printable_shares(files(spark, sf)).select("file", F.round("printable", 6).alias("printable"))
 
 
 @query("SELECT file, w::INT AS window, (n - 64) // 32 + 1 AS windows, substr(h, (64 * w + 1)::INT, 128) AS digits FROM files, (SELECT unnest(range((SELECT max(n) FROM files))) AS w) WHERE w * 32 + 64 <= n", BYTES)
 def w01_windows(spark, sf):
-    w = bs.windows(files(spark, sf), 64, 32)
-    n = files(spark, sf).select("file", (F.expr("(octet_length(data) - 64) div 32") + 1).cast("long").alias("windows"))
-    return w.join(n, "file").select("file", "window", "windows", F.hex("data").alias("digits"))
+    return bs.windows(files(spark, sf), 64, 32).select("file", "window", "windows", F.hex("data").alias("digits"))
 
 
-_AUTO = """d AS (SELECT file, w, pos, byte - avg(byte) OVER (PARTITION BY file, w) AS d FROM byte, (SELECT unnest(range(200)) AS w) WHERE pos >= w * 128 AND pos < w * 128 + 256 AND w * 128 + 256 <= n),
+_AUTO = """d AS (SELECT file, w, pos, byte - avg(byte) OVER (PARTITION BY file, w) AS d FROM byte, (SELECT unnest(range((SELECT max(n) FROM files) // 128 + 1)) AS w) WHERE pos >= w * 128 AND pos < w * 128 + 256 AND w * 128 + 256 <= n),
     l AS (SELECT file, w, d, lag(d, 1) OVER o AS l1, lag(d, 2) OVER o AS l2, lag(d, 4) OVER o AS l4, lag(d, 8) OVER o AS l8 FROM d WINDOW o AS (PARTITION BY file, w ORDER BY pos))"""
 
 
 @query("SELECT file, w::INT AS window, round(sum(d * l1) / sum(d * d), 5) AS r1, round(sum(d * l2) / sum(d * d), 5) AS r2, round(sum(d * l4) / sum(d * d), 5) AS r4, round(sum(d * l8) / sum(d * d), 5) AS r8 FROM l GROUP BY file, w", BYTES, _AUTO)
 def w04_autocorrelation(spark, sf):
-    w = bs.windows(files(spark, sf), 256, 128).select(F.struct("file", "window").alias("file"), "data")
-    r = bs.autocorrelations(bs.exploded(w), ["file"], "pos", "byte")
-    return r.select("file.file", "file.window", *(F.round(c, 5).alias(c) for c in ("r1", "r2", "r4", "r8")))
+    r = bs.autocorrelations(files(spark, sf), 256, 128)
+    return r.select("file", "window", *(F.round(c, 5).alias(c) for c in ("r1", "r2", "r4", "r8")))
 
 
 @query("SELECT file, slice::INT AS slice, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 5) AS entropy FROM (SELECT file, ((pos + 1) * 8 - 1) // n AS slice, byte, count(*) AS n FROM byte GROUP BY ALL) GROUP BY file, slice",
     BYTES)
 def w05_sliced_entropy(spark, sf):
-    f = files(spark, sf)
-    rows = f.select("file", F.octet_length("data").alias("n"), F.posexplode(bs.byte_values(F.col("data"))).alias("pos", "byte"))
-    counts = rows.groupBy("file", bs.slices(F.col("n"), F.col("pos"), 8).alias("slice"), "byte").agg(F.count("*").alias("n"))
-    return bs.entropy(counts, ["file", "slice"]).select("file", "slice", F.round("entropy", 5).alias("entropy"))
+    return bs.slice_entropies(files(spark, sf), 8).select("file", "slice", F.round("entropy", 5).alias("entropy"))
 
 
 @query("SELECT file, CASE WHEN byte = 0 THEN 'null' WHEN byte = 255 THEN 'ff' WHEN byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13) THEN 'ascii' WHEN byte < 32 THEN 'ctrl' ELSE 'high' END AS class, count(*) AS n FROM byte GROUP BY ALL", BYTES)
 def f35_byte_classes(spark, sf):
-    return bs.exploded(files(spark, sf)).groupBy("file", bs.byte_class(F.col("byte")).alias("class")).agg(F.count("*").alias("n"))
+    return bs.byte_classes(files(spark, sf))
 
 
 @query("SELECT file, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS little, ('0x' || substr(h, 1, 8))::BIGINT AS big, ('0x' || substr(h, 9, 6))::BIGINT AS big24 FROM files", BYTES)
@@ -98,8 +91,7 @@ def w12_strings(spark, sf):
     BYTES)
 def w11_changed_ranges(spark, sf):
     f = files(spark, sf)
-    diff = bs.changed(f.where("file % 2 = 0"), f.where("file % 2 = 1").select((F.col("file") - 1).alias("file"), "data")).withColumn("one", F.lit(1))
-    return isl.runs(diff, ["file"], "pos", "one", 1).drop("one")
+    return bs.changed_ranges(f.where("file % 2 = 0"), f.where("file % 2 = 1").select((F.col("file") - 1).alias("file"), "data"))
 
 
 QUERIES["j21_changed_bytes"] = lambda spark, sf: bs.changed(files(spark, sf).where("file % 2 = 0"), files(spark, sf).where("file % 2 = 1").select((F.col("file") - 1).alias("file"), "data"))
@@ -108,18 +100,13 @@ ORACLE_SQL["j21_changed_bytes"] = f"WITH {BYTES} SELECT x.file, x.pos::INT AS po
 
 @query("SELECT file, sum(xor(byte, 90))::BIGINT AS xored, sum(((byte >> 3) | (byte << 5)) & 255)::BIGINT AS rotated, sum(((byte >> 4) | (byte << 4)) & 255)::BIGINT AS swapped FROM byte GROUP BY file", BYTES)
 def f39_reversible_transforms(spark, sf):
-    v = files(spark, sf).select("file", bs.byte_values(F.col("data")).alias("v"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
-    return v.select("file", total(bs.transformed(F.col("v"), key=90)).alias("xored"), total(bs.transformed(F.col("v"), rotate=3)).alias("rotated"), total(bs.transformed(F.col("v"), swap=True)).alias("swapped"))
+    return bs.transform_sums(files(spark, sf), xored=bs.table_of(key=90), rotated=bs.table_of(rotate=3), swapped=bs.table_of(swap=True))
 
 
 @query("SELECT file, k::INT AS key, round(avg(abs(d)), 4) AS roughness FROM (SELECT file, k, xor(byte, k::INT) - lag(xor(byte, k::INT)) OVER (PARTITION BY file, k ORDER BY pos) AS d FROM byte, (SELECT unnest([0, 1, 90, 128, 255]) AS k)) GROUP BY file, k", BYTES)
 def j19_transform_candidates(spark, sf):
-    """Every file under each candidate key: the candidates are a literal, so the file is exploded by them."""
-    keyed = bs.exploded(files(spark, sf)).withColumn("key", F.explode(F.array(*map(F.lit, (0, 1, 90, 128, 255)))))
-    x = keyed.withColumn("x", F.col("byte").bitwiseXOR(F.col("key")))
-    d = x.withColumn("d", F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("file", "key").orderBy("pos"))))
-    return d.groupBy("file", "key").agg(F.round(F.avg("d"), 4).alias("roughness"))
+    """Every file under each candidate key."""
+    return bs.roughness(files(spark, sf), (0, 1, 90, 128, 255)).select("file", "key", F.round("roughness", 4).alias("roughness"))
 
 
 _DAY = "ev AS (SELECT user_id, (epoch_us(ts) // 3600000000)::BIGINT AS hour, value FROM events)"
