@@ -1,19 +1,20 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
-A text is cut into clauses of its paragraphs (after each line end and each of `.!?,;|`; the pieces joined give
-the text again). Each piece is hashed to a wide vector of small numbers, and the vectors are summed modulo a
-power of two: eight lanes of 32 bits tell texts apart, 128 lanes of 16 bits count the set bits of two more
-hashes and make likeness measurable. Sums don't depend on order, and pieces can be added or taken away with
+A text is cut into paragraphs, and these into clauses (after each line end and each of `.!?,;|`; the pieces joined give
+the text again), so that a text of one paragraph can be like another in part. Each piece is hashed to a wide vector of
+small numbers, and the vectors are summed modulo 2^32: eight lanes tell texts apart, 128 lanes count the set bits
+of two more hashes and make likeness measurable. Sums don't depend on order, and pieces can be added or taken away with
 `insert` and `delete` alone. Likeness is the cosine of the centred counts, an estimate of the share of common
-pieces with a standard deviation near 0.09, cut to 0..1.
+pieces with a standard deviation near 0.09, cut to 0..1. Counts are exact up to 2^31 pieces, more than a text can have.
 
 The edited text of a document needs the next one in descending order of doc_id. Documents are dealt to ranges
-of doc_id (bounds from approximate percentiles), each range is one group of a window, and the first row of
-each range, one a range, is handed to the last of the range before it. Texts are shuffled once; hashing,
-summing and the window share that partitioning.
+of doc_id (bounds from approximate percentiles, as many as there are `range_bytes` of text), each range is one group of a
+window, and the first row of each range, one a range, is handed to the last of the range before it. An id (or null) that
+fills several ranges is dealt to them by its texts' hashes. Texts are shuffled once; hashing, summing and the window share
+that partitioning.
 
 Defined cases: a null text is empty; the fingerprint of an empty text is that of no pieces, and two empty
-texts have likeness 1; rows are ordered by doc_id descending, nulls last, then text descending, so repeated
+texts have likeness 1; rows are ordered by doc_id descending, nulls last, then by the texts' hashes, so repeated
 rows follow each other; a table of one row is its own next; no rows give no rows.
 """
 
@@ -28,7 +29,7 @@ from oreweave.llm import base
 
 #: Hash seeds: four for equality (two lanes of 32 bits each), two for the 128 counting lanes.
 EQUAL, COUNTED = 4, 2
-LANE16, LANE32 = 0xFFFF, 0xFFFFFFFF
+LANE = 0xFFFFFFFF
 
 
 def pieces(text: Column) -> Column:
@@ -40,7 +41,7 @@ def _sums() -> list[Column]:
     out = [F.count("piece").alias("n")]
     for seed in range(EQUAL):
         h = F.xxhash64(F.lit(seed), "piece")
-        out += [F.sum(F.when(F.col("piece").isNotNull(), h.bitwiseAND(F.lit(LANE32)))).alias(f"e{2 * seed}"), F.sum(F.when(F.col("piece").isNotNull(), F.shiftrightunsigned(h, 32))).alias(f"e{2 * seed + 1}")]
+        out += [F.sum(F.when(F.col("piece").isNotNull(), h.bitwiseAND(F.lit(LANE)))).alias(f"e{2 * seed}"), F.sum(F.when(F.col("piece").isNotNull(), F.shiftrightunsigned(h, 32))).alias(f"e{2 * seed + 1}")]
     for seed in range(COUNTED):
         h = F.xxhash64(F.lit(EQUAL + seed), "piece")
         # Bits i and i + 32 of the hash in the two halves of a long: no carry below 2^31 pieces.
@@ -49,18 +50,18 @@ def _sums() -> list[Column]:
 
 
 def _lanes() -> Column:
-    """struct<n, equal: 8 lanes modulo 2^32, counts: 128 lanes modulo 2^16> of the sums."""
+    """struct<n, equal: 8 lanes, counts: 128 lanes> of the sums, all modulo 2^32."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    equal = F.array(*(zero(f"e{i}").bitwiseAND(F.lit(LANE32)) for i in range(2 * EQUAL)))
+    equal = F.array(*(zero(f"e{i}").bitwiseAND(F.lit(LANE)) for i in range(2 * EQUAL)))
     packed = F.array(*(zero(f"c{i}") for i in range(32 * COUNTED)))
-    counts = F.flatten(F.transform(packed, lambda x: F.array(x.bitwiseAND(F.lit(LANE16)), F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(LANE16)))))
-    return F.struct(F.col("n").alias("n"), equal.alias("equal"), counts.alias("counts"))
+    counts = F.flatten(F.transform(packed, lambda x: F.array(x.bitwiseAND(F.lit(LANE)), F.shiftrightunsigned(x, 32))))
+    return F.struct(F.col("n").bitwiseAND(F.lit(LANE)).alias("n"), equal.alias("equal"), counts.alias("counts"))
 
 
 def as_text(lanes: Column) -> Column:
     """The fingerprint as lower-case hexadecimal digits of one length."""
-    wide = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
-    return F.concat(F.lpad(F.lower(F.hex(lanes["n"].bitwiseAND(F.lit(LANE32)))), 8, "0"), wide(lanes["equal"], 8), wide(lanes["counts"], 4))
+    wide = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.concat(F.lpad(F.lower(F.hex(lanes["n"])), 8, "0"), wide(lanes["equal"]), wide(lanes["counts"]))
 
 
 def insert(lanes: Column, other: Column) -> Column:
@@ -74,12 +75,12 @@ def delete(lanes: Column, other: Column) -> Column:
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    lane = lambda most: lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(most))
-    return F.struct((a["n"] + F.lit(sign) * b["n"]).alias("n"), F.zip_with(a["equal"], b["equal"], lane(LANE32)).alias("equal"), F.zip_with(a["counts"], b["counts"], lane(LANE16)).alias("counts"))
+    lane = lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(LANE))
+    return F.struct(lane(a["n"], b["n"]).alias("n"), F.zip_with(a["equal"], b["equal"], lane).alias("equal"), F.zip_with(a["counts"], b["counts"], lane).alias("counts"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; 1 for equal fingerprints. Counts are centred by half the number of pieces."""
+    """0 to 1; 1 for equal fingerprints. Counts are centred by half the number of pieces; neither wraps."""
     centred = lambda x: F.transform(x["counts"], lambda c: (c * 2 - x["n"]).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     u, v = centred(a), centred(b)
@@ -97,19 +98,30 @@ def fingerprints(docs: DataFrame, keys: list[str], texts: dict[str, str]) -> Dat
 
 
 def _ranges(docs: DataFrame, ranges: int) -> Column:
-    """The number of the range of doc_id, 0 for the largest ids; bounds are looked up in two steps."""
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
-    bounds = sorted(set(bounds or []))
+    """The number of each row's range, ascending in the order of the rows; bounds are looked up in two steps.
+
+    docs: doc_id and `part`, in [0, 1), by which rows of an id that fills several ranges are dealt to them.
+    """
+    share = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges) if ranges > 1 else F.lit(None)
+    found = docs.agg(share.alias("bounds"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    bounds = sorted(found["bounds"] or [])
+    without = max(1, math.ceil(ranges * found["nulls"] / max(1, found["n"])))
+    least = len(bounds) + F.floor(F.col("part") * without).cast("int") + 1
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), least).otherwise(F.lit(0))
     step = max(1, math.isqrt(len(bounds)))
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not blocks:
-        return F.lit(0)
-    heads = F.array(*(F.lit(b[0]) for b in blocks))
-    inner = F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks))
-    below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("doc_id")))
-    block = below(heads)
-    at = F.when(block == 0, 0).otherwise((block - 1) * step + below(F.element_at(inner, F.greatest(block, F.lit(1)))))
-    return F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - at)
+
+    def count(test) -> Column:
+        """How many bounds pass; those that do come first."""
+        block = F.size(F.filter(F.array(*(F.lit(b[0]) for b in blocks)), test))
+        inner = F.element_at(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), F.greatest(block, F.lit(1)))
+        return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(inner, test)))
+
+    below, upto = count(lambda x: x < F.col("doc_id")), count(lambda x: x <= F.col("doc_id"))
+    # An id that is a bound more than once goes to as many ranges, its rows of large parts first.
+    at = below + F.least(upto - below, F.floor(F.col("part") * (upto - below)).cast("int") + 1)
+    return F.when(F.col("doc_id").isNull(), least).otherwise(len(bounds) - at)
 
 
 def with_next(rows: DataFrame, order: list[Column], value: str, into: str) -> DataFrame:
@@ -123,16 +135,22 @@ def with_next(rows: DataFrame, order: list[Column], value: str, into: str) -> Da
     return rows.join(over, rows["range"] == over["_range"]).withColumn(into, F.coalesce("_next", "_over")[value]).drop("_next", "_rank", "_range", "_over")
 
 
-def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def edited(docs: DataFrame, ranges: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, range, rank, text, n_chars, edited: the second half of each text replaced by the start of the next document."""
     spark = docs.sparkSession
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    rows = with_next(docs.withColumn("range", _ranges(docs, ranges)), order, "text", "next_text")
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / range_bytes))
+    part = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    docs = docs.withColumn("part", part)
+    # Ids fall from range to range; of one id, and of none, those of larger and of smaller parts come first.
+    hashed = F.when(F.col("doc_id").isNull(), F.col("part")).otherwise(-F.col("part"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hashed"), F.col("text").desc()]
+    rows = with_next(docs.withColumns({"range": _ranges(docs, ranges), "hashed": hashed}), order, "text", "next_text")
     rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "rank": F.row_number().over(Window.partitionBy("range").orderBy(*order))})
     swap = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
-    return rows.withColumn("edited", swap).drop("next_text")
+    return rows.withColumn("edited", swap).drop("next_text", "part", "hashed")
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:

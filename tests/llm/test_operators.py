@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -415,8 +416,9 @@ def test_label_model_finds_the_rare_class():
 def test_fingerprints(spark, docs, empty):
     got = fingerprint.report(spark, docs).collect()
     order = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
-    # Rows of one doc_id follow each other by text, descending.
-    order.sort(key=lambda r: r.text or "", reverse=True)
+    # Rows of one doc_id follow each other by their texts' hashes, those without one in the other direction.
+    part = lambda r: xxhash.xxh64_intdigest((r.text or "").encode(), 42) >> 11
+    order.sort(key=lambda r: part(r) if r.doc_id is None else -part(r))
     order.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
     want = []
     for i, r in enumerate(order):
@@ -432,22 +434,75 @@ def test_fingerprints(spark, docs, empty):
         if len(texts[r.doc_id]) == 1:
             by_text[next(iter(texts[r.doc_id]))].add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
     assert sum(r.near_edited for r in got) > 1.5 * sum(r.near_next for r in got)
+    want = []
+    for i, r in enumerate(order):
+        own, other = r.text or "", order[(i + 1) % len(order)].text or ""
+        a, b, c = (multiset_hash(t) for t in (own, own[: len(own) - len(own) // 2] + other[: len(own) // 2], other))
+        want.append((str(r.doc_id), a[0], b[0], round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    assert sorted((str(r.doc_id), r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
     assert fingerprint.report(spark, empty).count() == 0
     assert fingerprint.report(spark, docs.where("doc_id = 7").limit(1)).count() == 1
 
 
+def multiset_hash(text):
+    """Fingerprint, number of pieces and counts of set bits, by the definition."""
+    found = [x.encode() for x in re.split("(?<=[.!?,;|\n])", text) if x]
+    seeds = [xxhash.xxh64_intdigest(struct.pack("<i", i), 42) for i in range(6)]
+    hashes = [[xxhash.xxh64_intdigest(x, s) for x in found] for s in seeds]
+    equal = [v for h in hashes[:4] for v in (sum(x & 0xFFFFFFFF for x in h) % 2**32, sum(x >> 32 for x in h) % 2**32)]
+    counts = [sum(x >> i + k & 1 for x in h) for h in hashes[4:] for i in range(32) for k in (0, 32)]
+    return "".join(f"{x:08x}" for x in (len(found), *equal, *counts)), len(found), counts
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    u, v = ([2 * c - x[1] for c in x[2]] for x in (a, b))
+    norm = math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+    return min(1.0, max(0.0, sum(x * y for x, y in zip(u, v, strict=True)) / norm)) if norm else 0.0
+
+
+def test_likeness_of_very_long_texts(spark):
+    """More pieces than 2^17, unlike and all alike."""
+    texts = {"x": "".join(f"{i}." for i in range(140_000)), "y": "".join(f"{i}!" for i in range(140_000)), "z": "a." * 200_000, "w": "a." * 200_000 + "b."}
+    lanes = fingerprint.fingerprints(spark.createDataFrame([(1, *texts.values())], "k int, x string, y string, z string, w string"), ["k"], {c: c for c in texts})
+    pairs = ("xy", "zw", "xz")
+    got = lanes.select(*(fingerprint.likeness(F.col(p[0]), F.col(p[1])).alias(p) for p in pairs)).first()
+    plain = {c: multiset_hash(t) for c, t in texts.items()}
+    for p in pairs:
+        assert got[p] == pytest.approx(plain_likeness(plain[p[0]], plain[p[1]]), abs=1e-9)
+    assert got.xy < 0.4 and 0.99 < got.zw < 1
+
+
 def test_fingerprints_are_homomorphic(spark):
-    df = spark.createDataFrame([(1, "a. b. c.", "b. a.", " c.")], "k int, x string, y string, z string")
-    lanes = fingerprint.fingerprints(df, ["k"], {"x": "x", "y": "y", "z": "z"})
-    swapped = fingerprint.fingerprints(df.select("k", F.lit(" b.a. c.").alias("x"), F.lit("a. b.").alias("y"), "z"), ["k"], {"x": "x", "y": "y", "z": "z"})
+    """Order doesn't matter, and pieces can be put in and taken out."""
+    texts = {"x": "a. b. c.", "y": " b.a. c.", "z": " c.", "w": "a. b."}
+    df = spark.createDataFrame([(1, *texts.values())], "k int, x string, y string, z string, w string")
+    lanes = fingerprint.fingerprints(df, ["k"], {c: c for c in texts})
+    text = lambda c: fingerprint.as_text(c)
+    x, y, z, w = (F.col(c) for c in texts)
     r = lanes.select(
-        (fingerprint.as_text(fingerprint.insert(fingerprint.delete(F.col("x"), F.col("z")), F.col("z"))) == fingerprint.as_text(F.col("x"))).alias("same"),
-        fingerprint.likeness(F.col("x"), F.col("x")).alias("one"),
-    ).first()
-    assert r.same and r.one == 1
-    assert lanes.select(fingerprint.as_text("x") if False else fingerprint.as_text(F.col("x")).alias("v")).first().v != swapped.select(fingerprint.as_text(F.col("y")).alias("v")).first().v
+        (text(x) == text(y)).alias("order"), (text(fingerprint.insert(w, z)) == text(x)).alias("put"), (text(fingerprint.delete(x, z)) == text(w)).alias("taken"),
+        (text(fingerprint.insert(fingerprint.delete(x, z), z)) == text(x)).alias("back"), fingerprint.likeness(x, y).alias("one"), (text(x) == text(w)).alias("other"),
+    ).first()
+    assert r.order and r.put and r.taken and r.back and r.one == 1 and not r.other
+
+
+def test_ranges_of_one_id(spark):
+    """An id, and no id, with most of the rows are dealt to many ranges; every row still meets the one after it."""
+    r = random.Random(4)
+    data = [(i, f"t{i}") for i in range(40)] + [(20, f"same {r.random()}") for _ in range(400)] + [(None, f"none {r.random()}") for _ in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for ranges in (1, 2, 37):
+        rows = fingerprint.edited(df, ranges).collect()
+        assert len(rows) == len(data)
+        held = Counter(x.range for x in rows)
+        assert max(held.values()) <= (740 if ranges == 1 else 480 if ranges == 2 else 80)
+        part = lambda x: xxhash.xxh64_intdigest(x[1].encode(), 42) >> 11
+        order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), part(x) if x[0] is None else -part(x)))
+        want = {(d, t, t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2]) for i, (d, t) in enumerate(order)}
+        assert {(x.doc_id, x.text, x.edited) for x in rows} == want
 
 
 def test_near_duplicate_stage_matches_brute_force(spark, docs):
