@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -64,23 +65,51 @@ def crc_bucket(column: str, modulus: int) -> Column:
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the shared folder that the session's spark.checkpoint.dir names.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and everything runs on this machine (tests) is a temporary folder set.
     Scratch tables are deleted when the application ends.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="oreweave-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     own = f"{root.rstrip('/')}/oreweave-{sc.applicationId}"
     if own not in _roots:
         _roots.add(own)
         atexit.register(_drop, spark, own)
-    return f"{own}/{uuid.uuid4().hex}"
+    path = f"{own}/{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 _roots: set[str] = set()
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of the scratch tables that are made meanwhile."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not made]
+
+
+def reads(df: DataFrame) -> set[str]:
+    """The paths that df reads files from."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(k).toString() for k in range(roots.size())}
+    return out
 
 
 def _drop(spark: SparkSession, path: str) -> None:
