@@ -1,63 +1,5 @@
-"""From raw documents to token ids: quality rules, near-duplicates, repeated windows, source mixing, encoding.
+"""The corpus pipeline: see oreweave/llm/pipeline.py."""
 
-Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written as Parquet
-before the next one starts. All but the last return the columns of documents.
-"""
+from oreweave.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from oreweave.llm import base, bpe, mixing, quality_rules, shingles, suffix_dedup
-
-
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    base.ship(spark)
-    return quality_rules.filter_documents(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their five-word shingles) stays: the one of the smallest id."""
-    base.ship(spark)
-    return shingles.deduplicate(docs)
-
-
-def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 50-byte windows that a smaller document has too are taken out of the texts."""
-    base.ship(spark)
-    return suffix_dedup.remove(docs)
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets the same share; rows repeat as often as their Poisson draw says."""
-    base.ship(spark)
-    plain = ("doc_id", "text", "source")
-    return base.unwrap(mixing.mix(base.wrap(docs, *plain)), docs.columns, *plain)
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the text that they decode to."""
-    base.ship(spark)
-    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded")
-
-
-STAGES = [
-    ("quality rules", rules),
-    ("SimHash near-dedup", near_duplicates),
-    ("suffix-array dedup", repeated_windows),
-    ("mixing sources to target weights", source_mixing),
-    ("BPE encoding and decoding", encoding),
-]
-
-#: SQL can express neither the fingerprints nor the encoding; tests/llm has a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = base.cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
