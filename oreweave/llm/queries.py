@@ -70,11 +70,12 @@ ORACLE_SQL = {
     "op8_source_mixing": """
         WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         r AS (SELECT source, (SELECT sum(n) FROM n)::DOUBLE * 1.0 / ((SELECT count(*) FROM n)::DOUBLE * n) AS rate FROM n),
-        k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM r),
-        c AS (SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
-        a AS (SELECT source, list(cdf ORDER BY cdf) AS cdf FROM c GROUP BY source),
-        d AS (SELECT documents.*, (('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM documents),
-        m AS (SELECT d.*, len(list_filter(a.cdf, lambda x: x <= d.u)) AS copies FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
-        e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INT AS copy FROM m)
-        SELECT *, md5('mix order:' || doc_id::VARCHAR || ':' || copy::VARCHAR) AS mix_key FROM e""",
+        e AS (SELECT source, greatest(1, ceil(rate / 500))::INT AS chunks, rate / greatest(1, ceil(rate / 500))::INT AS each FROM r),
+        k AS (SELECT source, chunks, each, unnest(range(0, ceil(each + 12 * sqrt(each) + 30)::BIGINT + 1)) AS k FROM e),
+        c AS (SELECT source, chunks, sum(exp(k * ln(each) - each - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+        a AS (SELECT source, any_value(chunks) AS chunks, list(cdf ORDER BY cdf) AS cdf FROM c GROUP BY source),
+        p AS (SELECT documents.*, a.cdf, coalesce(doc_id::VARCHAR, 'text:' || coalesce(md5(text), '')) AS d, unnest(range(0, a.chunks)) AS chunk FROM documents JOIN a ON documents.source IS NOT DISTINCT FROM a.source),
+        m AS (SELECT *, len(list_filter(cdf, lambda x: x <= (('0x' || substr(md5('mix:' || d || CASE WHEN chunk > 0 THEN '#' || chunk::VARCHAR ELSE '' END), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0)) AS copies FROM p),
+        o AS (SELECT doc_id, text, lang, source, n_chars, d, (unnest(range(1, copies + 1)) + 2000 * chunk)::INT AS copy FROM m)
+        SELECT doc_id, text, lang, source, n_chars, copy, md5('mix order:' || d || ':' || copy::VARCHAR) AS mix_key FROM o""",
 }

@@ -373,7 +373,7 @@ def test_mixing_counts_and_draws(docs, empty):
     total = docs.count() * 2
     assert set(per) == {"s1", "s2"}
     assert abs(per["s1"] - total / 4) < 6 * math.sqrt(total / 4) and abs(per["s2"] - total * 3 / 4) < 6 * math.sqrt(total * 12)
-    assert key(mixing.mix(docs, weights, epochs=2.0, broadcast_sources=0)) == key(out)
+    assert key(mixing.mix(docs, weights, epochs=2.0, broadcast_bytes=0)) == key(out)
     assert mixing.mix(empty).count() == 0
     cdf = mixing.rates(docs, None, 1.0).collect()
     for r in cdf:
@@ -382,6 +382,37 @@ def test_mixing_counts_and_draws(docs, empty):
             total += p
             assert c == pytest.approx(total, abs=1e-12)
             p *= r.rate / (k + 1)
+        assert r.chunks == 1
+
+
+def test_mixing_repeats_a_rare_source_in_chunks(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") == 7, "rare").otherwise("s").alias("source"), F.lit(5).alias("copy"), F.lit("x").alias("rate"))
+    rate, want = 3000.0, []
+    each = rate / 6
+    for chunk in range(6):
+        u = int(hashlib.md5(f"mix:7{f'#{chunk}' if chunk else ''}".encode()).hexdigest()[:13], 16) / 2**52
+        p = total = math.exp(-each)
+        k = 0
+        while total <= u:
+            k += 1
+            p *= each / k
+            total += p
+        want += [2000 * chunk + i for i in range(1, k + 1)]
+    out = mixing.mix(df)
+    assert sorted(r["copy"] for r in out.where("doc_id = 7").collect()) == want
+    assert abs(len(want) - rate) < 6 * math.sqrt(rate)
+    assert out.columns == ["doc_id", "text", "source", "rate", "copy", "mix_key"] and {r.rate for r in out.take(3)} == {"x"}
+    assert max(len(r.cdf) for r in mixing.rates(df, None, 1.0).collect()) < 900
+
+
+def test_mixing_spreads_equal_rows(spark):
+    """Rows that are all the same, and rows without an id, aren't all in one partition."""
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 1).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("t")).otherwise(F.col("id").cast("string")).alias("text"), F.lit("s").alias("source")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = mixing.mix(df, epochs=3.0).select("doc_id", F.spark_partition_id().alias("at")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for doc_id in (1, None):
+        assert len({r["at"] for r in out if r.doc_id == doc_id}) > 1, doc_id
 
 
 def test_rule_counts_match_brute_force(docs, empty):
