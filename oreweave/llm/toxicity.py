@@ -63,7 +63,6 @@ class Index:
         self.idf = np.log((1.0 + n) / (1.0 + df))
         order = self._side_by_side(ids, terms, counts)
         self.ids, self.labels = ids[order], labels[order].astype(float)
-        self.place = {int(x): i for i, x in enumerate(self.ids)}
         vectors = [self.vector(terms[i], counts[i]) for i in order]
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
@@ -173,10 +172,10 @@ class Index:
                 break
         self.curve = beta
 
-    def score(self, text: str, doc_id: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Probability of label 1, and the evidence: neighbours and cosines. An example is no neighbour of itself."""
+    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """Probability of label 1, and the evidence: neighbours and cosines."""
         terms, counts = term_counts(text)
-        best, cosines = self.search(*self.vector(terms, counts), but=self.place.get(doc_id, -1))
+        best, cosines = self.search(*self.vector(terms, counts))
         vote = self.vote(best, cosines)
         if vote != vote:
             return self.silent, best, cosines
@@ -256,8 +255,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, t
         own = index.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in base.text_chunks(batches):
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            found = [own.score(t, i) for t, i in zip(base.texts_of(batch), ids, strict=True)]
+            found = [own.score(t) for t in base.texts_of(batch)]
             p = np.array([x[0] for x in found], dtype=float)
             evidence = [[{"doc_id": int(own.ids[i]), "label": int(own.labels[i]), "cosine": float(c)} for i, c in zip(best[:shown], cosines[:shown], strict=True)] for _, best, cosines in found]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")] + [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
