@@ -2,7 +2,9 @@
 
 Fingerprints count the bits of the XXH64 hashes of all word shingles of a text. Equal fingerprints are merged
 first, so a group of copies of any size is one point. A tree of vantage points is drawn from a bounded sample
-(`sample`, documented and hashed, so always the same); every point is then routed to the one leaf that owns it.
+(`sample`, documented and hashed, so always the same); every point is then routed to the one leaf that owns it. Where
+that sample is too small for leaves of `leaf` points, each leaf gets a tree of its own from as large a sample of its
+points, and so on: leaves stay as small however many points there are, and no sample grows with their number.
 A point whose distance to a vantage point is within the radius of the node's bound may have partners on the
 other side, and by the triangle inequality only then: it is sent there too, as a visitor. Owners that lie at or
 below the bound visit the upper side and not the other way round, so every near pair meets in exactly one leaf
@@ -17,6 +19,7 @@ doc_id are fingerprinted, but never name a component unless all of its rows have
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -121,9 +124,10 @@ def build(points: np.ndarray, radius: int, most: float) -> tuple[Node, int]:
     return grow(points), leaves
 
 
-def route(root: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(leaf, indices, owners or visitors)."""
-    todo = [(root, np.arange(len(points)), np.empty(0, dtype=np.int64))]
+def route(root: Node, points: np.ndarray, radius: int, owner: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(leaf, indices, owners or visitors). owner: which points are no visitors as they come; None: all."""
+    own = np.arange(len(points)) if owner is None else np.flatnonzero(owner)
+    todo = [(root, own, np.empty(0, dtype=np.int64) if owner is None else np.flatnonzero(~owner))]
     while todo:
         node, own, visit = todo.pop()
         if not len(own) + len(visit):
@@ -182,22 +186,56 @@ def leaf_links(own: np.ndarray, visit: np.ndarray, radius: int, small: int = 409
     return tuple(map(np.concatenate, zip(*used, strict=True)))
 
 
-def links(distinct: DataFrame, radius: int, leaf: int = 8192, sample: int = 1 << 16) -> DataFrame:
+#: Leaves that one tree can number.
+_LEAVES = 1 << 16
+DEALT = "leaf long, fp long, owner boolean"
+
+
+def _dealt(root: Node, above: int, fp: np.ndarray, radius: int, owner: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of DEALT for points that have come to leaf `above` of the trees before."""
+    for at, index, owns in route(root, fp.view(np.uint64), radius, owner):
+        yield {"leaf": np.full(len(index), above * _LEAVES + at, dtype=np.int64), "fp": fp[index], "owner": np.full(len(index), owns)}
+
+
+def _deeper(dealt: DataFrame, n: int, leaves: int, radius: int, leaf: int, sample: int, least: int) -> tuple[DataFrame, int, float]:
+    """dealt by a tree for each leaf, from about `sample` of its owners; the number of leaves and the share of the points."""
+    share = min(1.0, sample * leaves / n)
+    few = dealt.where(F.col("owner") & (F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        root, count = build(np.sort(part["fp"].to_numpy(dtype=np.int64)).view(np.uint64), radius, max(least, leaf * share))
+        return pd.DataFrame({"leaf": part["leaf"].iloc[:1], "tree": [pickle.dumps(root)], "n": [count]})
+
+    trees = base.cut(few.groupBy("leaf").applyInPandas(grow, "leaf long, tree binary, n long"))
+    salts = max(1, round(n / leaves / (1 << 20)))
+    shares = dealt.withColumn("salt", F.pmod(F.xxhash64("fp", "owner"), F.lit(salts))).groupBy("leaf", "salt")
+    copies = trees.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).groupBy("leaf", "salt")
+
+    def deal(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(points):
+            return pd.DataFrame({"leaf": [], "fp": [], "owner": []}).astype({"leaf": "int64", "fp": "int64", "owner": "bool"})
+        root = pickle.loads(tree["tree"].iloc[0]) if len(tree) else Node(leaf=0)
+        fp, owner = points["fp"].to_numpy(dtype=np.int64), points["owner"].to_numpy(dtype=bool)
+        return pd.concat(map(pd.DataFrame, _dealt(root, int(points["leaf"].iloc[0]), fp, radius, owner)))
+
+    return shares.cogroup(copies).applyInPandas(deal, DEALT), trees.agg(F.sum("n")).first()[0] or 1, share
+
+
+def links(distinct: DataFrame, radius: int, leaf: int = 8192, sample: int = 1 << 16, least: int = 64) -> DataFrame:
     """a, b: near pairs that are a spanning forest, leaf by leaf, of all pairs of distinct fingerprints within radius.
 
-    distinct: column fp, each value once, as a written table. The tree is drawn from at most about `sample` of
-    them (those with the smallest hashes).
+    distinct: column fp, each value once, as a written table. A tree is drawn from at most about `sample` points (those
+    with the smallest hashes), and no leaf from fewer than `least` of them.
     """
     n = distinct.count()
     share = min(1.0, sample / max(n, 1))
     few = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(dtype=np.int64)
-    root, _ = build(np.sort(few).view(np.uint64), radius, max(64, leaf * share))
+    root, leaves = build(np.sort(few).view(np.uint64), radius, max(least, leaf * share))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, index, owner in route(root, fp.view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), at, dtype=np.int32)), pa.array(fp[index]), pa.array(np.full(len(index), owner))], ["leaf", "fp", "owner"])
+            for part in _dealt(root, 0, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), radius):
+                yield pa.RecordBatch.from_pydict(part)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         fp, owner = part["fp"].to_numpy(dtype=np.int64), part["owner"].to_numpy(dtype=bool)
@@ -207,7 +245,13 @@ def links(distinct: DataFrame, radius: int, leaf: int = 8192, sample: int = 1 <<
         x, y = leaf_links(points[: owner.sum()].view(np.uint64), points[owner.sum() :].view(np.uint64), radius)
         return pd.DataFrame({"a": points[x], "b": points[y]})
 
-    return distinct.select("fp").mapInArrow(deal, "leaf int, fp long, owner boolean").groupBy("leaf").applyInPandas(compare, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(deal, DEALT)
+    while leaf * share < least:
+        before = leaves
+        dealt, leaves, share = _deeper(base.cut(dealt), n, leaves, radius, leaf, sample, least)
+        if leaves <= before:
+            break  # points that no vantage point divides
+    return dealt.groupBy("leaf").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

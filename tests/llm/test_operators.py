@@ -232,6 +232,25 @@ def test_simhash_components_match_brute_force(docs, empty):
     assert simhash.groups(empty).count() == 0
 
 
+def test_trees_below_trees_lose_no_pair(spark):
+    """Samples too small for one tree: leaves get trees of their own, and the forest joins up what all pairs do."""
+    import numpy as np
+
+    r = np.random.default_rng(12)
+    centres = r.integers(0, 2**63, 1500, dtype=np.int64)
+    flips = [1 << int(i) | 1 << int(j) for i, j in r.integers(0, 62, (1500, 2))]
+    points = np.unique(np.concatenate([centres, centres ^ np.array(flips), centres ^ np.array(flips[::-1])]))
+    table = spark.createDataFrame([(int(x),) for x in points], "fp long")
+    found = simhash.links(table, 2, leaf=40, sample=200, least=16).collect()
+    assert all((x.a ^ x.b).bit_count() <= 2 for x in found)
+    place = {int(x): i for i, x in enumerate(points)}
+    near = [np.flatnonzero(np.bitwise_count(points ^ x) <= 2) for x in points]
+    a, b = np.repeat(np.arange(len(points)), list(map(len, near))), np.concatenate(near)
+    want, _, _ = simhash.forest(np.arange(len(points)), a, b)
+    got, _, _ = simhash.forest(np.arange(len(points)), *(np.array([place[x[c]] for x in found]) for c in "ab"))
+    assert (want == got).all() and len(np.unique(want)) < len(points) - 1000
+
+
 def test_vantage_points_lose_no_pair():
     import numpy as np
 
@@ -239,8 +258,11 @@ def test_vantage_points_lose_no_pair():
     centre = r.integers(0, 1 << 63, 300, dtype=np.uint64)
     points = np.unique(np.concatenate([centre] + [centre ^ (np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)) for _ in range(4)]))
     for radius in (0, 2, 5):
-        whole = simhash.leaf_links(points, points[:0], radius, small=1 << 30)
-        assert (simhash.leaf_links(points, points[:0], radius, small=32) == whole).all()
+        joined = lambda pairs: simhash.forest(np.arange(len(points)), *pairs)[0]
+        forest = simhash.leaf_links(points, points[:0], radius, small=1 << 30)
+        whole = joined(forest)
+        assert len(forest[0]) == len(points) - len(np.unique(whole)) and (np.bitwise_count(points[forest[0]] ^ points[forest[1]]) <= radius).all()
+        assert (joined(simhash.leaf_links(points, points[:0], radius, small=32)) == whole).all()
         root, leaves = simhash.build(points[::3], radius, 20)
         parts = defaultdict(lambda: ([], []))
         for leaf, index, owner in simhash.route(root, points, radius):
@@ -250,8 +272,8 @@ def test_vantage_points_lose_no_pair():
             if own:
                 index = np.concatenate(own + visit)
                 n = sum(map(len, own))
-                part = simhash.leaf_links(points[index[:n]], points[index[n:]], radius)
-                labels = simhash.forest(labels, index, index[part])
+                a, b = simhash.leaf_links(points[index[:n]], points[index[n:]], radius)
+                labels, _, _ = simhash.forest(labels, index[a], index[b])
         assert leaves > 1 and (labels == whole).all()
 
 
