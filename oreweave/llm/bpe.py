@@ -25,11 +25,12 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from oreweave.llm import base
@@ -58,9 +59,8 @@ def _byte_letters() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder of a byte-level BPE file in the tokenizers library's JSON format."""
 
-    def __init__(self, path: str, cached: int = 80_000):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, data: bytes, cached: int = 80_000):
+        spec = json.loads(data)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or spec["post_processor"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
             raise ValueError("not a plain byte-level BPE file")
@@ -242,17 +242,28 @@ _loaded: dict[str, ByteBpe] = {}
 
 
 def load(path: str) -> ByteBpe:
-    """The tokenizer at path, read once a process."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+    return ByteBpe(Path(path).read_bytes())
+
+
+class Shipped:
+    """A tokenizer file that the driver reads and workers get by broadcast (a vocabulary, of a few MB); parsed once a process."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        data = Path(path).read_bytes()
+        self.name, self.data = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+    def tokenizer(self) -> ByteBpe:
+        if self.name not in _loaded:
+            _loaded[self.name] = ByteBpe(self.data.value)
+        return _loaded[self.name]
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
+    shipped = Shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = shipped.tokenizer()
         for batch in base.text_chunks(batches):
             encoded = bpe.encode_batch(base.texts_of(batch))
             yield pa.RecordBatch.from_arrays([
@@ -268,9 +279,10 @@ def _with(docs: DataFrame, path: str, columns: dict[str, T.DataType], make) -> D
     """docs and new columns; make(tokenizer, texts) gives them as Arrow arrays."""
     docs = docs.drop(*columns)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in columns.items())])
+    shipped = Shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = shipped.tokenizer()
         for batch in base.text_chunks(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(bpe, base.texts_of(batch))], [*batch.schema.names, *columns])
 
@@ -304,9 +316,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of encoded with `decoded`, the text of column `ids` (null ids: empty)."""
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
+    shipped = Shipped(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = shipped.tokenizer()
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bpe.decode(x or ()) for x in ids], pa.string())], [*batch.schema.names, "decoded"])
