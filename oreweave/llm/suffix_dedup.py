@@ -11,10 +11,12 @@ all bytes of the anchor's windows). A first digit that one document has alone en
 digits all but the smallest document lose all windows of the anchor. What is left in groups of unlike second
 digits goes to pass 2, which orders single windows by a 128-bit hash of their `width` bytes. In both passes equal
 rows within a block of text are reduced to the smallest document before anything is shuffled, so the rows of a
-passage that a third of all documents share are few, and sorted rows are read as a stream: no group is held in
-memory. Texts are shuffled twice, by document, to meet what was found in them.
+passage that a third of all documents share are few; anchors of periodic text that follow one upon the other are one row.
+Sorted rows are read as a stream: of a group only the rows of its first key wait, `HELD` at most. Texts are shuffled twice,
+by document, to meet what was found in them.
 
-Hash keys have 128 bits; equality of windows is equality of keys. Defined cases: a null text is empty; texts
+Digits are hashes of bytes, as equality of windows counts and not their order. Unlike windows are taken for equal with a
+probability of 2^-128 a pair, and of 2^-64 if they have the bytes of their anchor in common. Defined cases: a null text is empty; texts
 shorter than `width` lose nothing; rows with a null doc_id keep all and take nothing from others; rows of equal
 doc_id aren't compared with each other, and each is resolved by its own text; periodic texts and very long texts
 are treated whole; no rows give no rows.
@@ -35,9 +37,11 @@ from oreweave.llm import base
 
 U = np.uint64
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: A place in a text as one long: 16 bits of the text's hash (rows of one doc_id may have different texts),
-#: 39 bits of offset, 8 bits for the number of windows from there.
-_TAG, _AT, _COUNT = 47, 8, 0xFF
+#: A place in a text as one long: 24 bits of the text's hash (rows of one doc_id may have different texts),
+#: 31 bits of offset (no text of Spark's is longer), 8 bits for the number of windows from there.
+_TAG, _AT, _COUNT = 39, 8, 0xFF
+#: Rows that may wait for a second key of their digit.
+HELD = 1 << 16
 BLOCK = 1 << 20
 
 
@@ -108,7 +112,21 @@ def anchors(data: np.ndarray, doc: np.ndarray, width: int, digit: int) -> tuple[
     count = np.diff(np.append(first, len(starts)))
     begin, anchor = starts[first], at[first]
     second = mixed(two.some(begin, width + count - 1) ^ (U(1) + (anchor - begin).astype(U) * U(0x632BE59BD9B4E019) + count.astype(U)))
-    return h[anchor], second, begin, count
+    return joined(h[anchor], second, begin, count, doc)
+
+
+def joined(key1: np.ndarray, key2: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors with those of the same digits that follow one upon the other made one: periodic text has few."""
+    more = np.zeros(len(begin), dtype=bool)
+    more[1:] = (key1[1:] == key1[:-1]) & (key2[1:] == key2[:-1]) & (begin[1:] == begin[:-1] + count[:-1]) & (doc[begin[1:]] == doc[begin[:-1]])
+    if not more.any():
+        return key1, key2, begin, count
+    before = np.cumsum(count) - count
+    first = np.maximum.accumulate(np.where(more, 0, np.arange(len(begin))))
+    # As many windows as a place can tell, less one anchor's.
+    part = (before - before[first]) // (_COUNT - int(count.max()))
+    heads = np.flatnonzero(~more | (part != np.append(-1, part[:-1])))
+    return key1[heads], key2[heads], begin[heads], np.add.reduceat(count, heads)
 
 
 def reduced(key1: np.ndarray, key2: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -124,7 +142,7 @@ def reduced(key1: np.ndarray, key2: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def text_tag(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=3).digest(), "big")
 
 
 class Block:
@@ -226,6 +244,11 @@ def settle(rows: DataFrame, deepen: bool) -> DataFrame:
                     hold = ~gone & (group == group[-1]) if keys[-1] == 1 else np.zeros(n, bool)
                     kept = waiting if goes_on and len(heads) == 1 and keys[-1] == 1 else (waiting[0][:0], waiting[1][:0])
                     waiting = (np.concatenate([kept[0], doc[hold]]), np.concatenate([kept[1], place[hold]]))
+                    if len(waiting[0]) > HELD:
+                        # Deeper places than needed are only more work.
+                        deep_doc.append(waiting[0])
+                        deep_place.append(waiting[1])
+                        waiting = (waiting[0][:0], waiting[1][:0])
                 last = {"k1": k1[-1], "k2": k2[-1], "least": least[-1], "keys": keys[-1], "low": low[-1], "high": high[-1]}
             d = np.concatenate(out_doc + deep_doc)
             p = np.concatenate(out_place + deep_place)

@@ -299,7 +299,7 @@ def test_bpe_matches_the_library(docs, empty):
 
 
 def test_bpe_on_random_texts():
-    own, library, r = bpe.ByteBpe(TOKENIZER, cached=50), Tokenizer.from_file(TOKENIZER), random.Random(4)
+    own, library, r = bpe.ByteBpe(Path(TOKENIZER).read_bytes(), cached=50), Tokenizer.from_file(TOKENIZER), random.Random(4)
     pools = ["abcdehilmnorst '", " \n\t\r  x'", "aé½²٣中\U0001f600 .", "!-=*#  \n", "".join(map(chr, range(32, 600)))]
     texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randint(0, 50))) for _ in range(800)] + ["".join(r.choice("etaoin") for _ in range(400)), "<|endoftext|>a<|endoftext|>"]
     assert own.encode_batch(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -385,6 +385,28 @@ def test_block_max_search_is_exact():
         assert np.allclose(cosines[best], found)
 
 
+def test_windows_of_periodic_texts(spark):
+    """Long periodic texts are few rows, lose what a smaller document has, and count every span."""
+    import numpy as np
+
+    data = [(1, "q" * 70 + "x" * 3000), (2, "ab" * 4000), (3, "z" + "x" * 60_000 + "end"), (4, "ba" * 300 + "!"), (5, "abc" * 2000), (6, "cab" * 40), (7, "x" * 49)]
+    got = {r.doc_id: r for r in suffix_dedup.report(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    seen = {}
+    for d, t in data:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 49):
+            if seen.setdefault(raw[i : i + 50], d) < d:
+                gone[i : i + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        assert (got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (sum(gone), spans, hashlib.sha256(kept).hexdigest()), d
+    raw = np.frombuffer(b"x" * 200_000, np.uint8)
+    *_, begin, count = suffix_dedup.anchors(raw, np.zeros(len(raw), np.int32), 50, 24)
+    assert len(begin) < 900 and count.sum() == len(raw) - 49 and count.max() < 256
+    assert (begin[1:] == begin[:-1] + count[:-1]).all()
+
+
 def test_mixing_counts_and_draws(docs, empty):
     weights = {"s1": 1.0, "s2": 3.0}
     out = mixing.mix(docs, weights, epochs=2.0)
