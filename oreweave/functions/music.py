@@ -10,15 +10,30 @@ PITCH = {"C": 0, "C#": 1, "DB": 1, "D": 2, "D#": 3, "EB": 3, "E": 4, "FB": 4, "F
 NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 
 
+#: A key as people write it: a note, a mode, an octave that says nothing (`Dm7` is D minor); or a place on the Camelot wheel.
+_NOTE = "^([A-Ga-g][#b]?)\\s*(m|min|minor|maj|major|M)?\\s*[0-9]*$"
+_WHEEL = "^(1[0-2]|0?[1-9])\\s*([ABab])$"
+
+
+def _written(key: Column) -> tuple[Column, Column, Column, Column]:
+    """Note, mode, wheel number and wheel letter of a key; empty where it has none."""
+    clean = F.trim(key)
+    return tuple(F.regexp_extract(clean, p, i) for p in (_NOTE, _WHEEL) for i in (1, 2))
+
+
 def pitch_class(key: Column) -> Column:
-    """0 to 11 of a key's note, null if it has none."""
-    note = F.upper(F.regexp_extract(F.trim(key), "^([A-Ga-g][#b]?)", 1))
-    return F.element_at(F.create_map(*(F.lit(x) for kv in PITCH.items() for x in kv)), F.when(note != "", note))
+    """0 to 11 of a key's root; null if the text is no key."""
+    note, _, number, letter = _written(key)
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in PITCH.items() for x in kv)), F.when(note != "", F.upper(note)))
+    # Seven steps a number, as seven is its own inverse modulo 12; a minor root lies three below its relative major's.
+    major = (F.when(number != "", number).cast("int") + 4) * 7 % 12
+    return F.coalesce(named, F.when(F.upper(letter) == "A", (major + 9) % 12).otherwise(major))
 
 
 def is_minor(key: Column) -> Column:
-    rest = F.regexp_extract(F.trim(key), "^[A-Ga-g][#b]?-?[0-9]*\\s*(.*)$", 1)
-    return (rest == "m") | F.lower(rest).isin("min", "minor", "mi", "-")
+    """Whether a key is minor; null if the text is no key. A capital M alone is major."""
+    note, mode, number, letter = _written(key)
+    return F.when(note != "", mode.isin("m", "min", "minor")).when(number != "", F.upper(letter) == "A")
 
 
 def camelot_number(pitch: Column, minor: Column) -> Column:
@@ -58,13 +73,14 @@ def vetted_beats(beats: Column, one_shot: Column, bpm: Column, duration: Column)
     return F.when(F.coalesce(beats, F.lit(0)) == 0, None).when(~one_shot, beats).when(fits, beats)
 
 
-def bpm_from_name(stem: Column) -> Column:
-    """The first tempo from 60 to 300 that a file name tells, patterns by priority.
+def bpm_from_name(name: Column) -> Column:
+    """The first tempo from 60 to 300 that a file name tells, its extension cut, patterns by priority.
 
-    `<n>bpm` first, then `bpm<n>`, then a number between separators, then one at the end.
+    A number before `bpm`, then one after it, then a number of two or three digits that no letter, digit or dot touches.
+    Borders have no width, so numbers that share a separator are all seen.
     """
-    clean = F.regexp_replace(F.lower(stem), "\\.[a-z0-9]{1,5}$", "")
-    patterns = ["([0-9]{2,3})[ _-]?bpm", "bpm[ _-]?([0-9]{2,3})", "[_ -]([0-9]{2,3})[_ -]", "[_ -]([0-9]{2,3})$"]
+    clean = F.regexp_replace(F.lower(name), "(?<=.)\\.[^.]*$", "")
+    patterns = ["([0-9]{2,3})\\s*bpm", "bpm\\s*([0-9]{2,3})", "(?<![0-9.a-z])([0-9]{2,3})(?![0-9.a-z])"]
     found = [F.filter(F.transform(F.regexp_extract_all(clean, F.lit(p), F.lit(1)), lambda x: x.cast("double")), lambda x: (x >= 60) & (x <= 300)) for p in patterns]
     return F.coalesce(*(F.get(a, 0) for a in found))
 
@@ -76,13 +92,54 @@ def improved_bpm(detected: Column, named: Column) -> Column:
     return F.when(~inside | detected.isNull(), named).when(named.isNull(), detected).otherwise(F.coalesce(*close, detected))
 
 
-def key_from_name(stem: Column) -> Column:
-    """The key that a file name tells: a note with `min`/`maj` (or m/M), else a bare note between separators; sharps only."""
-    clean = F.regexp_replace(stem, "\\.[A-Za-z0-9]{1,5}$", "")
-    note = lambda pattern, flags="": F.regexp_extract(clean, f"{flags}(?:^|[ _-])([A-G][#b]?){pattern}(?:[ _-]|$)", 1)
-    minor, major, bare = note("[ _-]?(?:m|min|minor)"), note("[ _-]?(?:M|maj|major)"), note("")
-    spelt = lambda n: F.element_at(F.array(*map(F.lit, NAMES)), pitch_class(n) + 1)
-    return F.when(minor != "", F.concat(spelt(minor), F.lit("m"))).when(major != "", spelt(major)).when(bare != "", spelt(bare))
+#: Flats as sharps (fixed values of music notation).
+SHARPS = {"Db": "C#", "Eb": "D#", "Gb": "F#", "Ab": "G#", "Bb": "A#", "Cb": "B", "Fb": "E"}
+
+
+def sharp_root(note: Column) -> Column:
+    """A note with a capital letter, flats as sharps; null for no text."""
+    spelt = F.concat(F.upper(F.left(note, F.lit(1))), F.lower(F.substring(note, 2, 2)))
+    return F.when(note != "", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SHARPS.items() for x in kv)), spelt), spelt))
+
+
+def key_from_name(name: Column) -> Column:
+    """The key that a file name spells out with its mode; null if it doesn't.
+
+    Words count in any case, major ones first. A small m may touch the note; a capital M is major, and may touch only a
+    note with an accidental, as `FM` and `AM` are words of their own.
+    """
+    clean = F.translate(name, "_-", "  ")
+    root = lambda pattern: sharp_root(F.regexp_extract(clean, pattern, 1))
+    minor = lambda pattern: F.concat(root(pattern), F.lit("m"))
+    worded = lambda word: f"(?i)\\b([A-G][#b]?)\\s*{word}\\b"
+    return F.coalesce(root(worded("major")), root(worded("maj")), minor(worded("minor")), minor(worded("min")), minor("\\b([A-G][#b]?)m\\b"), root("\\b([A-G][#b])M\\b"), root("\\b([A-G])\\s+M\\b"))
+
+
+def bare_key(token: Column) -> Column:
+    """The key that a whole word is (`A#`, `Em`, `Bb`), null if it is none."""
+    root = sharp_root(F.regexp_extract(token, "^([A-G][#b]?)m?$", 1))
+    return F.concat(root, F.when(F.endswith(token, F.lit("m")), "m").otherwise(""))
+
+
+def key_from_words(text: Column) -> Column:
+    """The first word that is a key; a major one is minor if the word beside it says so (`min_C`, `C_minadd9`)."""
+    words = F.filter(F.split(text, "[_\\-.\\s]+"), lambda w: w != "")
+    mode = lambda w: F.when(w.rlike("(?i)^min(or)?(add)?[0-9]*$"), "m").when(w.rlike("(?i)^maj(or)?(add)?[0-9]*$"), "")
+
+    def key(word: Column, i: Column) -> Column:
+        beside = F.coalesce(mode(F.get(words, i - 1)), mode(F.get(words, i + 1)), F.lit(""))
+        found = bare_key(word)
+        return F.when(F.endswith(found, F.lit("m")), found).otherwise(F.concat(found, beside))
+
+    return F.get(F.filter(F.transform(words, key), lambda k: k.isNotNull()), 0)
+
+
+def key_from_path(path: Column, parents: int = 3) -> Column:
+    """The key of a file name with its mode, else the first bare one in its stem or the folders above it, inside out."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: p != "")
+    part = lambda i: F.try_element_at(parts, F.lit(-1 - i))
+    stem = F.regexp_replace(part(0), "(?<=.)\\.[^.]*$", "")
+    return F.coalesce(key_from_name(part(0)), key_from_words(stem), *(key_from_words(part(i + 1)) for i in range(parents)))
 
 
 def fused_key(detected: Column, named: Column) -> Column:

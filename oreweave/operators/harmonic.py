@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def tempo_windows(bpm: Column, tolerance: float, half_double: bool = True) -> Co
 def compatible(references: DataFrame, samples: DataFrame, tolerance: float = 0.06, half_double: bool = True) -> DataFrame:
     """ref, path, key_rel, bpm_rel, bpm_dist, score for every reference and each sample that fits it in key and tempo.
 
-    References (path, key, bpm) are exploded to their four keys, which makes the key an equi-join; the tempo is
-    a residual filter on that join. A keyless reference matches keyless samples only; without a tempo on the
-    reference there is no tempo test.
+    References (path, key, bpm) are exploded to their four keys and to the steps of log2(bpm), as wide as a tempo window,
+    that their windows touch: both are equi-join keys, so no key of a large library meets all tempi. A keyless reference
+    matches keyless samples only; without a tempo on the reference there is no tempo test.
     """
     refs = references.select(F.col("path").alias("ref"), F.when(F.col("key") != "", music.camelot(F.col("key"))).alias("code"), F.col("bpm").alias("ref_bpm"))
     codes = F.when(F.col("code").isNull(), F.array(F.lit("none"))).otherwise(music.neighbours(F.col("code")))
@@ -29,7 +31,12 @@ def compatible(references: DataFrame, samples: DataFrame, tolerance: float = 0.0
     refs = refs.groupBy("ref", "ref_bpm", "match", "keyless").agg(F.min("place").alias("place"))
     relation = F.when(F.col("keyless"), None).otherwise(F.element_at(F.array(*map(F.lit, KEY_RANK)), (F.col("place") + 1).cast("int")))
     coded = samples.withColumn("match", F.coalesce(music.camelot(F.when(F.col("key") != "", F.col("key"))), F.when(F.coalesce("key", F.lit("")) == "", "none")))
-    joined = coded.select("path", "bpm", "match").join(refs, "match").where(F.col("path") != F.col("ref")).withColumn("key_rel", relation)
+    coded = coded.select("path", "bpm", "match")
+    width = max(math.log2((1 + tolerance) / (1 - tolerance)), 0.01) if tolerance < 1 else 64.0
+    step = lambda bpm: F.floor(F.log2(F.greatest(bpm, F.lit(1e-6))) / width).cast("int")
+    steps = F.array_distinct(F.flatten(F.transform(tempo_windows(F.col("ref_bpm"), tolerance, half_double), lambda w: F.sequence(step(w["low"]), step(w["high"])))))
+    timed = coded.withColumn("step", step(F.col("bpm"))).join(refs.where("ref_bpm is not null").withColumn("step", F.explode(steps)), ["match", "step"]).drop("step")
+    joined = timed.unionByName(coded.join(refs.where("ref_bpm is null"), "match")).where(F.col("path") != F.col("ref")).withColumn("key_rel", relation)
     windows = F.filter(tempo_windows(F.col("ref_bpm"), tolerance, half_double), lambda w: (F.col("bpm") >= w["low"]) & (F.col("bpm") <= w["high"]))
     best = F.array_min(F.transform(windows, lambda w: F.struct(F.abs(F.col("bpm") - (w["low"] + w["high"]) / 2).alias("dist"), w["ord"].alias("ord"), w["label"].alias("label"))))
     fit = joined.withColumn("best", F.when(F.col("ref_bpm").isNotNull(), best)).where(F.col("ref_bpm").isNull() | F.col("best").isNotNull())

@@ -76,7 +76,11 @@ def _first(pattern: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all(n, '{pattern}', 1), lambda x: x::DOUBLE), lambda x: x >= 60 AND x <= 300)[1]"
 
 
-@query(f"SELECT p_partkey, coalesce({_first('([0-9]{2,3})[ _-]?bpm')}, {_first('bpm[ _-]?([0-9]{2,3})')}, {_first('[_ -]([0-9]{2,3})[_ -]')}, {_first('[_ -]([0-9]{2,3})$')}) AS bpm FROM (SELECT p_partkey, regexp_replace(lower(name), '\\.[a-z0-9]{{1,5}}$', '') AS n FROM names)", _NAMES)
+#: Words of digits, letters and dots that are two or three digits.
+_ALONE = "list_filter(list_transform(list_filter(regexp_extract_all(n, '[0-9a-z.]+'), lambda x: regexp_full_match(x, '[0-9]{2,3}')), lambda x: x::DOUBLE), lambda x: x >= 60 AND x <= 300)[1]"
+
+
+@query(f"SELECT p_partkey, coalesce({_first('([0-9]{2,3})[ ]*bpm')}, {_first('bpm[ ]*([0-9]{2,3})')}, {_ALONE}) AS bpm FROM (SELECT p_partkey, regexp_replace(lower(name), '(.)\\.[^.]*$', '\\1') AS n FROM names)", _NAMES)
 def f13_bpm_from_names(spark, sf):
     return _names(spark, sf).select("p_partkey", music.bpm_from_name(F.col("name")).alias("bpm"))
 

@@ -218,20 +218,33 @@ def _keyed(spark, sf):
     return b.table(spark, sf, "part").select("p_partkey", name.alias("name"), F.when(k % 3 == 0, "G").alias("detected"))
 
 
-@query(f"SELECT p_partkey, {_NAMED} AS key FROM k", _KEYED)
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 5 <> 1 THEN {_NAMED} END AS key FROM k", _KEYED)
 def f14_key_from_names(spark, sf):
     return _keyed(spark, sf).select("p_partkey", music.key_from_name(F.col("name")).alias("key"))
 
 
+_FOLDERS = """f AS (SELECT p_partkey, (['C', 'Db', 'F#', 'Am'])[p_partkey % 4 + 1] AS note, (['min_', 'Maj7 ', 'Sus4-', ''])[p_partkey % 7 % 4 + 1] AS quality, p_partkey % 5 AS depth FROM part)"""
+
+
+@query("SELECT p_partkey, CASE WHEN depth < 4 THEN replace(replace(note, 'Db', 'C#'), 'm', '') || CASE WHEN quality = 'min_' OR note = 'Am' THEN 'm' ELSE '' END END AS key FROM f", _FOLDERS)
+def f15_key_from_paths(spark, sf):
+    """The note stands in the file name or one to four folders above it, beside a word for its mode."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    note = F.concat(pick(["min_", "Maj7 ", "Sus4-", ""], k % 7 % 4), pick(["C", "Db", "F#", "Am"], k))
+    path = F.concat(F.lit("/lib/"), note, F.when(k % 5 == 0, ".wav").otherwise(F.concat(F.array_join(F.array_repeat(F.lit("/Drums"), (k % 5 - 1).cast("int")), ""), F.lit("/kick 12.wav"))))
+    return b.table(spark, sf, "part").select("p_partkey", music.key_from_path(path).alias("key"))
+
+
 @query(f"SELECT p_partkey, coalesce({_NAMED}, detected) AS key FROM k", _KEYED)
 def f27_fused_key(spark, sf):
-    return _keyed(spark, sf).select("p_partkey", music.fused_key(F.col("detected"), music.key_from_name(F.col("name"))).alias("key"))
+    return _keyed(spark, sf).select("p_partkey", music.fused_key(F.col("detected"), music.key_from_path(F.col("name"))).alias("key"))
 
 
 @query(f"SELECT p_partkey, (p_partkey % 90 + 60)::DOUBLE AS bpm, coalesce({_NAMED}, detected) AS key FROM k", _KEYED)
 def x23_detected(spark, sf):
     """Tempo and key of each name, fused with what was detected."""
-    return _keyed(spark, sf).select("p_partkey", music.bpm_from_name(F.col("name")).alias("bpm"), music.fused_key(F.col("detected"), music.key_from_name(F.col("name"))).alias("key"))
+    return _keyed(spark, sf).select("p_partkey", music.bpm_from_name(F.col("name")).alias("bpm"), music.fused_key(F.col("detected"), music.key_from_path(F.col("name"))).alias("key"))
 
 
 @query("SELECT file, 0 AS part, substr(h, 9, 32) AS digits FROM files UNION ALL SELECT file, 1, substr(h, 41, 20) FROM files", BYTES)
