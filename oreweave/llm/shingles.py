@@ -165,11 +165,15 @@ def by_prints(texts: DataFrame, radius: int) -> DataFrame:
 
 
 def may_link(a: str, b: str, share: Fraction) -> Column:
-    """Whether texts that share the shingle at their places can be similar: a, b are structs of size, lone, at."""
+    """Whether texts can be similar whose first common shingle is the one at their places: a, b are structs of size, lone, at.
+
+    All shingles before the first common one are not shared, and those that no other text has are not: what is left must do.
+    """
     up, down = share.numerator, share.denominator
     m, n, i, j, u, v = (F.col(f"{x}.{c}") for c in ("size", "at", "lone") for x in (a, b))
+    enough = lambda common: (up + down) * common >= up * (m + n)
     most = F.least(i - u, j - v) + 1 + F.least(m - i - 1, n - j - 1)
-    return (down * F.least(m, n) >= up * F.greatest(m, n)) & ((up + down) * most >= up * (m + n))
+    return (down * F.least(m, n) >= up * F.greatest(m, n)) & enough(F.least(m - i, n - j)) & enough(most)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, share: Fraction) -> DataFrame:
