@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,21 +78,141 @@ def fibonacci_delta(data: bytes) -> np.ndarray:
     return ((total + 128) % 256 - 128) / 128.0
 
 
-def crc8(data: bytes, polynomial: int = 0x07) -> int:
-    crc = 0
-    for byte in data:
-        crc ^= byte
+#: MS ADPCM: factors of the step, and the seven standard coefficient pairs (fixed values of the published format).
+MS_FACTORS = [230, 230, 230, 230, 307, 409, 512, 614, 768, 614, 512, 409, 307, 230, 230, 230]
+MS_PAIRS = [(256, 0), (512, -256), (0, 0), (192, 64), (240, 0), (460, -208), (392, -232)]
+
+
+def ms_adpcm_block(data: bytes, channels: int = 1) -> np.ndarray:
+    """One block, channels interleaved: a pair number, a step and two samples of each, then a nibble a sample, high half first."""
+    if len(data) < 7 * channels:
+        return np.empty(0)
+    word = lambda at: int.from_bytes(data[at : at + 2], "little", signed=True)
+    pairs = [MS_PAIRS[min(data[c], len(MS_PAIRS) - 1)] for c in range(channels)]
+    steps, one, two = ([word(channels + 2 * (k * channels + c)) for c in range(channels)] for k in range(3))
+    out = [*two, *one]
+    for i, code in enumerate(x for byte in data[7 * channels :] for x in (byte >> 4, byte & 15)):
+        c = i % channels
+        value = (one[c] * pairs[c][0] + two[c] * pairs[c][1] >> 8) + (code - 16 if code & 8 else code) * steps[c]
+        value = max(-32768, min(32767, value))
+        out.append(value)
+        one[c], two[c], steps[c] = value, one[c], max(16, MS_FACTORS[code] * steps[c] >> 8)
+    return np.array(out) / 32768.0
+
+
+#: Filters of the four-bit console formats, as 64ths (fixed values of the published formats).
+SPU_FILTERS = [(0, 0), (60, 0), (115, -52), (98, -55), (122, -60)]
+
+
+def spu_adpcm(data: bytes) -> np.ndarray:
+    """Blocks of 16 bytes: shift and filter, flags, then 28 samples, low half first; ends after a block whose flag says so."""
+    out, one, two = [], 0, 0
+    for at in range(0, len(data) - 15, 16):
+        shift, kind = data[at] & 15, min(data[at] >> 4, len(SPU_FILTERS) - 1)
+        a, b = SPU_FILTERS[kind]
+        if data[at + 1] & 7 == 7:
+            break
+        for byte in data[at + 2 : at + 16]:
+            for code in (byte & 15, byte >> 4):
+                value = ((code - 16 if code & 8 else code) << 12 >> min(shift, 12)) + (one * a + two * b + 32 >> 6)
+                one, two = max(-32768, min(32767, value)), one
+                out.append(one)
+        if data[at + 1] & 1:
+            break
+    return np.array(out) / 32768.0
+
+
+def brr(data: bytes) -> np.ndarray:
+    """Blocks of nine bytes: a header of range, filter, loop and end, then sixteen samples, high half first."""
+    out, one, two = [], 0, 0
+    for at in range(0, len(data) - 8, 9):
+        shift, kind = data[at] >> 4, data[at] >> 2 & 3
+        for byte in data[at + 1 : at + 9]:
+            for code in (byte >> 4, byte & 15):
+                code = code - 16 if code & 8 else code
+                value = code << shift >> 1 if shift <= 12 else -2048 if code < 0 else 0
+                if kind == 1:
+                    value += one - (one >> 4)
+                elif kind == 2:
+                    value += (one << 1) - (one * 3 >> 5) - two + (two >> 4)
+                elif kind == 3:
+                    value += (one << 1) - (one * 13 >> 6) - two + (two * 3 >> 4)
+                value = max(-32768, min(32767, value))
+                # Fifteen bits, that wrap around.
+                value = (value * 2 + 32768) % 65536 - 32768 >> 1
+                one, two = value, one
+                out.append(value)
+        if data[at] & 1:
+            break
+    return np.array(out) / 16384.0
+
+
+def dsp_adpcm(data: bytes, pairs: list[tuple[int, int]], count: int) -> np.ndarray:
+    """Frames of eight bytes: pair number and scale, then fourteen samples, high half first; pairs are 2048ths."""
+    out, one, two = [], 0, 0
+    for at in range(0, len(data), 8):
+        if len(out) >= count:
+            break
+        a, b = pairs[min(data[at] >> 4, len(pairs) - 1)]
+        scale = 1 << (data[at] & 15)
+        for byte in data[at + 1 : at + 8]:
+            for code in (byte >> 4, byte & 15):
+                value = ((code - 16 if code & 8 else code) * scale << 11) + 1024 + a * one + b * two >> 11
+                one, two = max(-32768, min(32767, value)), one
+                out.append(one)
+    return np.array(out[:count]) / 32768.0
+
+
+def adx(data: bytes, rate: int, highpass: int = 500) -> np.ndarray:
+    """Mono frames of 18 bytes: a scale, then 32 samples, high half first; the filter follows from the rate."""
+    z = math.cos(2 * math.pi * highpass / rate)
+    a, b = math.sqrt(2) - z, math.sqrt(2) - 1
+    c = (a - math.sqrt((a + b) * (a - b))) / b
+    first, second = int(c * 8192), int(c * c * -4096)
+    out, one, two = [], 0, 0
+    for at in range(0, len(data) - 17, 18):
+        scale = int.from_bytes(data[at : at + 2], "big") + 1
+        if data[at] & 0x80:
+            break
+        for byte in data[at + 2 : at + 18]:
+            for code in (byte >> 4, byte & 15):
+                value = (code - 16 if code & 8 else code) * scale + (first * one + second * two >> 12)
+                one, two = max(-32768, min(32767, value)), one
+                out.append(one)
+    return np.array(out) / 32768.0
+
+
+def delta(data: bytes, bits: int = 8) -> np.ndarray:
+    """Differences of signed samples, that wrap around."""
+    steps = np.frombuffer(data[: len(data) // (bits // 8) * (bits // 8)], dtype=f"<i{bits // 8}").astype(np.int64)
+    half = 1 << bits - 1
+    return ((np.cumsum(steps) + half) % (2 * half) - half) / float(half)
+
+
+@functools.cache
+def crc_table(polynomial: int, bits: int) -> list[int]:
+    """What each byte does to a cyclic checksum that is empty."""
+    top, mask, out = 1 << bits - 1, (1 << bits) - 1, []
+    for byte in range(256):
+        crc = byte << bits - 8
         for _ in range(8):
-            crc = (crc << 1 ^ polynomial if crc & 0x80 else crc << 1) & 0xFF
+            crc = (crc << 1 ^ polynomial if crc & top else crc << 1) & mask
+        out.append(crc)
+    return out
+
+
+def crc8(data: bytes, polynomial: int = 0x07, crc: int = 0) -> int:
+    table = crc_table(polynomial, 8)
+    for byte in data:
+        crc = table[crc ^ byte]
     return crc
 
 
-def crc16(data: bytes, polynomial: int = 0x8005) -> int:
-    crc = 0
+def crc16(data: bytes, polynomial: int = 0x8005, crc: int = 0) -> int:
+    """crc: of what comes before."""
+    table = crc_table(polynomial, 16)
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ polynomial if crc & 0x8000 else crc << 1) & 0xFFFF
+        crc = crc << 8 & 0xFFFF ^ table[crc >> 8 ^ byte]
     return crc
 
 
