@@ -8,6 +8,7 @@ parsed where they are read and only chunk rows go on.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -47,6 +48,10 @@ def read_fields(data: bytes, base: int, layout: list[tuple[str, str]], order: st
     return out
 
 
+def values(fields: list[dict]) -> dict[str, str]:
+    return {f["name"]: f["value"] for f in fields}
+
+
 def ident(raw: bytes) -> str:
     return raw.decode("ascii") if all(32 <= c < 127 for c in raw) else "hex:" + raw.hex()
 
@@ -69,8 +74,8 @@ AIFF_LAYOUTS = {
 }
 
 
-def _grid(data: bytes, start: int, order: str, layouts: dict, end: int | None = None, sizes: dict[int, int] | None = None) -> Iterator[dict]:
-    """Chunks [id][u32 size][payload][pad] from start."""
+def sized(data: bytes, start: int, order: str, layouts: dict, end: int | None = None, sizes: dict[str, int] | None = None, pad: bool = True) -> Iterator[dict]:
+    """Chunks [id][u32 size][payload] from start, odd ones with a pad byte."""
     at, end = start, len(data) if end is None else min(end, len(data))
     while at + 8 <= end:
         name, (size,) = ident(data[at : at + 4]), struct.unpack_from(order + "I", data, at + 4)
@@ -79,11 +84,11 @@ def _grid(data: bytes, start: int, order: str, layouts: dict, end: int | None =
         warnings = []
         if at + 8 + size > end:
             warnings.append(f"{name} claims {size} bytes, {end - at - 8} are there")
-        pad = at + 8 + size
-        if size % 2 and pad < end and data[pad]:
+        after, odd = at + 8 + size, size % 2 if pad else 0
+        if odd and after < end and data[after]:
             warnings.append(f"pad byte after {name} is not zero")
         yield chunk(name, at, size, f"{size} bytes", read_fields(data[: at + 8 + size], at + 8, layouts.get(name, []), order), warnings)
-        at += 8 + size + size % 2
+        at = after + odd
     if at < end:
         yield chunk("tail", at, end - at, "bytes after the last chunk", warnings=[f"{end - at} bytes left over"])
 
@@ -97,10 +102,10 @@ def walk_riff(data: bytes) -> Iterator[dict]:
     (declared,) = struct.unpack_from(order + "I", data, 4)
     warnings = [] if declared in (len(data) - 8, 0xFFFFFFFF) else [f"the header declares {declared} bytes, the file has {len(data) - 8}"]
     yield chunk(ident(data[:4]), 0, declared, ident(data[8:12]), [{"name": "form", "value": ident(data[8:12]), "off": 0, "len": 4}], warnings)
-    for c in _grid(data, 12, order, RIFF_LAYOUTS, sizes=sizes):
+    for c in sized(data, 12, order, RIFF_LAYOUTS, sizes=sizes):
         yield c
         if c["id"] == "LIST" and c["size"] >= 4 and data[c["offset"] + 8 : c["offset"] + 12] == b"INFO":
-            for x in _grid(data, c["offset"] + 12, order, {}, c["offset"] + 8 + c["size"]):
+            for x in sized(data, c["offset"] + 12, order, {}, c["offset"] + 8 + c["size"]):
                 text = data[x["offset"] + 8 : x["offset"] + 8 + x["size"]].split(b"\0")[0].decode("utf-8", "replace")
                 yield x | {"id": "INFO/" + x["id"], "summary": text, "fields": [{"name": "text", "value": text, "off": 0, "len": x["size"]}]}
 
@@ -109,12 +114,12 @@ def walk_riff(data: bytes) -> Iterator[dict]:
 def walk_iff(data: bytes) -> Iterator[dict]:
     (declared,) = struct.unpack_from(">I", data, 4)
     yield chunk("FORM", 0, declared, ident(data[8:12]), [{"name": "form", "value": ident(data[8:12]), "off": 0, "len": 4}], [] if declared == len(data) - 8 else [f"the header declares {declared} bytes, the file has {len(data) - 8}"])
-    for c in _grid(data, 12, ">", AIFF_LAYOUTS):
-        values = {f["name"]: f["value"] for f in c["fields"]}
-        if c["id"] == "COMM" and "rate_mantissa" in values:
+    for c in sized(data, 12, ">", AIFF_LAYOUTS):
+        known = values(c["fields"])
+        if c["id"] == "COMM" and "rate_mantissa" in known:
             # 80-bit extended number: sign and exponent, then a 64-bit mantissa.
-            power = int(values["rate_exponent"]) - 16383
-            rate = int(values["rate_mantissa"]) * 2.0 ** (power - 63) if 0 <= power < 64 else 0.0
+            power = int(known["rate_exponent"]) - 16383
+            rate = int(known["rate_mantissa"]) * 2.0 ** (power - 63) if 0 <= power < 64 else 0.0
             c["fields"].append({"name": "sample_rate", "value": f"{rate:g}", "off": 8, "len": 10})
         yield c
 
@@ -194,8 +199,8 @@ def walk_flac(data: bytes) -> Iterator[dict]:
         fields = []
         if name == "STREAMINFO" and at + 22 <= len(data):
             packed = int.from_bytes(data[at + 14 : at + 22], "big")
-            values = [("sample_rate", packed >> 44), ("channels", (packed >> 41 & 7) + 1), ("bits_per_sample", (packed >> 36 & 31) + 1), ("samples", packed & (1 << 36) - 1)]
-            fields = [{"name": k, "value": str(v), "off": 10, "len": 8} for k, v in values]
+            facts = [("sample_rate", packed >> 44), ("channels", (packed >> 41 & 7) + 1), ("bits_per_sample", (packed >> 36 & 31) + 1), ("samples", packed & (1 << 36) - 1)]
+            fields = [{"name": k, "value": str(v), "off": 10, "len": 8} for k, v in facts]
         elif name == "VORBIS_COMMENT":
             fields = _comments(data[at + 4 : at + 4 + size])
         yield chunk(name, at, size, f"{size} bytes", fields, ["runs past the end"] if at + 4 + size > len(data) else [])
@@ -205,19 +210,20 @@ def walk_flac(data: bytes) -> Iterator[dict]:
 
 
 def _comments(block: bytes) -> list[dict]:
+    out: list[dict] = []
     try:
         (n,) = struct.unpack_from("<I", block, 0)
         at = 4 + n
         (count,) = struct.unpack_from("<I", block, at)
-        at, out = at + 4, []
-        for _ in range(min(count, 10_000)):
+        at += 4
+        for _ in range(count):
             (n,) = struct.unpack_from("<I", block, at)
             key, _, value = block[at + 4 : at + 4 + n].decode("utf-8", "replace").partition("=")
             out.append({"name": key.lower(), "value": value, "off": at, "len": n})
             at += 4 + n
-        return out
     except struct.error:
-        return []
+        pass
+    return out
 
 
 @register("ogg")
@@ -280,24 +286,74 @@ def walk_mp3(data: bytes) -> Iterator[dict]:
         yield chunk("audio", at, len(data) - at, "frames")
 
 
+#: Chunks that make a grid, and bytes by which its end may miss that of the file.
+LEAST_CHUNKS, SLACK = 2, 3
+
+
+def _steps(data: bytes, at: int, order: str) -> tuple[list[tuple[int, int]], int]:
+    """(place, size) of chunks with printable ids, one after another without pad bytes, and where they end."""
+    out = []
+    while at + 8 <= len(data) and all(32 <= c < 127 for c in data[at : at + 4]):
+        (size,) = struct.unpack_from(order + "I", data, at + 4)
+        if not size or at + 8 + size > len(data):
+            break
+        out.append((at, size))
+        at += 8 + size
+    return out, at
+
+
 def generic(data: bytes) -> Iterator[dict]:
-    """Of unknown containers, the chunk grid that follows best: either byte order, from byte 8 or 12."""
-    best, found = 0.0, []
-    for start in (8, 12):
-        for order in (">", "<"):
-            chunks, at = [], start
-            while at + 8 <= len(data):
-                raw, (size,) = data[at : at + 4], struct.unpack_from(order + "I", data, at + 4)
-                if not all(32 <= c < 127 for c in raw) or not size or at + 8 + size > len(data):
-                    break
-                chunks.append(chunk(raw.decode(), at, size, "by its grid"))
-                at += 8 + size
-            tiled = at == len(data)
-            wrapped = len(data) >= 8 and struct.unpack_from(order + "I", data, 4)[0] in (len(data), len(data) - 8)
-            score = len(chunks) + 5 * tiled + 3 * wrapped
-            if chunks and (tiled or wrapped) and score > best:
-                best, found = score, chunks
-    yield from found
+    """Of unknown containers, the chunk grid that follows best: of either byte order, from byte 8 or 12.
+
+    A grid counts if it ends with the file, or if the size behind the magic is the file's. Each chunk is a point, an end
+    with the file five and a right size three; of equals the earlier start and the big-endian one wins.
+    """
+    if len(data) < 12 or not all(32 <= c < 127 for c in data[:4]):
+        return
+    wrapped = min(abs(struct.unpack_from(order + "I", data, 4)[0] + 8 - len(data)) for order in "<>") <= SLACK
+    grids = []
+    for n, (start, order) in enumerate(((8, ">"), (8, "<"), (12, ">"), (12, "<"))):
+        steps, end = _steps(data, start, order)
+        tiled = len(data) - end <= SLACK
+        if len(steps) >= LEAST_CHUNKS and (tiled or wrapped):
+            grids.append((len(steps) + 5 * tiled + 3 * wrapped, -n, steps))
+    for at, size in max(grids, default=(0, 0, []))[2]:
+        yield chunk(data[at : at + 4].decode(), at, size, "by its grid")
+
+
+def forced(data: bytes) -> list[tuple[str, list[dict]]]:
+    """Every walker's chunks, whatever the magic number says; walkers that find nothing are left out.
+
+    A walker whose magic number is there comes first; then chunks without complaint and their fields count, less complaints.
+    """
+    from oreweave.sources import layouts, sniff  # noqa: F401  (layouts registers its walkers)
+
+    out = []
+    for kind in sorted(WALKERS):
+        found = walk(data, kind)
+        good = [c for c in found if c["id"] not in ("error", "tail") and not c["warnings"] and c["offset"] + c["size"] <= len(data)]
+        if good:
+            marked = any(name == kind and all(data[at : at + len(raw)] == raw for at, raw in zip(tests[::2], tests[1::2], strict=True)) for name, *tests in sniff.MAGICS)
+            points = sum(1 + len(c["fields"]) for c in good) - 4 * sum(len(c["warnings"]) for c in found)
+            out.append((marked, points, kind, found))
+    out.sort(key=lambda x: (not x[0], -x[1], x[2]))
+    return [(kind, found) for _, _, kind, found in out]
+
+
+def forced_walks(files: DataFrame, most: int = 3) -> DataFrame:
+    """path, place, format, chunks, complaints: the best walkers of each file (path, content)."""
+    names = ["path", "place", "format", "chunks", "complaints"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for place, (kind, found) in enumerate(forced(data.as_py() or b"")[:most]):
+                    rows.append((path, place, kind, len(found), sum(len(c["warnings"]) for c in found)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, place int, format string, chunks long, complaints long")
 
 
 def walked(data: bytes, kind: str | None) -> Iterator[dict]:
@@ -307,7 +363,7 @@ def walked(data: bytes, kind: str | None) -> Iterator[dict]:
         for c in WALKERS.get(kind, generic)(data):
             yield c | {"seq": seq}
             seq += 1
-    except (struct.error, IndexError, ValueError) as e:
+    except (struct.error, IndexError, ValueError, RecursionError, zlib.error, OverflowError) as e:
         yield chunk("error", 0, 0, "", warnings=[f"walker stopped: {e}"]) | {"seq": seq}
 
 
@@ -320,6 +376,8 @@ def chunks(files: DataFrame) -> DataFrame:
     kinds = pa.schema([("path", pa.string()), ("format", pa.string()), ("seq", pa.int32()), ("id", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("summary", pa.string()), ("fields", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("off", pa.int32()), ("len", pa.int32())]))), ("warnings", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from oreweave.sources import layouts  # noqa: F401  (registers its walkers)
+
         for batch in batches:
             for path, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
                 rows = ({"path": path.as_py(), "format": kind.as_py(), **c} for c in walked(data.as_py() or b"", kind.as_py()))
