@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from oreweave.functions import frames
 from oreweave.operators import bytestrings as bs
 from oreweave.operators import islands as isl
+from oreweave.sources import walkers
 
 #: What a container starts with, and its format by the id that may follow at byte 8.
 MAGICS = (b"RIFF", b"RIFX", b"RF64", b"FORM", b"MThd", b"fLaC", b"OggS", b".snd", b"caff")
@@ -211,3 +212,34 @@ def stitched(regions: DataFrame, segment: int, slack: int = 64 << 10) -> DataFra
     cut = (edge > 0) & (F.abs(F.col("offset") - edge) <= slack) & (F.abs(before - edge) <= slack) & (F.col("offset") - before <= slack)
     marked = isl.islands(regions.withColumn("_cut", cut), ["file", "kind", "format"], ["offset", "end"], ~F.coalesce("_cut", F.lit(False)))
     return marked.groupBy("file", "kind", "format", "island").agg(F.min("offset").alias("offset"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("island")
+
+
+def mpeg_chains(files: DataFrame) -> DataFrame:
+    """file, start, end, frames of the chains of MPEG frames."""
+
+    def found(data: np.ndarray) -> dict:
+        rows = frames.mpeg_streams(data.tobytes())
+        return {c: [r[i] for r in rows] for i, c in enumerate(("start", "end", "frames"))}
+
+    return bs.per_file(files, "start long, end long, frames long", found)
+
+
+def mpeg_checks(files: DataFrame) -> DataFrame:
+    """file, frames, stray, cut: how much of each file is frames that follow one upon the other."""
+
+    def found(data: np.ndarray) -> dict:
+        return {k: [v] for k, v in frames.mpeg_validity(data.tobytes()).items()}
+
+    return bs.per_file(files, "frames long, stray long, cut long", found)
+
+
+def flac_checks(files: DataFrame) -> DataFrame:
+    """file, ok, bad, unverified: frames by their checksums, of files with a FLAC header."""
+
+    def found(data: np.ndarray) -> dict:
+        raw = data.tobytes()
+        start = next((c["offset"] for c in walkers.walk(raw, "flac") if c["id"] == "frames"), None) if raw[:4] == b"fLaC" else None
+        states = [s for *_, s in frames.flac_frames(raw, start)] if start is not None else []
+        return {k: [states.count(k)] if start is not None else [] for k in ("ok", "bad", "unverified")}
+
+    return bs.per_file(files, "ok long, bad long, unverified long", found)

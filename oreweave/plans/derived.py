@@ -314,33 +314,6 @@ def f37_confidence(spark, sf):
     return g.select("file", F.round(F.least(F.lit(0.95), score), 6).alias("confidence"))
 
 
-@query(""" SELECT file, rule, severity, count(*) AS n FROM (
-    SELECT file, 'duplicate_chunk' AS rule, 'warn' AS severity FROM (SELECT file, id FROM chunks GROUP BY file, id HAVING count(*) > 2) UNION ALL
-    SELECT file, 'nonzero_pad', 'warn' FROM chunks WHERE size % 2 = 1 AND flag > 0 UNION ALL
-    SELECT file, 'cavity_content', 'notice' FROM chunks WHERE id = 'RF' AND size >= 30 UNION ALL
-    SELECT file, 'trailing_data', 'notice' FROM chunks GROUP BY file HAVING max(offset_ + size) > sum(size) + 4) GROUP BY ALL""", b.CHUNKS)
-def x12_anomalies(spark, sf):
-    """Each rule is its own small query; all are one union."""
-    ch = b.chunks(spark, sf)
-    found = lambda rows, rule, severity: rows.select("file", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
-    rules = [
-        found(ch.groupBy("file", "id").agg(F.count("*").alias("n")).where("n > 2"), "duplicate_chunk", "warn"),
-        found(ch.where("size % 2 = 1 AND flag > 0"), "nonzero_pad", "warn"),
-        found(ch.where("id = 'RF' AND size >= 30"), "cavity_content", "notice"),
-        found(ch.groupBy("file").agg(F.max(F.col("offset") + F.col("size")).alias("end"), F.sum("size").alias("total")).where("end > total + 4"), "trailing_data", "notice"),
-    ]
-    union = rules[0]
-    for r in rules[1:]:
-        union = union.unionByName(r)
-    return union.groupBy("file", "rule", "severity").agg(F.count("*").alias("n"))
-
-
-@query(" SELECT file, CASE WHEN bool_or(severity = 'warn') THEN 1 ELSE 0 END AS code FROM (SELECT file, CASE WHEN size % 2 = 1 AND flag > 0 THEN 'warn' ELSE 'info' END AS severity FROM chunks) GROUP BY file", b.CHUNKS)
-def x22_audit_code(spark, sf):
-    severity = (F.col("size") % 2 == 1) & (F.col("flag") > 0)
-    return b.chunks(spark, sf).groupBy("file").agg(F.max(F.when(severity, 1).otherwise(0)).alias("code"))
-
-
 @query(" SELECT file, seq, sum(size) OVER (PARTITION BY file ORDER BY seq) - size AS computed, offset_ AS stored FROM chunks QUALIFY computed <> stored", b.CHUNKS)
 def x17_violations(spark, sf):
     w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -168,26 +168,6 @@ def t07_version_gate(spark, sf):
     return b.samples(spark, sf).select("path").join(f, "path", "left").select("path", F.coalesce("version", F.lit(0)).alias("version"), (F.coalesce("version", F.lit(0)) == 3).alias("usable"))
 
 
-@query(" SELECT file, kind, s, e FROM (SELECT file, seq, CASE id WHEN 'NO' THEN 'container' WHEN 'RF' THEN 'stream' ELSE 'blob' END AS kind, offset_ AS s, offset_ + size AS e, size FROM chunks) a WHERE kind = 'container' OR (kind = 'stream' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.file = a.file AND c.id = 'NO' AND a.s >= c.offset_ AND a.s < c.offset_ + c.size)) OR (kind = 'blob' AND size >= 20 AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.file = a.file AND c.id = 'NO' AND least(a.e, c.offset_ + c.size) - greatest(a.s, c.offset_) >= 0.5 * a.size AND least(a.e, c.offset_ + c.size) > greatest(a.s, c.offset_)))", b.CHUNKS)
-def x09_locate(spark, sf):
-    """Containers; streams that don't start in one; large blobs that no container covers by half."""
-    kind = F.when(F.col("id") == "NO", "container").when(F.col("id") == "RF", "stream").otherwise("blob")
-    rows = b.chunks(spark, sf).select("file", kind.alias("kind"), F.col("offset").alias("s"), (F.col("offset") + F.col("size")).alias("e"))
-    containers = rows.where("kind = 'container'")
-    starts = rows.where("kind = 'stream'").withColumns({"_e": F.col("e"), "e": F.col("s") + 1})
-    streams = isl.interval_anti(starts, containers, ["file"], "s", "e", 1.0).withColumn("e", F.col("_e")).drop("_e")
-    blobs = isl.interval_anti(rows.where("kind = 'blob' AND e - s >= 20"), containers, ["file"], "s", "e", 0.5)
-    return containers.unionByName(streams).unionByName(blobs)
-
-
-@query(" SELECT file, round(any_value(total) / sum(size), 6) AS coverage FROM (SELECT file, size, sum(CASE WHEN linked THEN size ELSE 0 END) OVER (PARTITION BY file) AS total FROM (SELECT file, size, lead(offset_) OVER (PARTITION BY file ORDER BY seq) = offset_ + size AS linked FROM chunks)) GROUP BY file", b.CHUNKS)
-def x14_recovered_share(spark, sf):
-    w = Window.partitionBy("file").orderBy("seq")
-    linked = F.lead("offset").over(w) == F.col("offset") + F.col("size")
-    rows = b.chunks(spark, sf).select("file", "size", linked.alias("linked"))
-    return rows.groupBy("file").agg(F.round(F.sum(F.when(F.coalesce("linked", F.lit(False)), F.col("size")).otherwise(0)) / F.sum("size"), 6).alias("coverage"))
-
-
 @query(" SELECT file, sum(8 + size + size % 2)::BIGINT + 4 AS declared, count(*) FILTER (size % 2 = 1) AS pads FROM chunks GROUP BY file", b.CHUNKS)
 def x18_recomputed_sizes(spark, sf):
     return b.chunks(spark, sf).groupBy("file").agg((F.sum(8 + F.col("size") + F.col("size") % 2) + 4).alias("declared"), F.count_if(F.col("size") % 2 == 1).alias("pads"))

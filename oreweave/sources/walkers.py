@@ -324,19 +324,19 @@ def generic(data: bytes) -> Iterator[dict]:
 def forced(data: bytes) -> list[tuple[str, list[dict]]]:
     """Every walker's chunks, whatever the magic number says; walkers that find nothing are left out.
 
-    A walker whose magic number is there comes first; then chunks without complaint and their fields count, less complaints.
+    Walkers whose magic numbers are there come first, the longest before others; then chunks without complaint and their fields count, less complaints.
     """
-    from oreweave.sources import layouts, sniff  # noqa: F401  (layouts registers its walkers)
+    from oreweave.sources import sniff
 
     out = []
     for kind in sorted(WALKERS):
         found = walk(data, kind)
         good = [c for c in found if c["id"] not in ("error", "tail") and not c["warnings"] and c["offset"] + c["size"] <= len(data)]
         if good:
-            marked = any(name == kind and all(data[at : at + len(raw)] == raw for at, raw in zip(tests[::2], tests[1::2], strict=True)) for name, *tests in sniff.MAGICS)
+            marked = max((sum(map(len, tests[1::2])) for name, *tests in sniff.MAGICS if name == kind and all(data[at : at + len(raw)] == raw for at, raw in zip(tests[::2], tests[1::2], strict=True))), default=0)
             points = sum(1 + len(c["fields"]) for c in good) - 4 * sum(len(c["warnings"]) for c in found)
             out.append((marked, points, kind, found))
-    out.sort(key=lambda x: (not x[0], -x[1], x[2]))
+    out.sort(key=lambda x: (-x[0], -x[1], x[2]))
     return [(kind, found) for _, _, kind, found in out]
 
 
@@ -376,8 +376,6 @@ def chunks(files: DataFrame) -> DataFrame:
     kinds = pa.schema([("path", pa.string()), ("format", pa.string()), ("seq", pa.int32()), ("id", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("summary", pa.string()), ("fields", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("off", pa.int32()), ("len", pa.int32())]))), ("warnings", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from oreweave.sources import layouts  # noqa: F401  (registers its walkers)
-
         for batch in batches:
             for path, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
                 rows = ({"path": path.as_py(), "format": kind.as_py(), **c} for c in walked(data.as_py() or b"", kind.as_py()))
@@ -390,3 +388,7 @@ def chunks(files: DataFrame) -> DataFrame:
 def flat_fields(found: DataFrame) -> DataFrame:
     """path, seq, id, name, value of every field."""
     return found.select("path", "seq", "id", F.explode("fields").alias("f")).select("path", "seq", "id", "f.name", "f.value")
+
+
+# At the end, as it takes names from here and registers its walkers.
+from oreweave.sources import layouts  # noqa: E402, F401
