@@ -321,7 +321,7 @@ def x17_violations(spark, sf):
     return rows.where("computed <> stored")
 
 
-@query(" SELECT file, seq, k::INT AS chunk, first_ + k AS number FROM (SELECT file, seq, flag AS first_, coalesce(lead(flag) OVER (PARTITION BY file ORDER BY flag, seq), max(flag) OVER (PARTITION BY file) + 2) - flag AS n FROM chunks), (SELECT unnest(range(12)) AS k) WHERE k < n", b.CHUNKS)
+@query(" SELECT file, seq, k::INT AS chunk, first_ + k AS number FROM (SELECT file, seq, flag AS first_, coalesce(lead(flag) OVER (PARTITION BY file ORDER BY flag, seq), max(flag) OVER (PARTITION BY file) + 2) - flag AS n FROM chunks), (SELECT unnest(range((SELECT max(flag) + 3 FROM chunks))) AS k) WHERE k < n", b.CHUNKS)
 def x19_run_expansion(spark, sf):
     w = Window.partitionBy("file")
     ordered = w.orderBy("flag", "seq")
@@ -343,10 +343,14 @@ def x28_capabilities(spark, sf):
     return b.samples(spark, sf).groupBy("format").agg(some("bpm IS NOT NULL", "tempo"), some("key IS NOT NULL", "key"), some("acid_beats > 0", "beats"))
 
 
-@query("SELECT user_id, hour AS first, n, kind FROM (SELECT user_id, min(hour) AS hour, count(*) AS n, kind FROM (SELECT *, hour - row_number() OVER (PARTITION BY user_id, kind ORDER BY hour) AS g FROM (SELECT user_id, hour, CASE WHEN n = 0 THEN 'mute' WHEN n = lag(n) OVER (PARTITION BY user_id ORDER BY hour) THEN 'hold' END AS kind FROM (SELECT u.user_id, h.hour, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(48)) AS hour) h LEFT JOIN events e ON e.user_id = u.user_id AND epoch_us(e.ts) // 3600000000 - 473352 = h.hour GROUP BY ALL)) WHERE kind IS NOT NULL) GROUP BY user_id, kind, g) WHERE n >= 3")
+@query("SELECT user_id, hour AS first, n, kind FROM (SELECT user_id, min(hour) AS hour, count(*) AS n, kind FROM (SELECT *, hour - row_number() OVER (PARTITION BY user_id, kind ORDER BY hour) AS g FROM (SELECT user_id, hour, CASE WHEN n = 0 THEN 'mute' WHEN n = lag(n) OVER (PARTITION BY user_id ORDER BY hour) THEN 'hold' END AS kind FROM (SELECT u.user_id, h.hour, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range((SELECT min(epoch_us(ts) // 3600000000) FROM events), (SELECT max(epoch_us(ts) // 3600000000) + 1 FROM events))) AS hour) h LEFT JOIN events e ON e.user_id = u.user_id AND epoch_us(e.ts) // 3600000000 = h.hour GROUP BY ALL)) WHERE kind IS NOT NULL) GROUP BY user_id, kind, g) WHERE n >= 3")
 def w10_concealment(spark, sf):
-    e = b.table(spark, sf, "events").select("user_id", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473352).alias("hour"))
-    grid = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(47).cast("long"))).alias("hour"))
+    """Hours without events, and hours with as many as the one before, three or more in a row, on the grid of all hours there are."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    e = b.table(spark, sf, "events").select("user_id", hour.alias("hour"))
+    # One row: the first and the last hour.
+    span = e.agg(F.min("hour").alias("low"), F.max("hour").alias("high")).where("low is not null")
+    grid = e.select("user_id").distinct().join(F.broadcast(span)).select("user_id", F.explode(F.sequence("low", "high")).alias("hour"))
     counts = grid.join(e.groupBy("user_id", "hour").agg(F.count("*").alias("n")), ["user_id", "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy("user_id").orderBy("hour")
     kinds = counts.withColumn("kind", F.when(F.col("n") == 0, "mute").when(F.col("n") == F.lag("n").over(w), "hold")).where("kind IS NOT NULL").select("user_id", "hour", "kind")

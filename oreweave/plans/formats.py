@@ -73,7 +73,7 @@ _FILES = "files AS (SELECT vec_id, '/v/' || vec_id || '.wav' AS path, vec_id % 3
 QUERIES = {f.__name__: f for f in (f42_pcm_decode, f45_mu_law, s06_sniff, s09_walk_chunks, s11_generic_grid, s18_format_fields, x16_classify)}
 ORACLE_SQL = {
     "f42_pcm_decode": "SELECT vec_id, i::INT AS i, floor(v * 32000)::INT AS sample FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings)",
-    "f45_mu_law": """WITH b AS (SELECT item_id, 255 - ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark), (SELECT unnest(range(20000)) AS i) WHERE 2 * i < length(h)),
+    "f45_mu_law": """WITH b AS (SELECT item_id, 255 - ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark), (SELECT unnest(range((SELECT max(octet_length(encode(text))) FROM benchmark))) AS i) WHERE 2 * i < length(h)),
         s AS (SELECT item_id, v, ((((v & 15) << 3) + 132) << ((v >> 4) & 7)) - 132 AS size FROM b) SELECT item_id, count(*)::INT AS n, sum(CASE WHEN v & 128 > 0 THEN -size ELSE size END)::BIGINT AS total FROM s GROUP BY item_id""",
     "s06_sniff": f"WITH {_FILES} SELECT vec_id, 'wav' AS format, CASE WHEN note THEN 186 ELSE 172 END AS length FROM files",
     "s09_walk_chunks": f"""WITH {_FILES} SELECT path, 0 AS seq, 'RIFF' AS id, 0 AS offset, CASE WHEN note THEN 178 ELSE 164 END AS size, 0 AS warnings FROM files UNION ALL

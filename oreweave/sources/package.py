@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,7 +25,10 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    path = os.path.join(tempfile.mkdtemp(prefix="oreweave-"), "oreweave.zip")
+    # Spark's file server reads it from here as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="oreweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "oreweave.zip")
     Path(path).write_bytes(data.getvalue())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
