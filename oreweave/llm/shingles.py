@@ -193,7 +193,8 @@ def links(table: DataFrame, words: int = 5, share: Fraction = SHARE, radius: int
     own = F.struct("size", F.col("z.at").alias("at"), "lone", "fp")
     met = met.select(F.col("z.keys").alias("shingle"), own.alias("t"))
     hubs = met.groupBy("shingle").agg(F.min(F.struct((F.col("t.lone") / F.col("t.size")).alias("part"), F.col("t.fp"), "t")).alias("least"), F.count("*").alias("n"))
-    hubs = hubs.where("n > 1").select("shingle", F.col("least.t").alias("hub"))
+    # As a table: both sides of the join are then plain exchanges, of which hot shingles can be split.
+    hubs = base.cut(hubs.where("n > 1").select("shingle", F.col("least.t").alias("hub")))
     by_hub = met.join(hubs, "shingle").where((F.col("t.fp") != F.col("hub.fp")) & may_link("t", "hub", share))
     by_hub = base.cut(by_hub.select(F.col("t.fp").alias("a"), F.col("hub.fp").alias("b")).select(*pair).distinct())
     near = by_prints(texts, radius).select(*pair)
@@ -202,7 +203,7 @@ def links(table: DataFrame, words: int = 5, share: Fraction = SHARE, radius: int
     keyed = met.join(named.select(F.col("node").alias("_node"), "root"), F.col("t.fp") == F.col("_node"), "left")
     keyed = base.cut(keyed.select("shingle", "t", F.coalesce("root", "t.fp").alias("of")))
     groups = keyed.groupBy("shingle", "of").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "of")).alias("most"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").select("shingle", F.col("most.of").alias("most"))
+    groups = base.cut(groups.where("n > 1").select("shingle", F.col("most.of").alias("most")))
     # Texts outside the largest component of a shingle meet all others; of two such, only one is the first.
     few = base.cut(keyed.join(groups, "shingle").where("of <> most").select("shingle", F.col("t").alias("s"), F.col("of").alias("few"), "most"))
     rest = keyed.join(few, "shingle").where((F.col("of") != F.col("few")) & ((F.col("of") == F.col("most")) | (F.col("s.fp") < F.col("t.fp"))) & may_link("s", "t", share))
