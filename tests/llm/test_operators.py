@@ -476,6 +476,169 @@ def test_rule_counts_match_brute_force(docs, empty):
     assert quality_rules.filter_documents(docs).columns == docs.columns
 
 
+def test_toxic_scores_match_brute_force(spark, docs):
+    """Cosines, neighbours, votes and the calibrated score with dictionaries; the curve is where its loss is flat."""
+    import string
+
+    r = random.Random(11)
+    bad = ["vile", "awful,", "(vile)", "trash"]
+    data = {x.doc_id: (x.text or "")[:3000] for x in docs.collect() if x.doc_id is not None}
+    marked = {i: int(r.random() < 0.3) for i in data}
+    texts = {i: t + " " + " ".join(r.choice(bad) for _ in range(3)) if marked[i] and r.random() < 0.9 else t for i, t in data.items()}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labelled = {i: y for i, y in marked.items() if r.random() < 0.9}
+    index = toxicity.build(table, spark.createDataFrame(list(labelled.items()), "doc_id long, toxic int"))
+
+    def counts(text):
+        words = [w.strip(string.punctuation) or w for w in re.findall("[^\x20\x09-\x0d]+", lower(text))]
+        return Counter(words)
+
+    bags = {i: counts(t) for i, t in texts.items()}
+    df = Counter(w for b in bags.values() for w in b)
+    known = {w for i in labelled for w in bags[i]}
+    idf = {w: math.log((1 + len(texts)) / (1 + df[w])) for w in known}
+
+    def vector(bag):
+        v = {w: (1 + math.log(c)) * idf[w] for w, c in bag.items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+    ones, n = sum(labelled.values()), len(labelled)
+    telling = set()
+    for w in known:
+        a, b = sum(w in bags[i] and y for i, y in labelled.items()), sum(w in bags[i] for i in labelled)
+        spread = b * (n - b) * ones * (n - ones)
+        if spread and n * (a * (n - ones) - (b - a) * ones) ** 2 / spread >= 20 and b >= 3:
+            telling.add(w)
+    assert telling
+
+    def inputs(i, but=None):
+        cosines = {j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) for j in labelled if j != but}
+        best = sorted((j for j, c in cosines.items() if c > 1e-12), key=lambda j: (-round(cosines[j], 12), j))[:24]
+        weight = [cosines[j] ** 2 for j in best]
+        vote = sum(w * labelled[j] for w, j in zip(weight, best, strict=True)) / sum(weight) if best else None
+        mass = math.log1p(math.sqrt(sum(idf[w] ** 2 for w in bags[i] if w in telling)))
+        return vote, mass
+
+    prior = ones / n
+    for i, t in texts.items():
+        vote, mass = inputs(i)
+        got = index.score(t)[0]
+        want = index.silent if vote is None else 1 / (1 + math.exp(-sum(b * x for b, x in zip(index.curve, (vote, mass, vote * mass, 1), strict=True))))
+        assert got == pytest.approx(want, abs=1e-6), i
+    slope = [0.01 * b for b in index.curve]
+    for i, y in labelled.items():
+        vote, mass = inputs(i, but=i)
+        if vote is not None:
+            x = (vote, mass, vote * mass, 1)
+            p = 1 / (1 + math.exp(-sum(b * v for b, v in zip(index.curve, x, strict=True))))
+            weight = prior / prior if y else 1.0
+            slope = [s + weight * (p - y) * v for s, v in zip(slope, x, strict=True)]
+    assert max(map(abs, slope)) < 1e-4
+
+
+def test_quality_posterior_matches_brute_force(docs):
+    """Expectation maximisation and the posterior in plain loops, from the votes that the rules give."""
+    votes = quality_rules.rules()
+    stats = quality_rules.with_stats(docs.select("doc_id", "text")).select("doc_id", *(c.alias(k) for k, c in votes.items()), quality_rules.base_failed().alias("failed")).collect()
+    cast = [[r[k] for k in votes] for r in stats]
+    good = [0.1 if -1 in v else 0.95 for v in cast]
+    right = None
+    for _ in range(500):
+        prior = min(max(sum(good) / len(good), 0.02), 0.98)
+        new = []
+        for sign, low, high, weight in ((1, 0.9, 0.9995, good), (-1, 0.02, 0.98, [1 - g for g in good])):
+            row = []
+            for k in range(len(votes)):
+                heard = sum(w for w, v in zip(weight, cast, strict=True) if v[k])
+                row.append(min(max((sum(w for w, v in zip(weight, cast, strict=True) if v[k] == sign) + 1) / (heard + 2), low), high))
+            new.append(row)
+        done = right is not None and max(abs(a - b) for x, y in zip(new, right, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
+        right = new
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(a / (1 - b)) if x == 1 else math.log((1 - a) / b) if x == -1 else 0 for x, a, b in zip(v, *right, strict=True)) for v in cast]
+        good = [1 / (1 + math.exp(-o)) for o in odds]
+        if done:
+            break
+    want = sorted((str(r.doc_id), round(g, 6), bool(not r.failed and g >= 0.5)) for r, g in zip(stats, good, strict=True))
+    got = sorted((str(r.doc_id), round(r.quality, 6), r.kept) for r in quality_rules.report(docs).collect())
+    assert [x[::2] for x in got] == [x[::2] for x in want]
+    assert all(a[1] == pytest.approx(b[1], abs=2e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_trees_match_exhaustive_splits():
+    """Each split is the best of all thresholds of all features; a row's score is the sum of the leaves that it falls to."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(80, 4)), 1)
+    y = (x[:, 1] + 0.5 * x[:, 2] + r.normal(scale=0.5, size=80) > 0).astype(float)
+    trees = quality_gbdt.Trees(rounds=4, depth=3, bins=40).fit(x, y)
+    share = y.mean()
+    total = np.full(80, math.log(share / (1 - share)))
+    edges = [sorted(set(np.quantile(c, np.linspace(0, 1, 41)[1:-1], method="nearest").tolist())) for c in x.T]
+    for k in range(4):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+        nodes = {0: list(range(80))}
+        for level in range(3):
+            for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                rows = nodes.get(node, [])
+                best = (1e-6, 0, math.inf)
+                for f in range(4):
+                    for t in edges[f]:
+                        left = [i for i in rows if x[i, f] <= t]
+                        rest = [i for i in rows if x[i, f] > t]
+                        if sum(h[left]) < 1 or sum(h[rest]) < 1:
+                            continue
+                        worth = lambda part: sum(g[part]) ** 2 / (sum(h[part]) + 1)
+                        gain = worth(left) + worth(rest) - worth(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, f, t)
+                assert (trees.feature[k, node], trees.threshold[k, node]) == best[1:], (k, node)
+                nodes[2 * node + 1], nodes[2 * node + 2] = [i for i in rows if x[i, best[1]] <= best[2]], [i for i in rows if x[i, best[1]] > best[2]]
+        for leaf in range(8):
+            rows = nodes.get(7 + leaf, [])
+            assert trees.leaf[k, leaf] == pytest.approx(-0.1 * sum(g[rows]) / (sum(h[rows]) + 1))
+            total[rows] += trees.leaf[k, leaf]
+    assert np.allclose(trees.predict(x), 1 / (1 + np.exp(-total)))
+
+
+def test_quality_query_scores_by_its_trees(spark, docs):
+    """Every score of the table by a scalar descent of the trees, on features counted in plain Python."""
+    r = random.Random(5)
+    labels = spark.createDataFrame([(i, len(t or "") % 2, 0) for i, t in {x.doc_id: x.text for x in docs.collect()}.items() if r.random() < 0.8], "doc_id long, quality int, toxic int")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    from oreweave.llm import base
+
+    trees = quality_gbdt.fit(docs, labels.where(base.crc_bucket("doc_id", 5) != 0))
+    assert len(trees.leaf) == 120
+    for x in quality_gbdt.score(docs.select("doc_id", "text").withColumn("lang", F.lit("q")), labels).collect():
+        assert x.held_out == held(x.doc_id) and 0 <= x.score <= 1 and x.predicted == (x.score >= 0.3)
+    scores = Counter((str(x.doc_id), round(x.score, 9)) for x in quality_gbdt.score(docs, labels).collect())
+    want = Counter()
+    for d in docs.collect():
+        row, total = quality_gbdt.features([d.text or ""])[0], trees.start
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        want[str(d.doc_id), round(1 / (1 + math.exp(-total)), 9)] += 1
+    assert scores == want
+
+
+def test_quality_features_by_plain_counts():
+    text = "Ab, cd!\n12|é x.\nAb, cd!\n\n" + "w " * 12
+    words = WORD.findall(text)
+    f = dict(zip(quality_gbdt.FEATURES, quality_gbdt.features([text])[0], strict=True))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    assert f["log_words"] == pytest.approx(math.log1p(len(words))) and f["word_length"] == pytest.approx(sum(map(len, words)) / len(words))
+    assert f["dup_lines"] == pytest.approx((len(lines) - len(set(lines))) / len(lines)) and f["bars"] == pytest.approx(1 / len(words))
+    assert f["not_ascii"] == pytest.approx(2 / len(text.encode())) and f["digits"] == pytest.approx(2 / sum(map(len, words)))
+    assert f["distinct"] == pytest.approx(len(set(words)) / len(words)) and f["longest_run"] == pytest.approx(math.log1p(max(len(w.encode()) for w in words)))
+
+
 def test_label_model_finds_the_rare_class():
     import numpy as np
 
