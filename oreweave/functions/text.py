@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_path(path: Column) -> Column:
@@ -53,3 +55,26 @@ def without_bom(text: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KiB"))).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit(" MiB")))
+
+
+def decoded(data: Column) -> Column:
+    """Bytes as UTF-8 if they are, else as Latin-1."""
+    return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
+
+
+def c_string(data: Column) -> Column:
+    """Bytes up to the first zero as text, without white space at its ends."""
+    # Two digits and a blank a byte, so that the zero is a whole byte.
+    spaced = F.split(F.regexp_replace(F.hex(data), "(..)", "$1 "), "(?<= |^)00 ", 2)[0]
+    return F.regexp_replace(decoded(F.unhex(F.replace(spaced, F.lit(" "), F.lit("")))), "^\\s+|\\s+$", "")
+
+
+@F.pandas_udf(T.StringType())
+def _escaped(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: None if x is None else bytes(x).decode("utf-8", "backslashreplace"))
+
+
+def safe_path(data: Column) -> Column:
+    """A path's bytes as text that JSON can hold: bytes that are no UTF-8 as `\\xNN`. Only such paths leave the JVM."""
+    good = F.is_valid_utf8(data.cast("string"))
+    return F.when(good, data.cast("string")).otherwise(_escaped(F.when(~good, data)))

@@ -108,3 +108,9 @@ def match(inverted: DataFrame, query: str) -> DataFrame:
         return left.unionByName(right).distinct() if tree[0] == "or" else left.join(right, "id", "left_semi" if tree[0] == "and" else "left_anti")
 
     return run(parse(query))
+
+
+def refreshed(inverted: DataFrame, changed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The index with the rows of the changed documents taken out and made anew; documents without words only go."""
+    stale = changed.select(F.col(key).alias("id")).distinct()
+    return inverted.join(stale, "id", "left_anti").unionByName(index(changed, key, columns).select(inverted.columns))

@@ -20,13 +20,22 @@ from oreweave.sources.package import ship
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str, *ctes: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
-        return f
+def query_of(queries: dict, twins: dict):
+    """A decorator that registers a query with its twin."""
 
-    return register
+    def query(sql: str | None, *ctes: str):
+        def register(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                twins[f.__name__] = ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
+            return f
+
+        return register
+
+    return query
+
+
+query = query_of(QUERIES, ORACLE_SQL)
 
 
 def zeros(n):

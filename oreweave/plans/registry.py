@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and ORACLE_SQL.
-MODULES = ("catalogue", "sequences", "derived", "formats", "streams", "more", "blobs")
+MODULES = ("catalogue", "sequences", "derived", "formats", "streams", "more", "blobs", "fieldwork")
 
 
 def _merged(name: str) -> dict:

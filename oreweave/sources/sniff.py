@@ -171,3 +171,21 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) ->
 def identified(files: DataFrame) -> DataFrame:
     """files with format: by magic, else by extension."""
     return files.withColumn("format", F.coalesce(sniff(F.col("content")), F.nullif(extension(F.col("path")), F.lit(""))))
+
+
+def expanded(listing: DataFrame, inputs: list[str], accept: list[str] | None = None, recurse: bool = True) -> DataFrame:
+    """path, named, kept for files that inputs (files and folders) name: each once, and in order of path where it matters.
+
+    listing: path of every file there is. A file that is named itself is kept whatever its extension; one in a folder only
+    if that is accepted. Without recurse a folder's own files alone count. Rows that aren't kept are those left out.
+    """
+    spark = listing.sparkSession
+    wanted = spark.createDataFrame([(p.rstrip("/"),) for p in dict.fromkeys(inputs)], "input string")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    own = F.array_union(F.array(F.col("path")), above if recurse else F.array(F.regexp_replace("path", "/[^/]*$", "")))
+    # The inputs are a literal list.
+    met = listing.select("path", F.explode(own).alias("input")).join(F.broadcast(wanted), "input")
+    out = met.groupBy("path").agg(F.bool_or(F.col("input") == F.col("path")).alias("named"))
+    fits = extension(F.col("path")).isin(*[e.lower().lstrip(".") for e in accept]) if accept else F.lit(True)
+    return out.withColumn("kept", F.col("named") | fits)
