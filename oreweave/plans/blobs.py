@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from oreweave.functions import fields
 from oreweave.operators import bytestrings as bs
 from oreweave.operators import regions
 from oreweave.plans import bindings as b
@@ -14,7 +15,7 @@ from oreweave.plans import formats
 from oreweave.plans.formats import _le as le
 from oreweave.plans.sequences import BYTES
 from oreweave.plans.sequences import files as texts
-from oreweave.sources import defects, sniff, walkers
+from oreweave.sources import defects, edit, extract, sniff, walkers
 from oreweave.sources.package import ship
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -149,3 +150,21 @@ _CLASSED = "classed AS (SELECT file, pos * 256 // n AS cell, CASE WHEN byte = 0
 @query("SELECT file, x::INT AS x, y::INT AS y, sum(k)::BIGINT AS n, (['null', 'ctrl', 'ascii', 'high', 'ff'])[arg_max(c, k * 10 - c) + 1] AS class FROM (SELECT file, cell, c, count(*) AS k FROM classed GROUP BY ALL) JOIN hil ON cell = d AND s = 16 GROUP BY file, cell, x, y", _CURVE, BYTES, _CLASSED)
 def a22_byte_map(spark, sf):
     return bs.class_grid(texts(spark, sf), 4)
+
+
+@query("SELECT '/v/' || vec_id || '.wav' AS path, 0::INT AS seq, (8000 + vec_id * 10)::INT AS rate, 64::BIGINT AS frames, 172::INT AS bytes FROM embeddings")
+def x25_extracted_samples(spark, sf):
+    files = formats.files(spark, sf).withColumn("format", sniff.sniff(F.col("content")))
+    return extract.extracted(files).select("path", "seq", "rate", "frames", F.octet_length("wav").alias("bytes"))
+
+
+@query("SELECT '/v/' || vec_id || '.wav' AS path, 8000::BIGINT AS rate, floor(embedding[1]::DOUBLE * 32000)::BIGINT AS first, floor(embedding[64]::DOUBLE * 32000)::BIGINT AS last FROM embeddings")
+def x27_converted(spark, sf):
+    """AU files of big-endian samples as WAVE files, whose fields are read again."""
+    ship(spark)
+    big = lambda x, n: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit((1 << 8 * n) - 1))), 2 * n, "0")
+    pcm = F.array_join(F.transform("embedding", lambda x: big(F.floor(x.cast("double") * 32000), 2)), "")
+    au = F.concat(text(".snd"), *(big(F.lit(v), 4) for v in (24, 128, 3, 8000, 1)), pcm)
+    files = b.table(spark, sf, "embeddings").select(F.concat(F.lit("/v/"), F.col("vec_id").cast("string"), F.lit(".au")).alias("path"), F.lit("au").alias("format"), F.unhex(au).alias("content"))
+    read = lambda at, spec: fields.read(F.col("wav"), F.lit(at), spec)
+    return extract.converted(files).select("path", read(24, "u32").alias("rate"), read(44, "i16").alias("first"), read(44 + 126, "i16").alias("last"))
