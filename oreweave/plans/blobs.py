@@ -168,3 +168,57 @@ def x27_converted(spark, sf):
     files = b.table(spark, sf, "embeddings").select(F.concat(F.lit("/v/"), F.col("vec_id").cast("string"), F.lit(".au")).alias("path"), F.lit("au").alias("format"), F.unhex(au).alias("content"))
     read = lambda at, spec: fields.read(F.col("wav"), F.lit(at), spec)
     return extract.converted(files).select("path", read(24, "u32").alias("rate"), read(44, "i16").alias("first"), read(44 + 126, "i16").alias("last"))
+
+
+def wrong_files(spark, sf):
+    """vec_id, path, format, content, right: WAVE files, each third with a wrong size, each fifth with a wrong byte rate."""
+    k, h = F.col("vec_id"), F.hex("content")
+    cut = lambda a, n: F.substring(h, 2 * a + 1, F.lit(2 * n))
+    size, rate = F.when(k % 3 == 1, text(",\0\0\0")).otherwise(cut(4, 4)), F.when(k % 5 == 1, text("\7\0\0\0")).otherwise(cut(28, 4))
+    wrong = F.unhex(F.concat(cut(0, 4), size, cut(8, 20), rate, F.expr("substring(hex(content), 65)")))
+    return formats.files(spark, sf).select("vec_id", "path", F.lit("wav").alias("format"), wrong.alias("content"), F.col("content").alias("right"))
+
+
+@query("""SELECT '/v/' || vec_id || '.wav' AS path, 'form size' AS field, 4::BIGINT AS place, 44::BIGINT AS stored, 164::BIGINT AS computed, true AS witnessed FROM embeddings WHERE vec_id % 3 = 1
+    UNION ALL SELECT '/v/' || vec_id || '.wav', 'byte rate', 28, 7, 2 * (8000 + vec_id * 10), true FROM embeddings WHERE vec_id % 5 = 1""")
+def x17_violations(spark, sf):
+    return edit.checked(wrong_files(spark, sf))
+
+
+@query("SELECT '/v/' || vec_id || '.wav' AS path, CASE WHEN vec_id % 3 = 1 OR vec_id % 5 = 1 THEN 'changed' ELSE 'same' END AS state, true AS as_it_was FROM embeddings")
+def x17_repaired(spark, sf):
+    """After the repair each file is what it was before it was broken."""
+    f = wrong_files(spark, sf)
+    fixed = edit.mended(f)
+    return fixed.join(f.select("path", "right"), "path").select("path", "state", (F.col("content") == F.col("right")).alias("as_it_was"))
+
+
+@query("SELECT '/v/' || vec_id || '.wav' AS path, CASE WHEN vec_id % 3 = 0 THEN 178 ELSE 164 END::BIGINT + 32 AS size, 'changed' AS state, 'vector ' || vec_id AS title FROM embeddings WHERE vec_id BETWEEN 100 AND 999")
+def k16_edited_titles(spark, sf):
+    """A title of ten letters in a list of its own; sizes follow from the bottom up, and a wrong one is made right."""
+    f = wrong_files(spark, sf).where("vec_id between 100 and 999")
+    new = edit.changed(f, lambda data, kind: edit.with_info(data, {"INAM": "vector " + str((int.from_bytes(data[24:28], "little") - 8000) // 10)}))
+    end = F.expr("substring(content, octet_length(content) - 11, 10)").cast("string")
+    return new.select("path", fields.read(F.col("content"), F.lit(4), "u32").alias("size"), "state", end.alias("title"))
+
+
+def media_files(spark, sf):
+    """file, data: an MP4 file's boxes for each customer; the media header of each fourth states ten seconds too many."""
+    k = F.col("c_custkey")
+    big = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    box = lambda name, body: F.concat(big(F.length(body) / 2 + 8), text(name), body)
+    zero = F.lit("00000000")
+    stated = 100 * (5 + k % 7) + F.when(k % 4 == 0, 1000).otherwise(0)
+    mdhd = box("mdhd", F.concat(zero, zero, zero, big(F.lit(100)), big(stated), zero))
+    stts = box("stts", F.concat(zero, big(F.lit(2)), big(5 + k % 7 - 1), big(F.lit(100)), big(F.lit(1)), big(F.lit(100))))
+    moov = box("moov", box("trak", box("mdia", F.concat(mdhd, box("minf", box("stbl", stts))))))
+    return b.table(spark, sf, "customer").select(k.alias("file"), F.unhex(F.concat(box("ftyp", text("M4A \0\0\0\0")), moov)).alias("data"))
+
+
+@query("SELECT c_custkey AS file, 5 + c_custkey % 7 + CASE WHEN c_custkey % 4 = 0 THEN 10 ELSE 0 END::DOUBLE AS stated, (5 + c_custkey % 7)::DOUBLE AS measured, c_custkey % 4 = 0 AS wrong FROM customer")
+def x20_media_durations(spark, sf):
+    def found(data):
+        seconds = edit.media_seconds(data.tobytes())
+        return {"stated": [seconds[0]], "measured": [seconds[1]], "wrong": [abs(seconds[0] - seconds[1]) > 0.5]} if seconds else {"stated": [], "measured": [], "wrong": []}
+
+    return bs.per_file(media_files(spark, sf), "stated double, measured double, wrong boolean", found)

@@ -314,13 +314,6 @@ def f37_confidence(spark, sf):
     return g.select("file", F.round(F.least(F.lit(0.95), score), 6).alias("confidence"))
 
 
-@query(" SELECT file, seq, sum(size) OVER (PARTITION BY file ORDER BY seq) - size AS computed, offset_ AS stored FROM chunks QUALIFY computed <> stored", b.CHUNKS)
-def x17_violations(spark, sf):
-    w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = b.chunks(spark, sf).select("file", "seq", (F.sum("size").over(w) - F.col("size")).alias("computed"), F.col("offset").alias("stored"))
-    return rows.where("computed <> stored")
-
-
 @query(" SELECT file, seq, k::INT AS chunk, first_ + k AS number FROM (SELECT file, seq, flag AS first_, coalesce(lead(flag) OVER (PARTITION BY file ORDER BY flag, seq), max(flag) OVER (PARTITION BY file) + 2) - flag AS n FROM chunks), (SELECT unnest(range((SELECT max(flag) + 3 FROM chunks))) AS k) WHERE k < n", b.CHUNKS)
 def x19_run_expansion(spark, sf):
     w = Window.partitionBy("file")

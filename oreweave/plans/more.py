@@ -168,17 +168,6 @@ def t07_version_gate(spark, sf):
     return b.samples(spark, sf).select("path").join(f, "path", "left").select("path", F.coalesce("version", F.lit(0)).alias("version"), (F.coalesce("version", F.lit(0)) == 3).alias("usable"))
 
 
-@query(" SELECT file, sum(8 + size + size % 2)::BIGINT + 4 AS declared, count(*) FILTER (size % 2 = 1) AS pads FROM chunks GROUP BY file", b.CHUNKS)
-def x18_recomputed_sizes(spark, sf):
-    return b.chunks(spark, sf).groupBy("file").agg((F.sum(8 + F.col("size") + F.col("size") % 2) + 4).alias("declared"), F.count_if(F.col("size") % 2 == 1).alias("pads"))
-
-
-@query(" SELECT file, sum(size * flag)::BIGINT AS measured, max(offset_) * 4 AS stated, abs(sum(size * flag) - max(offset_) * 4) > 50 AS wrong FROM chunks GROUP BY file", b.CHUNKS)
-def x20_duration_check(spark, sf):
-    r = b.chunks(spark, sf).groupBy("file").agg(F.sum(F.col("size") * F.col("flag")).alias("measured"), (F.max("offset") * 4).alias("stated"))
-    return r.withColumn("wrong", F.abs(F.col("measured") - F.col("stated")) > 50)
-
-
 @query(" SELECT o.file, o.seq, count(c.seq) AS children FROM chunks o LEFT JOIN chunks c ON c.file = o.file AND c.seq <> o.seq AND c.offset_ >= o.offset_ AND c.offset_ + c.size <= o.offset_ + o.size AND c.size < o.size GROUP BY ALL", b.CHUNKS)
 def x24_children(spark, sf):
     o = b.chunks(spark, sf).select("file", "seq", "offset", "size")

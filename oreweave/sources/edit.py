@@ -42,12 +42,19 @@ FORMS = (b"RIFF", b"RIFX", b"FORM", b"LIST", b"CAT ")
 
 
 def tree(data: bytes) -> tuple[Node, str, bytes]:
-    """The chunks of a RIFF or IFF file, its byte order, and what follows its end. A chunk that runs past the end is cut."""
+    """The chunks of a RIFF or IFF file, its byte order, and what follows its end.
+
+    Where no chunk ends at the size that the file states, all of it is taken. A chunk that runs past the end is cut.
+    """
     order = ">" if data[:4] in (b"RIFX", b"FORM", b"CAT ") else "<"
     if data[:4] not in FORMS or len(data) < 12:
         raise ValueError("no chunked file")
     (size,) = struct.unpack_from(order + "I", data, 4)
-    end = min(len(data), 8 + size)
+    end, at = min(len(data), 8 + size), 12
+    while at + 8 <= end:
+        (n,) = struct.unpack_from(order + "I", data, at + 4)
+        at += 8 + n + n % 2
+    end = end if at in (end, end + 1) else len(data)
 
     def inside(at: int, end: int, depth: int) -> list[Node]:
         out = []
