@@ -54,3 +54,20 @@ def concealed(rows: DataFrame, part: list[str], index: str, value: str, least: i
     from oreweave.operators.islands import runs
 
     return runs(seen.withColumn("kind", kind).where("kind IS NOT NULL").select(*part, index, "kind"), part, index, "kind", least)
+
+
+def detailed_key(chroma: Column, least_classes: int = 3, present: float = 0.02) -> Column:
+    """struct<key, r, margin, relative>: the best key, its correlation, and by how much it is better than any key of another root.
+
+    relative: the second best key if it is the relative major or minor, which has the same notes. Null if fewer than
+    `least_classes` pitch classes have `present` of the largest one's energy, or no key correlates.
+    """
+    scores = F.array_sort(F.transform(key_scores(chroma), lambda s: F.struct((-s["r"]).alias("r"), (-s["order"]).alias("order"), s["key"].alias("key"))))
+    root = lambda s: F.floor(s["order"] / 2)
+    first, second = F.get(scores, 0), F.get(scores, 1)
+    other = F.get(F.filter(scores, lambda s: root(s) != root(first)), 0)
+    minor = lambda s: s["order"] % 2 == 1
+    pair = F.when(minor(first), (root(first) + 3) % 12 == root(second)).otherwise((root(second) + 3) % 12 == root(first)) & (minor(first) != minor(second))
+    heard = F.size(F.filter(chroma, lambda v: v >= present * F.array_max(chroma)))
+    found = F.struct(first["key"].alias("key"), (-first["r"]).alias("r"), (other["r"] - first["r"]).alias("margin"), F.when(pair, second["key"]).alias("relative"))
+    return F.when((heard >= least_classes) & (F.array_max(chroma) > 0) & (first["r"] < 0), found)
