@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreweave.functions import music
-from oreweave.operators import catalogue, fulltext, harmonic
-from oreweave.sources import sniff, walkers
+from oreweave.operators import analysis, catalogue, fulltext, harmonic, regions
+from oreweave.sources import defects, sniff, walkers
+from oreweave.sources.scratch import cut
 
 VERSION = 3
+#: Versions of a table that stay, for readers that have begun with an older one.
+KEPT = 3
 SCHEMAS = {
     "samples": "path string, library string, format string, key string, title string, category string, mtime double, size long, duration double, bpm double, acid_beats long, root_note long, sample_rate long, channels long, bits_per_sample long, chunks string, last_seen_at double",
     "tags": "path string, tag string",
@@ -54,6 +57,10 @@ class Engine:
 
     def _write(self, name: str, rows: DataFrame) -> None:
         rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.folder}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+        fs, top = self._fs(), self._path(f"{self.folder}/{name}")
+        done = sorted(s.getPath().toString() for s in fs.listStatus(top) if fs.exists(self._path(f"{s.getPath().toString()}/_SUCCESS")))
+        for old in done[:-KEPT]:
+            fs.delete(self._path(old), True)
 
     # -- searching
 
@@ -103,6 +110,37 @@ class Engine:
             f = f.join(fitting.select("path"), "path", "left_semi")
         return harmonic.similar(f.select(F.col("path").alias("id"), "vec"), path).orderBy(F.desc("similarity"), "id").limit(n)
 
+    # -- hearing
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        """path, format, content of named files."""
+        found = self.spark.read.format("binaryFile").load(paths)
+        return sniff.sniffed(found.select("path", "content")).withColumn("format", F.coalesce("format", F.nullif(sniff.extension(F.col("path")), F.lit(""))))
+
+    def analyze_sample(self, path: str) -> DataFrame:
+        """Key, tempo, bandwidth and features of one file, from its sound and its name."""
+        return analysis.analyzed(self._read([path]))
+
+    def detect_bpm_key(self, path: str) -> DataFrame:
+        return self.analyze_sample(path).select("path", "bpm", "key", "heard_bpm", "heard_key", "key_margin", "key_relative")
+
+    def locate_sound(self, path: str, mode: str = "normal") -> DataFrame:
+        """Where the sound is in a file of any kind."""
+        return regions.located(self._read([path]).select(F.col("path").alias("file"), F.col("content").alias("data")), mode)
+
+    def inspect(self, path: str) -> DataFrame:
+        return walkers.chunks(self._read([path]))
+
+    def defects(self, path: str) -> DataFrame:
+        return defects.defects(self._read([path]))
+
+    def reindex_features(self, most: int = 10_000) -> int:
+        """Hear up to `most` samples whose vectors are missing or of an old version (a batch's size: call again for the rest)."""
+        paths = [r["path"] for r in self.stale_features().orderBy("path").limit(most).collect()]
+        if paths:
+            self.set_features(analysis.heard(self._read(paths)).select("path", "vec"))
+        return len(paths)
+
     def stale_features(self) -> DataFrame:
         return catalogue.stale(self.table("samples"), self.table("features"), VERSION).select("path")
 
@@ -113,7 +151,8 @@ class Engine:
         began = time.time()
         files = sniff.identified(sniff.scan(self.spark, root, extensions)).withColumns({"mtime": F.unix_micros("modificationTime") / 1e6, "size": F.col("length")})
         old, mine = self.table("samples"), F.col("library") == label
-        actions = catalogue.actions(files.select("path", "mtime", "size"), old.where(mine)).withColumn("action", F.col("action"))
+        # One listing for all that follows: files may change meanwhile.
+        actions = cut(catalogue.actions(files.select("path", "mtime", "size"), old.where(mine)))
         counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
         fresh = files.join(actions.where(F.col("action").isin("added", "updated")).select("path"), "path", "left_semi")
         rows = self._described(fresh, label, began)

@@ -126,7 +126,7 @@ def band_verdict(signal: np.ndarray, rate: int) -> dict | None:
 
 
 def tempo(signal: np.ndarray, rate: int, low: float = 60.0, high: float = 200.0) -> float:
-    """Beats a minute by the autocorrelation of the onsets' strength; 0 without onsets."""
+    """Beats a minute by the autocorrelation of the onsets' strength; 0 without onsets that come back."""
     x = np.asarray(signal, dtype=float)
     step = max(1, rate // 100)
     if len(x) < 4 * rate // 2:
@@ -145,6 +145,9 @@ def tempo(signal: np.ndarray, rate: int, low: float = 60.0, high: float = 200.0)
     # A pulse at about two a second is preferred among multiples.
     weight = np.exp(-0.5 * (np.log2(60 * hz / lags / 120) / 1.0) ** 2)
     at = int(lags[np.argmax(r[lags] * weight)])
+    # Steady sound has no beat: its steps are small against its level, or do not come back.
+    if r[at] < 0.2 * r[0] or onset.max() < 0.05 * energy.max():
+        return 0.0
     a, b, c = (r[at - 1], r[at], r[at + 1]) if 0 < at < len(r) - 1 else (0.0, 1.0, 0.0)
     shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c else 0.0
     return float(60 * hz / (at + float(np.clip(shift, -0.5, 0.5))))

@@ -117,6 +117,18 @@ QUERIES["j20_key_profiles"] = j20_key_profiles
 ORACLE_SQL["j20_key_profiles"] = f"WITH {_PROFILES} SELECT vec_id, (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[t + 1] || CASE m WHEN 1 THEN 'm' ELSE '' END AS key, round(r, 5) AS r FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, t, m) AS n FROM r) WHERE n = 1"
 
 
+_RANKED = "k AS (SELECT *, (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[t + 1] || CASE m WHEN 1 THEN 'm' ELSE '' END AS key, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, t, m) AS n FROM r)"
+
+
+@query("SELECT a.vec_id, a.key, round(a.r - (SELECT max(o.r) FROM r o WHERE o.vec_id = a.vec_id AND o.t <> a.t), 5) AS margin, CASE WHEN z.m <> a.m AND (CASE a.m WHEN 1 THEN (a.t + 3) % 12 = z.t ELSE (z.t + 3) % 12 = a.t END) THEN z.key END AS relative FROM k a JOIN k z USING (vec_id) WHERE a.n = 1 AND z.n = 2", _PROFILES, _RANKED)
+def f25_key_margins(spark, sf):
+    """The best key of each chroma, and how much better it is than any key of another root."""
+    e = b.table(spark, sf, "embeddings")
+    chroma = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 12), F.abs)
+    found = e.select("vec_id", signals.detailed_key(chroma).alias("k"))
+    return found.select("vec_id", "k.key", F.round("k.margin", 5).alias("margin"), "k.relative")
+
+
 @query("SELECT vec_id, (i // 16)::INT AS window, count(*) AS n, round(CASE WHEN avg(v & 1) > 0 AND avg(v & 1) < 1 THEN -(avg(v & 1) * log2(avg(v & 1)) + (1 - avg(v & 1)) * log2(1 - avg(v & 1))) ELSE 0 END, 6) AS entropy FROM (SELECT vec_id, i, floor(abs(v) * 10000)::BIGINT AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings)) GROUP BY vec_id, i // 16")
 def a18_lsb_entropy(spark, sf):
     rows = b.table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v")).withColumn("v", F.floor(F.abs("v") * 10000).cast("long"))

@@ -59,6 +59,33 @@ def test_catalogue_of_a_folder(spark, tmp_path):
     assert engine.search_samples().count() == 0 and engine.list_libraries().count() == 0
 
 
+def test_hearing_files(spark, tmp_path):
+    import numpy as np
+
+    from oreweave.sources import extract
+
+    music = tmp_path / "music"
+    music.mkdir()
+    t = np.arange(44_100) / 22_050
+    chord = sum(np.sin(2 * np.pi * f * t) for f in (1046.5, 1318.5, 1568.0)) / 3
+    (music / "chord_100bpm.wav").write_bytes(extract.wave_file((chord * 30_000).astype(int), 22_050) + b"more")
+    (music / "bass Am.wav").write_bytes(extract.wave_file((np.sin(2 * np.pi * 110 * t) * 30_000).astype(int), 22_050))
+    engine = Engine(spark, str(tmp_path / "catalogue"))
+    engine.reindex(str(music), "A")
+    paths = {r.path.rsplit("/", 1)[1]: r.path for r in engine.search_samples().collect()}
+    found = engine.detect_bpm_key(paths["chord_100bpm.wav"]).first()
+    assert (found.bpm == 100 or found.heard_bpm) and found.heard_key in (None, "C") and engine.detect_bpm_key(paths["bass Am.wav"]).first().key == "Am"
+    assert engine.analyze_sample(paths["bass Am.wav"]).first().duration == 2.0
+    assert {r.rule for r in engine.defects(paths["chord_100bpm.wav"]).collect()} >= {"trailing_data"}
+    assert [r.id for r in engine.inspect(paths["bass Am.wav"]).orderBy("seq").collect()] == ["RIFF", "fmt ", "data"]
+    assert engine.locate_sound(paths["bass Am.wav"]).first().format == "wav"
+    assert engine.stale_features().count() == 2 and engine.reindex_features() == 2 and engine.stale_features().count() == 0 and engine.reindex_features() == 0
+    assert engine.find_similar(paths["bass Am.wav"], 1).first().id == paths["chord_100bpm.wav"]
+    for i in range(5):
+        engine.tag_sample(paths["bass Am.wav"], add=[f"t{i}"])
+    assert len(list((tmp_path / "catalogue/tags").iterdir())) == 3 and engine.get_sample(paths["bass Am.wav"]).first().tags == [f"t{i}" for i in range(5)]
+
+
 def test_stems():
     pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "triplicate": "triplic", "hopeful": "hope", "revival": "reviv", "adoption": "adopt", "probate": "probat", "controlling": "control", "sky": "sky"}
     assert {w: stemming.stem(w) for w in pairs} == pairs
