@@ -15,7 +15,7 @@ from oreweave.plans import formats
 from oreweave.plans.formats import _le as le
 from oreweave.plans.sequences import BYTES
 from oreweave.plans.sequences import files as texts
-from oreweave.sources import defects, edit, extract, sniff, walkers
+from oreweave.sources import defects, edit, extract, sniff, tags, walkers
 from oreweave.sources.package import ship
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -222,3 +222,27 @@ def x20_media_durations(spark, sf):
         return {"stated": [seconds[0]], "measured": [seconds[1]], "wrong": [abs(seconds[0] - seconds[1]) > 0.5]} if seconds else {"stated": [], "measured": [], "wrong": []}
 
     return bs.per_file(media_files(spark, sf), "stated double, measured double, wrong boolean", found)
+
+
+@query("SELECT c_custkey::VARCHAR AS path, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS genre, CASE WHEN c_custkey % 3 = 0 THEN (60 + c_custkey % 100)::VARCHAR END AS bpm FROM customer")
+def s15_tag_records(spark, sf):
+    """ID3 tags of one to three frames."""
+    ship(spark)
+    k = F.col("c_custkey")
+    big = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    frame = lambda name, value: F.concat(text(name), big(F.octet_length(value) + 1), F.lit("000000"), F.hex(value.cast("binary")))
+    body = F.concat(frame("TIT2", F.col("c_name")), F.when(k % 2 == 0, frame("TCON", F.col("c_mktsegment"))).otherwise(""), F.when(k % 3 == 0, frame("TBPM", (60 + k % 100).cast("string"))).otherwise(""))
+    size = F.length(body) / 2
+    safe = F.concat(*(F.lpad(F.hex(F.shiftright(size.cast("int"), 7 * (3 - i)).bitwiseAND(F.lit(127))), 2, "0") for i in range(4)))
+    files = b.table(spark, sf, "customer").select(k.cast("string").alias("path"), F.lit("mp3").alias("format"), F.unhex(F.concat(text("ID3\3\0\0"), safe, body)).alias("content"))
+    return tags.records(files).select("path", "title", "genre", "bpm")
+
+
+@query("SELECT c_custkey::VARCHAR AS path, 'Vital' AS device, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS category FROM customer")
+def s16_preset_records(spark, sf):
+    """Presets as JSON, of each third with something behind the object."""
+    ship(spark)
+    k = F.col("c_custkey")
+    value = F.to_json(F.struct(F.col("c_name").alias("preset_name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("preset_style"), F.struct(F.lit(1).alias("x")).alias("settings")))
+    files = b.table(spark, sf, "customer").select(k.cast("string").alias("path"), F.lit("vital").alias("format"), F.concat(value, F.when(k % 3 == 0, "}more").otherwise("")).cast("binary").alias("content"))
+    return tags.records(files).select("path", "device", "title", "category")
