@@ -1,8 +1,8 @@
 """WARC archives with revisit resolution: equal payloads are stored once and referred to from then on.
 
-Headers (id, url, digest, length) are shuffled by payload digest, apart from the payloads; the record with the
-largest id of each digest is the response that the others revisit. A digest shared by a third of all pages is
-met in many tasks (shares of a digest are salted). Each record is a gzip member of its own, as the format asks
+Headers (id, url, digest, length) are shuffled by payload digest; the record with the largest id of each digest is the
+response that the others revisit. What is found goes back to the records in a join, for which payloads are moved once. A
+digest shared by a third of all pages is met in many tasks (shares of a digest are salted). Each record is a gzip member of its own, as the format asks
 for. Members are written by Spark's own text writer, so the archives get the commit protocol, any Hadoop file
 system and retries after lost executors; what the writer puts between records is an empty gzip member whose
 comment is a random mark drawn after the payloads exist. Readers of gzip skip it; Spark's reader splits large
