@@ -54,7 +54,7 @@ def without_bom(text: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KiB"))).otherwise(F.concat(F.format_string("%.1f", n / (1 << 20)), F.lit(" MiB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", F.bround(n / 1024, 1)), F.lit(" KiB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / (1 << 20), 1)), F.lit(" MiB")))
 
 
 def decoded(data: Column) -> Column:

@@ -144,6 +144,38 @@ def autocorrelations(files: DataFrame, size: int, step: int, lags: tuple[int, ..
     return per_file(files, "window int, " + ", ".join(f"r{k} double" for k in lags), found)
 
 
+def carved(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """file, start, end, data of ranges (file, start, end) of the files; what lies past the end is not there.
+
+    A file's ranges are gathered to one row, so its bytes are moved once however many ranges it has.
+    """
+    wanted = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("ranges"))
+    joined = files.join(wanted, "file")
+    # The places travel as bytes beside the data.
+    places = lambda c: F.unhex(F.array_join(F.transform(F.col(f"ranges.{c}"), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+    def found(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
+        a, b = (np.frombuffer(x.tobytes(), dtype=">i8") for x in (start, end))
+        raw = data.tobytes()
+        return {"start": a.tolist(), "end": np.minimum(b, len(raw)).tolist(), "data": [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]}
+
+    return per_file(joined.select("file", "data", places("start").alias("starts"), places("end").alias("ends")), "start long, end long, data binary", found, "starts", "ends")
+
+
+def spelt(data: Column, how: str) -> Column:
+    """Bytes as text: hex, b64, a C initialiser (c) or a Python literal (py)."""
+    digits = F.lower(F.hex(data))
+    if how == "hex":
+        return digits
+    if how == "b64":
+        return F.regexp_replace(F.base64(data), "\\s", "")
+    if how == "c":
+        return F.concat(F.lit("{ "), F.regexp_replace(F.regexp_replace(digits, "(..)", "0x$1, "), ", $", ""), F.lit(" }"))
+    if how == "py":
+        return F.concat(F.lit('b"'), F.regexp_replace(digits, "(..)", "\\\\x$1"), F.lit('"'))
+    raise ValueError(f"no such spelling: {how}")
+
+
 #: The class of each byte: printable text with tab and line ends, other controls, zero, 255, the rest.
 CLASSES = ("null", "ctrl", "ascii", "high", "ff")
 
@@ -228,6 +260,13 @@ def counted(files: DataFrame, pattern: bytes, most: int) -> DataFrame:
     return per_file(files, "pos int, total long", found)
 
 
+def gathered(files: DataFrame, at: DataFrame, count: int, size: int = 4) -> DataFrame:
+    """file, pos, fields: `count` little-endian numbers of `size` bytes from each place (file, pos) that has so many."""
+    ranges = at.select("file", F.col("pos").alias("start"), (F.col("pos") + count * size).alias("end"))
+    rows = carved(files, ranges).where(F.col("end") - F.col("start") == count * size)
+    return rows.select("file", F.col("start").cast("int").alias("pos"), F.array(*(unsigned(F.col("data"), F.lit(size * i), size) for i in range(count))).alias("fields"))
+
+
 def versions(a: DataFrame, b: DataFrame) -> DataFrame:
     """file, data, other: files that are in both."""
     return a.join(b.select(F.col("file"), F.col("data").alias("other")), "file")

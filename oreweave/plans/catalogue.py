@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oreweave.functions import music
+from oreweave.functions import music, text
 from oreweave.operators import catalogue as c
 from oreweave.operators import harmonic
 from oreweave.plans import bindings as b
@@ -335,9 +335,9 @@ def f28_vetted_beats(spark, sf):
     return s.select("path", music.vetted_beats(F.col("acid_beats"), F.col("id") % 2 == 1, F.col("bpm"), F.col("duration")).alias("beats"))
 
 
-@query("SELECT path, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][id % 128 % 12 + 1] || (id % 128 // 12 - 2) AS note FROM samples", b.SAMPLES)
+@query("SELECT path, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][id % 128 % 12 + 1] || (id % 128 // 12 - 2) AS note, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024) || ' KiB' ELSE printf('%.1f', n / 1048576) || ' MiB' END AS size FROM (SELECT *, size * (id % 1000) AS n FROM samples)", b.SAMPLES)
 def f18_note_names(spark, sf):
-    return b.samples(spark, sf).select("path", music.note_name(F.col("id") % 128).alias("note"))
+    return b.samples(spark, sf).select("path", music.note_name(F.col("id") % 128).alias("note"), text.human_size(F.col("size") * (F.col("id") % 1000)).alias("size"))
 
 
 @query("SELECT path, CASE WHEN bpm IS NULL OR d < 60 OR d > 200 THEN bpm WHEN abs(d - bpm) <= 20 THEN round(d, 6) WHEN abs(d * 2 - bpm) <= 20 THEN round(d * 2, 6) WHEN abs(d * 0.5 - bpm) <= 20 THEN round(d * 0.5, 6) WHEN abs(d * 1.5 - bpm) <= 20 THEN round(d * 1.5, 6) WHEN abs(d / 1.5 - bpm) <= 20 THEN round(d / 1.5, 6) ELSE d END AS tempo FROM (SELECT path, (size % 260)::DOUBLE AS d, bpm FROM samples) WHERE bpm IS NOT NULL", b.SAMPLES)

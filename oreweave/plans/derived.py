@@ -11,6 +11,7 @@ from oreweave.operators import catalogue as c
 from oreweave.operators import islands as isl
 from oreweave.operators import signals
 from oreweave.plans import bindings as b
+from oreweave.plans.sequences import BYTES, files
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -103,13 +104,19 @@ def f23_spellings(spark, sf):
 
 
 _PROFILES = f"""prof AS (SELECT 0 AS m, unnest({signals.MAJOR}) AS w, unnest(range(12)) AS j UNION ALL SELECT 1, unnest({signals.MINOR}), unnest(range(12))),
-    chroma AS (SELECT vec_id, unnest(embedding[1:12])::DOUBLE AS x, unnest(range(12)) AS i FROM embeddings),
+    chroma AS (SELECT vec_id, i % 12 AS i, sum(abs(x)) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY vec_id, i % 12),
     r AS (SELECT vec_id, t, m, round(coalesce(corr(abs(x), w), 0), 9) AS r FROM chroma, (SELECT unnest(range(12)) AS t) JOIN prof ON true WHERE j = (i - t + 12) % 12 GROUP BY ALL)"""
 
 
+def _chroma():
+    """Twelve sums of all numbers' sizes, by their places modulo twelve."""
+    v = F.col("embedding").cast("array<double>")
+    each = lambda i: F.aggregate(F.filter(v, lambda _, k: k % 12 == i), F.lit(0.0), lambda t, x: t + F.abs(x))
+    return F.array(*(each(i) for i in range(12)))
+
+
 def j20_key_profiles(spark, sf):
-    e = b.table(spark, sf, "embeddings")
-    chroma = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 12), F.abs)
+    e, chroma = b.table(spark, sf, "embeddings"), _chroma()
     return e.select("vec_id", signals.best_key(chroma).alias("k")).select("vec_id", F.col("k.key").alias("key"), F.round("k.r", 5).alias("r"))
 
 
@@ -123,9 +130,7 @@ _RANKED = "k AS (SELECT *, (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B
 @query("SELECT a.vec_id, a.key, round(a.r - (SELECT max(o.r) FROM r o WHERE o.vec_id = a.vec_id AND o.t <> a.t), 5) AS margin, CASE WHEN z.m <> a.m AND (CASE a.m WHEN 1 THEN (a.t + 3) % 12 = z.t ELSE (z.t + 3) % 12 = a.t END) THEN z.key END AS relative FROM k a JOIN k z USING (vec_id) WHERE a.n = 1 AND z.n = 2", _PROFILES, _RANKED)
 def f25_key_margins(spark, sf):
     """The best key of each chroma, and how much better it is than any key of another root."""
-    e = b.table(spark, sf, "embeddings")
-    chroma = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 12), F.abs)
-    found = e.select("vec_id", signals.detailed_key(chroma).alias("k"))
+    found = b.table(spark, sf, "embeddings").select("vec_id", _chroma().alias("c")).select("vec_id", signals.detailed_key(F.col("c")).alias("k"))
     return found.select("vec_id", "k.key", F.round("k.margin", 5).alias("margin"), "k.relative")
 
 
@@ -252,10 +257,10 @@ def p18_addresses(spark, sf):
     return b.chunks(spark, sf).groupBy("file").agg((F.min("offset") + 4).alias("at_first"), (F.max(F.col("offset") + F.col("size")) - 3).alias("at_end"))
 
 
-@query("SELECT item_id, i::INT AS i, ('0x' || substr(h, (8 * i + 7)::INT, 2) || substr(h, (8 * i + 5)::INT, 2) || substr(h, (8 * i + 3)::INT, 2) || substr(h, (8 * i + 1)::INT, 2))::BIGINT AS v FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark), (SELECT unnest(range(4)) AS i)")
+@query("SELECT file, pos::INT AS pos, ('0x' || substr(h, (2 * pos + 7)::INT, 2) || substr(h, (2 * pos + 5)::INT, 2) || substr(h, (2 * pos + 3)::INT, 2) || substr(h, (2 * pos + 1)::INT, 2))::BIGINT AS a, ('0x' || substr(h, (2 * pos + 15)::INT, 2) || substr(h, (2 * pos + 13)::INT, 2) || substr(h, (2 * pos + 11)::INT, 2) || substr(h, (2 * pos + 9)::INT, 2))::BIGINT AS b FROM byte JOIN (SELECT file, h FROM files) USING (file) WHERE byte = 97 AND pos + 8 <= n", BYTES)
 def p20_fields_at(spark, sf):
-    d = F.col("text").cast("binary")
-    return b.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.array(*(bs.unsigned(d, F.lit(4 * i), 4) for i in range(4)))).alias("i", "v"))
+    """Two little-endian numbers from every place where an `a` is: a table of columns out of rows of bytes."""
+    return bs.gathered(files(spark, sf), bs.find(files(spark, sf), b"a"), 2).select("file", "pos", F.get("fields", 0).alias("a"), F.get("fields", 1).alias("b"))
 
 
 @query(" SELECT file FROM chunks WHERE id = 'NO' INTERSECT SELECT file FROM chunks WHERE id = 'RF'", b.CHUNKS)

@@ -58,7 +58,10 @@ def x16_classify(spark, sf):
 
 
 def f42_pcm_decode(spark, sf):
-    f = files(spark, sf).withColumn("pcm", codecs.udf(codecs.pcm)(F.expr("substring(content, octet_length(content) - 127, 128)")))
+    """The samples of the chunk that the walker finds."""
+    f = files(spark, sf).withColumn("format", F.lit("wav"))
+    found = walkers.chunks(f).where("id = 'data'").select("path", "offset", "size")
+    f = f.join(found, "path").withColumn("pcm", codecs.udf(codecs.pcm)(F.expr("substring(content, cast(offset as int) + 9, cast(size as int))")))
     return f.select("vec_id", F.posexplode("pcm").alias("i", "v")).select("vec_id", "i", F.round(F.col("v") * 32768).cast("int").alias("sample"))
 
 

@@ -50,10 +50,13 @@ def a06_census_top(spark, sf):
     return counts.orderBy(F.desc("n"), "id").limit(3).join(F.broadcast(total)).withColumns({"rare": F.col("n") <= 5, "truncated": F.col("distinct_ids") > 3})
 
 
-@query("SELECT label, round(coalesce(corr(a, b), 0), 6) AS r FROM (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) GROUP BY label")
+@query("SELECT label, i::INT AS i, round(coalesce(corr(a, b), 0), 6) AS r FROM (SELECT label, unnest(range(63)) AS i, unnest(embedding[1:63])::DOUBLE AS a, unnest(embedding[2:64])::DOUBLE AS b FROM embeddings) GROUP BY label, i")
 def a14_correlation(spark, sf):
-    e = b.table(spark, sf, "embeddings").select("label", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
-    return e.groupBy("label").agg(F.round(F.coalesce(F.corr("a", "b"), F.lit(0.0)), 6).alias("r"))
+    """Of each number of the vectors with the next one."""
+    v = F.col("embedding").cast("array<double>")
+    pairs = F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("a"), F.slice(v, F.lit(2), F.size(v) - 1).alias("b"))
+    e = b.table(spark, sf, "embeddings").select("label", F.posexplode(pairs).alias("i", "p"))
+    return e.groupBy("label", "i").agg(F.round(F.coalesce(F.corr("p.a", "p.b"), F.lit(0.0)), 6).alias("r"))
 
 
 @query("SELECT file, round(min(h), 5) AS low, round(max(h), 5) AS high, round(avg(h), 5) AS mean, count(*) FILTER (h >= 4) AS dense FROM (SELECT file, slice, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT file, ((pos + 1) * 8 - 1) // n AS slice, byte, count(*) AS n FROM byte GROUP BY ALL) GROUP BY file, slice) GROUP BY file", BYTES)
@@ -216,17 +219,21 @@ def x23_detected(spark, sf):
     return _keyed(spark, sf).select("p_partkey", music.bpm_from_name(F.col("name")).alias("bpm"), music.fused_key(F.col("detected"), music.key_from_path(F.col("name"))).alias("key"))
 
 
-@query("SELECT file, 0 AS part, substr(h, 9, 32) AS digits FROM files UNION ALL SELECT file, 1, substr(h, 41, 20) FROM files", BYTES)
+@query("SELECT file, i::INT AS part, substr(h, (128 * i + 1)::INT, 128) AS digits FROM files, (SELECT unnest(range((SELECT max(n) FROM files) // 64 + 1)) AS i) WHERE 64 * i < n", BYTES)
 def k13_carve(spark, sf):
-    """Ranges cut out of each file: [4, 20) and [20, 30)."""
-    spans = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.lit(at).alias("at"), F.lit(n).alias("n")) for i, (at, n) in enumerate(((4, 16), (20, 10)))))).alias("s")
-    return files(spark, sf).select("file", "data", spans).select("file", "s.part", F.hex(F.expr("substring(data, s.at + 1, s.n)")).alias("digits"))
+    """Each file in ranges of 64 bytes, the last one shorter: a table of ranges, carved in one pass."""
+    f = files(spark, sf)
+    ranges = f.select("file", F.explode(F.when(F.octet_length("data") > 0, F.sequence(F.lit(0), F.octet_length("data") - 1, F.lit(64)))).alias("start")).select("file", "start", (F.col("start") + 64).alias("end"))
+    return bs.carved(f, ranges).select("file", F.floor(F.col("start") / 64).cast("int").alias("part"), F.hex("data").alias("digits"))
+
+
+_SPELT = "b AS (SELECT file, any_value(h) AS h, string_agg(printf('0x%02x', byte), ', ' ORDER BY pos) AS c, string_agg(printf('\\x%02x', byte), '' ORDER BY pos) AS py, sum(byte * (pos + 1))::BIGINT AS checked FROM byte JOIN files USING (file) GROUP BY file)"
 
 
-@query("SELECT item_id, to_base64(encode(text)) AS b64, hex(encode(text)) AS hex FROM benchmark")
+@query("SELECT file, to_base64(from_hex(h)) AS b64, lower(h) AS hex, '{ ' || c || ' }' AS c, 'b\"' || py || '\"' AS py, ('0x' || substr(h, 1, 2))::BIGINT AS value, (length(h) // 2)::INT AS raw FROM b", BYTES, _SPELT)
 def k14_encodings(spark, sf):
-    d = F.col("text").cast("binary")
-    return b.table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.base64(d), "\\s", "").alias("b64"), F.hex(d).alias("hex"))
+    d = F.col("data")
+    return files(spark, sf).select("file", *(bs.spelt(d, how).alias(how) for how in ("b64", "hex", "c", "py")), bs.unsigned(d, F.lit(0), 1).alias("value"), F.octet_length("data").alias("raw"))
 
 
 @query("SELECT file, substr(h, (n - 8)::INT * 2 + 1, 16) AS tail FROM files WHERE n >= 8", BYTES)
@@ -242,8 +249,10 @@ def x05_resolved_reference(spark, sf):
     return refs.join(current, "path", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
 
 
-@query("SELECT label, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS sd FROM (SELECT label, list_avg(embedding::DOUBLE[]) AS m FROM embeddings) GROUP BY label")
+@query("SELECT label, i::INT AS i, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i")
 def a13_feature_summary(spark, sf):
-    v = F.col("embedding").cast("array<double>")
-    mean = F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / F.size(v)
-    return b.table(spark, sf, "embeddings").select("label", mean.alias("m")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("sd"))
+    """Mean and deviation of every feature."""
+    e = b.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    return e.groupBy("label", "i").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"))
+
+
