@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oreweave.functions import fields
 from oreweave.operators import bytestrings as bs
-from oreweave.operators import regions
+from oreweave.operators import contents, regions
 from oreweave.plans import bindings as b
 from oreweave.plans import formats
 from oreweave.plans.formats import _le as le
@@ -246,3 +246,27 @@ def s16_preset_records(spark, sf):
     value = F.to_json(F.struct(F.col("c_name").alias("preset_name"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("preset_style"), F.struct(F.lit(1).alias("x")).alias("settings")))
     files = b.table(spark, sf, "customer").select(k.cast("string").alias("path"), F.lit("vital").alias("format"), F.concat(value, F.when(k % 3 == 0, "}more").otherwise("")).cast("binary").alias("content"))
     return tags.records(files).select("path", "device", "title", "category")
+
+
+_TOC = "e AS (SELECT c_custkey AS file, 4 + c_custkey % 5 AS n, 20 + c_custkey % 11 AS z, unnest(range(4 + c_custkey % 5)) AS i FROM customer)"
+
+
+@query("SELECT file, 16::BIGINT AS \"table\", 'snd' || i || '.wav' AS name, 16 + 32 * n + i * z AS \"offset\", z AS size, true AS known FROM e", _TOC)
+def x15_contents(spark, sf):
+    """Archives of four to eight sounds: a magic, records of a name, an offset and a size, then the sounds."""
+    ship(spark)
+    k = F.col("c_custkey")
+    n, z = (4 + k % 5).cast("int"), (20 + k % 11).cast("int")
+    index = F.sequence(F.lit(0), n - 1)
+    record = lambda i: F.concat(F.hex(F.concat(F.lit("snd"), i.cast("string"), F.lit(".wav")).cast("binary")), zeros(F.lit(12)), le(16 + 32 * n + i * z, 4), le(z, 4), zeros(F.lit(4)))
+    data = F.concat(text("ARCHIVE."), zeros(F.lit(8)), F.array_join(F.transform(index, record), ""), F.repeat(F.concat(text("RIFF"), zeros(z - 4)), n))
+    files = b.table(spark, sf, "customer").select(k.alias("file"), F.unhex(data).alias("data"))
+    return contents.discovered(files).drop("confidence")
+
+
+@query("""SELECT file, kind, format, min(s) AS "offset", max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN edge > 0 AND abs(s - edge) <= 6 AND abs(p - edge) <= 6 AND s - p <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY file, kind, format ORDER BY s, e) AS g
+    FROM (SELECT *, round(s / 32.0) * 32 AS edge, lag(e) OVER (PARTITION BY file, kind, format ORDER BY s, e) AS p FROM (SELECT file, 'blob' AS kind, id AS format, offset_ AS s, offset_ + size AS e FROM chunks))) GROUP BY file, kind, format, g""", b.CHUNKS)
+def t05_stitched_segments(spark, sf):
+    """Regions of files that were read in segments of 32 bytes."""
+    rows = b.chunks(spark, sf).select("file", F.lit("blob").alias("kind"), F.col("id").alias("format"), F.col("offset"), (F.col("offset") + F.col("size")).alias("end"))
+    return regions.stitched(rows, 32, 6)
