@@ -90,7 +90,8 @@ def discover(data: bytes) -> list[dict]:
         names |= {p + k: names[p][k:] for k in (1, 2, 3) if len(names[p]) > k + 4 and names[p][k : k + 1].isalnum()}
     tables: list[tuple[float, int, int, list[dict]]] = []
     for stride, chain in strides(first, names.keys()):
-        # Records begin at their name or up to 16 bytes before it.
+        # Records begin at their name or up to 16 bytes before it: where payloads fit their names and the space best.
+        ways = []
         for lead in (0, 4, 8, 12, 16):
             starts = np.array([p - lead for p in chain])
             if starts[0] < 0:
@@ -110,9 +111,10 @@ def discover(data: bytes) -> list[dict]:
             for p, a, n in zip(chain, at.tolist(), sizes.tolist(), strict=False):
                 magic = MAGIC.get(names[p].rpartition(b".")[2].lower())
                 rows.append({"name": names[p].decode("latin-1"), "offset": a, "size": n, "known": bool(magic) and data[a : a + 8].startswith(magic)})
-            sure = confidence(len(rows), min(1.0, fill), sum(r["known"] for r in rows) / len(rows))
-            tables.append((sure, *span, rows))
-            break
+            shared = sum(r["known"] for r in rows) / len(rows)
+            ways.append((shared, round(fill, 6), len(rows), -lead, (confidence(len(rows), min(1.0, fill), shared), *span, rows)))
+        if ways:
+            tables.append(max(ways, key=lambda w: w[:4])[4])
     out, kept = [], []
     for sure, a, b, rows in sorted(tables, key=lambda t: (-t[0], t[1], t[2])):
         if len(kept) < MOST and not any(a < y and x < b for x, y in kept):
