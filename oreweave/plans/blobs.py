@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oreweave.functions import fields
+from oreweave.functions import fields, grammar
 from oreweave.operators import bytestrings as bs
-from oreweave.operators import contents, regions
+from oreweave.operators import census, contents, regions
 from oreweave.plans import bindings as b
 from oreweave.plans import formats
 from oreweave.plans.formats import _le as le
@@ -270,3 +270,22 @@ def t05_stitched_segments(spark, sf):
     """Regions of files that were read in segments of 32 bytes."""
     rows = b.chunks(spark, sf).select("file", F.lit("blob").alias("kind"), F.col("id").alias("format"), F.col("offset"), (F.col("offset") + F.col("size")).alias("end"))
     return regions.stitched(rows, 32, 6)
+
+
+@query("""SELECT kind, value, n, n AS files, '/odd/' || f AS first FROM (SELECT kind, value, count(*) AS n, min(vec_id::VARCHAR) AS f FROM embeddings JOIN (VALUES
+    ('container', 'RIFF/WAVE', -1), ('chunk', 'fmt ', -1), ('chunk', 'data', -1), ('fmt.format_tag', '1', -1), ('fmt.channels', '1', -1), ('fmt.bits_per_sample', '16', -1), ('chunk', 'note', 2), ('chunk', 'JUNK', 4), ('chunk', 'LIST', 5), ('chunk', 'INFO/INAM', 5), ('LIST.form', 'INFO', 5),
+    ('chunk', 'tail', 1), ('chunk', 'tail', 6), ('chunk', 'hex:504b0506', 6), ('chunk', 'hex:00000000', 6), ('chunk', 'APET', 7), ('flag', 'wrong size', 1), ('flag', 'wrong size', 6), ('flag', 'wrong size', 7), ('flag', 'left over', 1), ('flag', 'left over', 6), ('flag', 'pad', 2), ('flag', 'overrun', 7)) AS v(kind, value, k) ON k IN (-1, vec_id % 8) GROUP BY kind, value)""")
+def a05_byte_census(spark, sf):
+    """The census of the odd files, without the facts that one file has more than once."""
+    found = census.facts(walkers.chunks(odd_files(spark, sf)))
+    return census.census(found).where("n = files")
+
+
+@query("SELECT vec_id, 1::BIGINT AS format_tag, 8000 + vec_id * 10 AS sample_rate, 16::BIGINT AS bits_per_sample, 44100::BIGINT AS flac_rate, 2::BIGINT AS flac_channels, 24::BIGINT AS flac_bits, 1000 + vec_id AS flac_samples FROM embeddings")
+def s18_grammar(spark, sf):
+    """Headers by descriptors, without a walker: of WAVE files, and of FLAC files whose numbers are packed in bits."""
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    packed = F.lit(44100).cast("long") * (1 << 44) + F.lit((1 << 41) + (23 << 36)) + 1000 + F.col("vec_id")
+    flac = F.unhex(F.concat(text("fLaC"), big(F.lit(34), 4), zeros(F.lit(10)), big(packed, 8), zeros(F.lit(16))))
+    rows = formats.files(spark, sf).select("vec_id", grammar.interpret(F.col("content"), grammar.GRAMMARS["wav"]).alias("w"), grammar.interpret(flac, grammar.GRAMMARS["flac"]).alias("f"))
+    return rows.select("vec_id", "w.format_tag", "w.sample_rate", "w.bits_per_sample", F.col("f.sample_rate").alias("flac_rate"), F.col("f.channels").alias("flac_channels"), F.col("f.bits_per_sample").alias("flac_bits"), F.col("f.samples").alias("flac_samples"))

@@ -103,6 +103,8 @@ def walk_riff(data: bytes) -> Iterator[dict]:
     warnings = [] if declared in (len(data) - 8, 0xFFFFFFFF) else [f"the header declares {declared} bytes, the file has {len(data) - 8}"]
     yield chunk(ident(data[:4]), 0, declared, ident(data[8:12]), [{"name": "form", "value": ident(data[8:12]), "off": 0, "len": 4}], warnings)
     for c in sized(data, 12, order, RIFF_LAYOUTS, sizes=sizes):
+        if c["id"] == "LIST" and c["size"] >= 4:
+            c["fields"].append({"name": "form", "value": ident(data[c["offset"] + 8 : c["offset"] + 12]), "off": 0, "len": 4})
         yield c
         if c["id"] == "LIST" and c["size"] >= 4 and data[c["offset"] + 8 : c["offset"] + 12] == b"INFO":
             for x in sized(data, c["offset"] + 12, order, {}, c["offset"] + 8 + c["size"]):
