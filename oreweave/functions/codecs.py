@@ -189,6 +189,46 @@ def delta(data: bytes, bits: int = 8) -> np.ndarray:
     return ((np.cumsum(steps) + half) % (2 * half) - half) / float(half)
 
 
+def packed_deltas(data: bytes, count: int, wide: bool = False, twice: bool = False) -> tuple[np.ndarray, int]:
+    """Packed tracker samples: blocks of differences in numbers of changing width, and the place after them.
+
+    A block begins with its length and holds 32 KB of samples. Narrow numbers change the width by their smallest value and
+    three (or four) bits more, middle ones by values around the largest, full ones by their top bit. twice: differences of
+    differences. A stream that ends early gives what it has.
+    """
+    bits, low = (17, 4) if wide else (9, 3)
+    size, full, at, out = (0x4000 if wide else 0x8000), 1 << bits - 1, 0, []
+    wrap = lambda x: (x + full // 2) % full - full // 2
+    while len(out) < count and at + 2 <= len(data):
+        length = int.from_bytes(data[at : at + 2], "little")
+        block, at = data[at + 2 : at + 2 + length], at + 2 + length
+        stream, left, width, one, two, made = int.from_bytes(block, "little"), 8 * len(block), bits, 0, 0, 0
+        place = 0
+        while made < size and len(out) < count and width <= left - place:
+            value, place = stream >> place & (1 << width) - 1, place + width
+            if width < 7:
+                if value == 1 << width - 1:
+                    value, place = (stream >> place & (1 << low) - 1) + 1, place + low
+                    width = value if value < width else value + 1
+                    continue
+            elif width < bits:
+                border = (full - 1 >> bits - width) - (1 << low - 1)
+                if border < value <= border + (1 << low):
+                    value -= border
+                    width = value if value < width else value + 1
+                    continue
+            elif value & full:
+                width = value + 1 & 0xFF
+                if not 0 < width <= bits:
+                    return np.array(out, dtype=np.int64), at
+                continue
+            one = wrap(one + (value - (1 << width) if width < bits and value >= 1 << width - 1 else value))
+            two = wrap(two + one)
+            out.append(two if twice else one)
+            made += 1
+    return np.array(out, dtype=np.int64), at
+
+
 @functools.cache
 def crc_table(polynomial: int, bits: int) -> list[int]:
     """What each byte does to a cyclic checksum that is empty."""

@@ -103,11 +103,15 @@ def s3m_samples(data: bytes) -> Iterator[Sample]:
 
 @register("it")
 def it_samples(data: bytes) -> Iterator[Sample]:
-    """Packed samples have no bytes of a known length and are left out, with a note."""
+    """Plain and packed ones; of packed stereo the first channel."""
     for c, known, raw, note in _named(data, "it"):
-        wide = known["bits_per_sample"] == "16"
-        packed = known["packed"] == "True"
-        yield Sample(known["name"] or c["id"], int(known["sample_rate"]), signed(b"" if packed else raw, wide), bits=16 if wide else 8, note="packed, not decoded" if packed else note)
+        wide, count = known["bits_per_sample"] == "16", int(known["samples"])
+        if known["packed"] == "True":
+            x, _ = codecs.packed_deltas(data[c["offset"] :], count, wide, bool(int(known["coding"]) & 4))
+            note = note if len(x) == count else "cut off"
+        else:
+            x = signed(raw, wide)
+        yield Sample(known["name"] or c["id"], int(known["sample_rate"]), x, bits=16 if wide else 8, note=note)
 
 
 @register("gf1pat")

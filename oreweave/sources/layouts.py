@@ -247,7 +247,7 @@ def walk_it(data: bytes) -> Iterator[dict]:
                 (n,), (rate,), (start,) = (struct.unpack_from("<I", data, at + k) for k in (48, 60, 72))
                 size = n * (2 if flags & 2 else 1) * (2 if flags & 4 else 1)
                 packed = bool(flags & 8)
-                yield chunk(f"sample{i + 1}", start, 0 if packed else size, name, [_field("name", name), _field("samples", n), _field("sample_rate", rate), _field("bits_per_sample", 16 if flags & 2 else 8), _field("packed", packed)], ["runs past the end"] if not packed and start + size > len(data) else [])
+                yield chunk(f"sample{i + 1}", start, 0 if packed else size, name, [_field("name", name), _field("samples", n), _field("sample_rate", rate), _field("bits_per_sample", 16 if flags & 2 else 8), _field("packed", packed), _field("coding", data[at + 46])], ["runs past the end"] if not packed and start + size > len(data) else [])
             elif kind == "pattern":
                 n, rows = struct.unpack_from("<HH", data, at)
                 yield chunk(f"pattern{i}", at, 8 + n, f"{rows} rows")

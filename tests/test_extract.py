@@ -122,6 +122,68 @@ def test_ms_adpcm_follows_its_definition():
     assert len(codecs.ms_adpcm_block(b"\0")) == 0 and codecs.delta(b"\x7f\x01\x01")[-1] == -127 / 128
 
 
+def packed(samples, wide, twice, r):
+    """An encoder that changes its width at random, wherever the next difference fits."""
+    bits, low = (17, 4) if wide else (9, 3)
+    full, out = 1 << bits - 1, b""
+    wrap = lambda x: (x + full // 2) % full - full // 2
+    size = 0x4000 if wide else 0x8000
+    for start in range(0, len(samples), size):
+        one = two = 0
+        width, stream, place = bits, 0, 0
+
+        def put(value, n):
+            nonlocal stream, place
+            stream, place = stream | value << place, place + n
+
+        for x in samples[start : start + size]:
+            step = wrap(x - (two if twice else one))
+            if twice:
+                step, two = wrap(step - one), x
+                one = wrap(one + step)
+            else:
+                one = x
+            while True:
+                fits = width == bits
+                if width < 7:
+                    fits = -(1 << width - 1) < step < 1 << width - 1
+                elif width < bits:
+                    border = (full - 1 >> bits - width) - (1 << low - 1)
+                    fits = -(1 << width - 1) <= step < 1 << width - 1 and not border < step % (1 << width) <= border + (1 << low)
+                if fits and r.random() < 0.9:
+                    break
+                new = bits if not fits else r.randrange(1, bits + 1)
+                if new == width:
+                    continue
+                if width == bits:
+                    put(full | new - 1, width)
+                else:
+                    code = new if new < width else new - 1
+                    if width < 7:
+                        put(1 << width - 1, width)
+                        put(code - 1, low)
+                    else:
+                        put(border + code, width)
+                width = new
+            put(step % full if width == bits else step % (1 << width), width)
+        raw = stream.to_bytes((place + 7) // 8, "little")
+        out += len(raw).to_bytes(2, "little") + raw
+    return out
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("twice", [False, True])
+def test_packed_tracker_samples(wide, twice):
+    r = random.Random(5)
+    top = 30_000 if wide else 120
+    samples = [int(top * math.sin(i / 9) * math.sin(i / 500)) + r.randrange(-3, 4) for i in range(3000)]
+    data = packed(samples, wide, twice, r)
+    got, end = codecs.packed_deltas(data, len(samples), wide, twice)
+    assert got.tolist() == samples and end == len(data)
+    assert len(codecs.packed_deltas(data[: len(data) // 2], len(samples), wide, twice)[0]) < len(samples)
+    assert len(codecs.packed_deltas(b"", 5)[0]) == 0
+
+
 def test_extracted_rows(spark):
     files = [("m.mod", "mod", mod()), ("b.sf2", "sf2", sf2()), ("x.bin", None, b"no"), ("bad.aiff", "aiff", b"FORM"), ("s.au", "au", b".snd" + struct.pack(">5I", 24, 2, 2, 8000, 1) + b"\1\2")]
     df = spark.createDataFrame([(p, k, bytearray(d)) for p, k, d in files], "path string, format string, content binary").repartition(2)
