@@ -269,10 +269,10 @@ def packed_samples(data: bytes) -> Iterator[Sample]:
                     yield Sample(info.filename, s.rate, s.pcm, s.channels, s.bits, s.note)
 
 
-@register("gcm")
+@register("gcm", "iso")
 def disc_samples(data: bytes) -> Iterator[Sample]:
     """Files of a disc that are sound of a known kind."""
-    for c in walkers.walk(data, "gcm"):
+    for c in walkers.walk(data, "iso" if data[32_769:32_774] == b"CD001" else "gcm"):
         name = c["summary"].rpartition("/")[2]
         kind = name.rpartition(".")[2].lower()
         if c["id"] == "file" and kind in ("wav", "aiff", "adx", "vag", "au"):

@@ -121,6 +121,8 @@ def deep(data: bytes, path: str, first: str | None) -> str | None:
         return (suffix if suffix in LIVE else "als") if b"<Ableton" in head else first
     if first is not None:
         return first
+    if data[32_769:32_774] == b"CD001":
+        return "iso"
     if len(data) >= 1084 and MODULES.fullmatch(data[1080:1084]):
         return "mod"
     if suffix == "cue" and re.search(rb"(?mi)^\s*FILE\s", data[:4096]):

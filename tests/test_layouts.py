@@ -119,6 +119,34 @@ def test_sheets_and_packed_files():
     assert fields(got[0]) == {"author": "é", "settings": "dict"} and got[1]["warnings"]
 
 
+def iso():
+    """A volume with a file, a folder with a file, and a folder that lists the first one again."""
+    def entry(name, where, size, folder=False):
+        n = 33 + len(name) + (len(name) + 1) % 2
+        return (bytes([n, 0]) + struct.pack("<I", where) + struct.pack(">I", where) + struct.pack("<I", size) + struct.pack(">I", size) + bytes(7) + bytes([2 * folder]) + bytes(6) + bytes([len(name)]) + name).ljust(n, b"\0")
+
+    root = entry(b"\0", 18, 2048, True) + entry(b"\1", 18, 2048, True) + entry(b"A.WAV;1", 20, 100) + entry(b"SUB", 19, 2048, True)
+    sub = entry(b"\0", 19, 2048, True) + entry(b"B.TXT;1", 21, 5) + entry(b"LOOP", 18, 2048, True)
+    head = (b"\1CD001\1".ljust(40, b"\0") + b"DISC".ljust(32) + bytes(8) + struct.pack("<I", 22)).ljust(156, b"\0") + entry(b"\0", 18, 2048, True)
+    return b"".join([bytes(16 * 2048), head.ljust(2048, b"\0"), bytes(2048), root.ljust(2048, b"\0"), sub.ljust(2048, b"\0"), b"RIFF".ljust(2048, b"\0"), b"hello"])
+
+
+def test_disc_images():
+    got = walkers.walk(iso(), "iso")
+    assert [(c["id"], c["summary"], c["offset"], c["size"]) for c in got[1:]] == [("file", "A.WAV", 20 * 2048, 100), ("file", "SUB/B.TXT", 21 * 2048, 5)]
+    assert got[0]["summary"] == "DISC" and fields(got[0])["sectors"] == "22" and not any(c["warnings"] for c in got)
+    assert walkers.walk(iso()[:-3], "iso")[-1]["warnings"] and walkers.walk(b"no", "iso")[0]["id"] == "error"
+    assert sniff.deep(iso(), "x.bin", None) == "iso"
+
+
+def test_capabilities(spark):
+    from oreweave.sources import capabilities
+
+    rows = {r["format"]: r for r in capabilities.capabilities(spark).collect()}
+    assert rows["wav"].sniffed and rows["wav"].walked and rows["wav"].extracted and rows["wav"].tagged and rows["wav"].described and rows["wav"].checked
+    assert rows["png"].sniffed and not rows["png"].walked and sum(r.walked for r in rows.values()) == len(walkers.WALKERS) >= 68
+
+
 def test_walkers_survive_anything():
     """Cut off, shuffled and random bytes give chunks or a warning, never an error."""
     r = random.Random(1)
