@@ -67,23 +67,26 @@ def interval_anti(rows: DataFrame, others: DataFrame, part: list[str], start: st
     return rows.join(o, condition, "left_anti")
 
 
-def chain_lengths(records: DataFrame, part: list[str], start: str, end: str, rounds: int = 40) -> DataFrame:
+def chain_lengths(records: DataFrame, part: list[str], start: str, end: str, rounds: int = 40, batch: int = 4) -> DataFrame:
     """part, start, length: how many records follow one another from here, each starting where the last ended.
 
-    Pointer doubling: as many joins as the logarithm of the longest chain. Of records that start at one place
-    the shortest counts; records of no length end a chain.
+    Pointer doubling: as many joins as the logarithm of the longest chain, `batch` of them between two tables that cut the
+    lineage. Of records that start at one place the shortest counts; records of no length end a chain.
     """
     steps = records.where(F.col(end) > F.col(start)).groupBy(*part, start).agg(F.min(end).alias("to"), F.lit(1).cast("long").alias("length"))
-    for _ in range(rounds):
+
+    def doubled(steps: DataFrame) -> DataFrame:
         onward = steps.select(*(F.col(p).alias(f"_{p}") for p in part), F.col(start).alias("_from"), F.col("to").alias("_to"), F.col("length").alias("_n"))
         condition = steps["to"] == onward["_from"]
         for p in part:
             condition = (steps[p] == onward[f"_{p}"]) & condition
         joined = steps.join(onward, condition, "left")
-        grown = joined.select(*part, start, F.coalesce("_to", "to").alias("to"), (F.col("length") + F.coalesce("_n", F.lit(0))).alias("length"), F.col("_n").isNotNull().alias("_grew"))
-        grown = cut(grown)
-        done = grown.where("_grew").limit(1).count() == 0
-        steps = grown.drop("_grew")
-        if done:
+        return joined.select(*part, start, F.coalesce("_to", "to").alias("to"), (F.col("length") + F.coalesce("_n", F.lit(0))).alias("length"), F.col("_n").isNotNull().alias("_grew"))
+
+    for _ in range(0, rounds, batch):
+        for _ in range(batch):
+            steps = doubled(steps.drop("_grew"))
+        steps = cut(steps)
+        if not steps.where("_grew").take(1):
             return steps.select(*part, start, "length")
     raise RuntimeError(f"chains of over 2^{rounds} records")
