@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -147,6 +149,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@functools.cache
+def _trim():
+    """The C library's own function that gives back free memory, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Give back the memory that is free: workers live on between tasks and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `text` column holds about `most` bytes, one row at least."""
     for batch in batches:
@@ -160,6 +175,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Itera
             size += n
         if len(sizes) > start:
             yield batch.slice(start)
+    tidy()
 
 
 def texts_of(batch: pa.RecordBatch) -> list[str]:

@@ -133,6 +133,7 @@ BLOCK = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.l
 
 def block_of(rows: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[Block, np.ndarray]:
     """A row of blocks(), and which texts are for training."""
+    base.tidy()
     get = lambda name: rows.column(rows.schema.get_field_index(name))[i].as_py()
     vocabulary, tokens = np.frombuffer(get("vocabulary"), dtype=np.int64), unpack(get("tokens"), get("n_tokens")).view(np.int64)
     return Block(vocabulary, tokens, np.array(get("sizes"), dtype=np.int64)), ~np.array(get("held"), dtype=bool)

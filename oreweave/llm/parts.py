@@ -87,6 +87,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int
         if size >= most:
             yield number, out
             number, size, out = number + 1, 0, {}
+            base.tidy()
     if out:
         yield number, out
 
@@ -145,6 +146,7 @@ def summed(rows: DataFrame, order: int = 1, buckets: int = 1) -> DataFrame:
             start += n
         for i in range(0, len(out), 1024):
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[i : i + 1024], strict=True), TOTALS, strict=True)], schema=TOTALS)
+        base.tidy()
 
     return base.cut(rows.groupBy("part").applyInArrow(run, TOTALS_DDL))
 

@@ -83,6 +83,7 @@ def shingles(word: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarra
 
 def _of(texts: pa.Table, own: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text hashes, and text and key of the shingles, of the block's texts at the places own."""
+    base.tidy()
     get = lambda name: texts.column(name)[0].as_py()
     word = mixed(np.frombuffer(get("vocabulary"), dtype=np.int64).view(U))[unpack(get("tokens"), get("n_tokens")).view(np.int64)]
     sizes = np.array(get("sizes"), dtype=np.int64)
@@ -211,7 +212,7 @@ def links(table: DataFrame, words: int = 5, share: Fraction = SHARE, radius: int
     return found.unionByName(similar(rest, texts, share))
 
 
-def groups(docs: DataFrame, words: int = 5, share: Fraction = SHARE, radius: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def groups(docs: DataFrame, words: int = 5, share: Fraction = SHARE, radius: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, fp (a hash of the text), component_id: the smallest doc_id of the documents reachable over links."""
     table = blocks(docs, block_bytes)
     prints = base.cut(table.select(F.explode(F.arrays_zip("ids", "fps")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.fps").alias("fp")))
