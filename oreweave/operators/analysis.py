@@ -128,3 +128,65 @@ def transformed_regions(files: DataFrame) -> DataFrame:
         return {c: [r[i] for r in rows] for i, c in enumerate(("offset", "end", "transform", "share"))}
 
     return bs.per_file(files, "offset long, end long, transform string, share double", found)
+
+
+#: A disc's frame in samples; how far a hole's length and start may be off; how much sharper both neighbours must be, in dB.
+FRAME, LENGTH_OFF, START_OFF, CONTRAST = 588, 0.35, 2, 12.0
+STRATEGIES = ("mute", "hold", "interp", "repeat")
+
+
+def _sharpness(x: np.ndarray) -> float:
+    """Mean power of the second differences, in dB."""
+    return 10 * float(np.log10((np.diff(x, 2) ** 2).mean() + 1e-12)) if len(x) > 2 else -120.0
+
+
+def concealment(samples: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, strategy) of holes of about one frame, on the grid of frames, that a reader has filled in.
+
+    mute: zeros; hold: one value; interp: a straight line; repeat: the frame before once more, and not again. What stands on
+    both sides must be sharper by CONTRAST (of a repeat: sharp at all). Of holes that overlap the more specific one stays.
+    """
+    x = np.asarray(samples, dtype=float)
+    found: list[tuple[int, int, str]] = []
+
+    def add(start: int, end: int, strategy: str) -> None:
+        off = (start + FRAME // 2) % FRAME - FRAME // 2
+        if abs(end - start - FRAME) > LENGTH_OFF * FRAME or abs(off) > START_OFF or any(start < b and a < end for a, b, _ in found):
+            return
+        before, after, inside = x[max(0, start - FRAME) : start], x[end : end + FRAME], x[start:end]
+        if min(len(before), len(after)) < FRAME // 4:
+            return
+        floor = -60.0 if strategy == "repeat" else _sharpness(inside) + CONTRAST
+        if min(_sharpness(before), _sharpness(after)) >= floor:
+            found.append((start, end, strategy))
+
+    step, bend = np.diff(x), np.diff(x, 2)
+    masks = {"mute": x == 0, "hold": np.append(step == 0, False) | np.insert(step == 0, 0, False), "interp": np.pad(np.abs(bend) < 1e-9, 1)}
+    for strategy, mask in masks.items():
+        for first, last in zip(*bs.runs(np.flatnonzero(mask)), strict=True):
+            more = 1 if strategy == "interp" else 0
+            add(int(first) - more + (1 if strategy == "interp" and first > 1 else 0), int(last) + 1, strategy)
+    same = x[FRAME:] == x[:-FRAME] if len(x) > FRAME else np.empty(0, bool)
+    for first, last in zip(*bs.runs(np.flatnonzero(same)), strict=True):
+        start, end = int(first) + FRAME, int(last) + 1 + FRAME
+        if np.ptp(x[start:end]) > 0:
+            add(start, end, "repeat")
+    return sorted(found)
+
+
+def concealed_holes(files: DataFrame) -> DataFrame:
+    """path, channel, start, end, strategy of the filled holes in the sounds of files (path, format, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["path", "channel", "start", "end", "strategy"], (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        for batch in batches:
+            rows = []
+            for path, kind, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                s = sound_of(data.as_py() or b"", kind.as_py())
+                if s is not None:
+                    x = s.pcm[: len(s.pcm) // s.channels * s.channels].reshape(-1, s.channels)
+                    rows += [(path.as_py(), c, *hole) for c in range(s.channels) for hole in concealment(x[:, c])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.select("path", "format", "content").mapInArrow(run, "path string, channel int, start long, end long, strategy string")

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oreweave.functions import fields, grammar
+from oreweave.operators import addresses, census, contents, regions
 from oreweave.operators import bytestrings as bs
-from oreweave.operators import census, contents, regions
 from oreweave.plans import bindings as b
 from oreweave.plans import formats
 from oreweave.plans.formats import _le as le
@@ -289,3 +289,11 @@ def s18_grammar(spark, sf):
     flac = F.unhex(F.concat(text("fLaC"), big(F.lit(34), 4), zeros(F.lit(10)), big(packed, 8), zeros(F.lit(16))))
     rows = formats.files(spark, sf).select("vec_id", grammar.interpret(F.col("content"), grammar.GRAMMARS["wav"]).alias("w"), grammar.interpret(flac, grammar.GRAMMARS["flac"]).alias("f"))
     return rows.select("vec_id", "w.format_tag", "w.sample_rate", "w.bits_per_sample", F.col("f.sample_rate").alias("flac_rate"), F.col("f.channels").alias("flac_channels"), F.col("f.bits_per_sample").alias("flac_bits"), F.col("f.samples").alias("flac_samples"))
+
+
+@query("""WITH w AS (SELECT '/v/' || vec_id || '.wav' AS path, CASE WHEN vec_id % 3 = 0 THEN 14 ELSE 0 END AS more, vec_id FROM embeddings)
+    SELECT path, '0x10+4' AS spec, 20 AS place, NULL::BIGINT AS length FROM w UNION ALL SELECT path, 'end[-4]', 168 + more, NULL FROM w UNION ALL SELECT path, 'find:WAVE-8', 0, NULL FROM w
+    UNION ALL SELECT path, 'chunk:data', 36 + more, 128 FROM w UNION ALL SELECT path, 'fmt.sample_rate', 24, 4 FROM w UNION ALL SELECT path, 'chunk:note+8', 44, 5 FROM w WHERE vec_id % 3 = 0""")
+def p18_addresses(spark, sf):
+    files = formats.files(spark, sf).withColumn("format", F.lit("wav"))
+    return addresses.resolved(files, ["0x10+4", "end[-4]", "find:WAVE-8", "chunk:data", "fmt.sample_rate", "chunk:note+8"])

@@ -252,11 +252,6 @@ def p16_mode_gate(spark, sf):
     return rows.where((F.col("kind") != "blob") | (F.col("confidence") >= 0.4)).drop("confidence")
 
 
-@query(" SELECT file, min(offset_) + 4 AS at_first, max(offset_ + size) - 3 AS at_end FROM chunks GROUP BY file", b.CHUNKS)
-def p18_addresses(spark, sf):
-    return b.chunks(spark, sf).groupBy("file").agg((F.min("offset") + 4).alias("at_first"), (F.max(F.col("offset") + F.col("size")) - 3).alias("at_end"))
-
-
 @query("SELECT file, pos::INT AS pos, ('0x' || substr(h, (2 * pos + 7)::INT, 2) || substr(h, (2 * pos + 5)::INT, 2) || substr(h, (2 * pos + 3)::INT, 2) || substr(h, (2 * pos + 1)::INT, 2))::BIGINT AS a, ('0x' || substr(h, (2 * pos + 15)::INT, 2) || substr(h, (2 * pos + 13)::INT, 2) || substr(h, (2 * pos + 11)::INT, 2) || substr(h, (2 * pos + 9)::INT, 2))::BIGINT AS b FROM byte JOIN (SELECT file, h FROM files) USING (file) WHERE byte = 97 AND pos + 8 <= n", BYTES)
 def p20_fields_at(spark, sf):
     """Two little-endian numbers from every place where an `a` is: a table of columns out of rows of bytes."""

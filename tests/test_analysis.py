@@ -113,3 +113,26 @@ def test_analyzed_files(spark):
     assert got["/s/pad_Am.wav"].key == "Am" and got["/s/pad_Am.wav"].heard_key == got["/s/chord.wav"].key == "C"
     assert got["/s/beat_60.wav"].heard_bpm == pytest.approx(120, rel=0.03) and got["/s/beat_60.wav"].bpm == pytest.approx(60, rel=0.03)
     assert all(len(r.vec) == 45 for r in got.values())
+
+
+def test_filled_holes(spark):
+    n = analysis.FRAME
+    noise = np.random.default_rng(8).normal(size=30 * n) * 3000
+    x = np.round(noise)
+    x[5 * n : 6 * n] = 0
+    x[9 * n : 10 * n] = 700
+    x[14 * n : 15 * n] = np.linspace(x[14 * n - 1], x[15 * n], n + 2)[1:-1]
+    x[20 * n : 21 * n] = x[19 * n : 20 * n]
+    found = analysis.concealment(x)
+    assert [(round(a / n), s) for a, _, s in found] == [(5, "mute"), (9, "hold"), (14, "interp"), (20, "repeat")]
+    assert all(abs(a - round(a / n) * n) <= 2 and abs(b - a - n) <= 3 for a, b, _ in found)
+    # Off the grid, of another length, in quiet sound, or without neighbours there is nothing.
+    y = np.round(noise)
+    y[5 * n + 100 : 6 * n + 100] = 0
+    y[9 * n : 12 * n] = 0
+    assert analysis.concealment(y) == [] == analysis.concealment(np.zeros(9000)) == analysis.concealment(np.zeros(0))
+    assert analysis.concealment(np.round(200 * np.sin(np.arange(9000) / 900))) == []
+    pcm = np.column_stack([x, np.round(noise)]).ravel().astype(int).clip(-32768, 32767)
+    files = [("a.wav", "wav", bytearray(extract.wave_file(pcm, 44_100, 2))), ("b", None, bytearray(b"no"))]
+    got = analysis.concealed_holes(spark.createDataFrame(files, "path string, format string, content binary")).collect()
+    assert {(r.channel, r.strategy) for r in got} >= {(0, "mute"), (0, "hold"), (0, "repeat")} and {r.channel for r in got} == {0}

@@ -93,6 +93,21 @@ def test_refreshed_index_is_a_rebuilt_one(spark):
     assert {r.id for r in fulltext.match(got, "words").collect()} == {1, 2, 4} and not fulltext.match(got, "gone").count()
 
 
+def test_addresses():
+    from oreweave.operators import addresses
+    from oreweave.sources import extract
+
+    wav = extract.wave_file(np.arange(10), 8000)
+    place = lambda spec, data=wav, kind="wav": addresses.resolve(data, kind, addresses.parse(spec))
+    assert place("28") == place("0x1c") == place("0x1C ") == (28, None) and place("010") == (10, None) and place("4+0x10") == (20, None)
+    assert place("end") == (len(wav), None) and place("end-4") == place("end[-4]") == (len(wav) - 4, None) and place("end[-9999]") is None
+    assert place("find:data") == place("find:0x64617461") == (36, None) and place("find:data + 8") == (44, None) and place("find:nothing") is None
+    assert place("chunk:data") == (36, 20) and place("chunk:fmt+8") == (20, 16) and place("fmt.sample_rate") == (24, 4) and place("fmt.none") is None and place("chunk:none") is None
+    for bad in ("", "find:", "somewhere", "0x", "end[]", "chunk:"):
+        with pytest.raises(ValueError):
+            addresses.parse(bad)
+
+
 def test_targets(spark):
     listing = spark.createDataFrame([(p,) for p in ("/a/x.wav", "/a/b/y.WAV", "/a/n.txt", "/c/z.txt", "/c/q.wav", "/ab/k.wav")], "path string")
     rows = lambda *a, **k: {r.path: (r.named, r.kept) for r in sniff.expanded(listing, *a, **k).collect()}
