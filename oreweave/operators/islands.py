@@ -57,7 +57,17 @@ def coalesced(records: DataFrame, part: list[str], order: str, end: str, kind: s
 
 
 def interval_anti(rows: DataFrame, others: DataFrame, part: list[str], start: str, end: str, share: float) -> DataFrame:
-    """Rows of which no single other interval of the same part covers `share` or more."""
+    """Rows of which no single other interval of the same part covers `share` or more.
+
+    What covers a whole row begins no later and ends no earlier, so for that one window with a running maximum does: linear in
+    the intervals of a part. For smaller shares a part's intervals are compared in a join.
+    """
+    if share >= 1:
+        both = rows.withColumn("_row", F.lit(1)).unionByName(others.select(*part, start, end).withColumn("_row", F.lit(0)), allowMissingColumns=True)
+        before = Window.partitionBy(*part).orderBy(start, "_row").rowsBetween(Window.unboundedPreceding, 0)
+        reach = F.max(F.when(F.col("_row") == 0, F.col(end))).over(before)
+        open_ = F.col("_reach").isNull() | (F.col("_reach") < F.col(end)) | (F.col(end) <= F.col(start))
+        return both.withColumn("_reach", reach).where((F.col("_row") == 1) & open_).drop("_row", "_reach")
     o = others.select(*(F.col(p).alias(f"_{p}") for p in part), F.col(start).alias("_other_start"), F.col(end).alias("_other_end"))
     same = [rows[p] == o[f"_{p}"] for p in part]
     over = F.least(F.col(end), F.col("_other_end")) - F.greatest(F.col(start), F.col("_other_start"))
