@@ -96,7 +96,7 @@ def prefix_size(m: np.ndarray, share: Fraction) -> np.ndarray:
     return m - -(-share.numerator * m // share.denominator) + 1
 
 
-def prints_of(key: np.ndarray, sizes: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+def prints_of(key: np.ndarray, sizes: np.ndarray, most: int = 1 << 15) -> np.ndarray:
     """SimHash fingerprints of texts with so many keys each."""
     out, ends, start = [], np.cumsum(sizes), 0
     while start < len(sizes):

@@ -38,8 +38,9 @@ SEED = 42
 def of_hashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Fingerprints of texts from the hashes (uint64) of their shingles, one text's after another's; each has one at least."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    # The sums' type is that of a copy of all bits: no wider than it must be.
+    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+    return np.packbits(ones > sizes[:, None] // 2, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprint_batch(texts: list[str], words: int = 3) -> np.ndarray:
