@@ -42,10 +42,19 @@ def camelot_number(pitch: Column, minor: Column) -> Column:
     return (major * 7 + 7) % 12 + 1
 
 
+def _code(pitch: int, minor: bool) -> str:
+    """As camelot_number has it."""
+    major = (pitch + 3) % 12 if minor else pitch
+    return f"{(major * 7 + 7) % 12 + 1}{'A' if minor else 'B'}"
+
+
 def camelot(key: Column) -> Column:
-    """`8A` (minor) or `8B` (major), null for what is no key."""
-    minor = F.coalesce(is_minor(key), F.lit(False))
-    return F.concat(camelot_number(pitch_class(key), minor).cast("string"), F.when(minor, "A").otherwise("B"))
+    """`8A` (minor) or `8B` (major), null for what is no key: one lookup of the note and its mode."""
+    note, mode, number, letter = _written(key)
+    codes = {n + m: _code(p, m == "m") for n, p in PITCH.items() for m in ("", "m")}
+    spelt = F.concat(F.upper(note), F.when(mode.isin("m", "min", "minor"), "m").otherwise(""))
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in codes.items() for x in kv)), F.when(note != "", spelt))
+    return F.coalesce(named, F.when(number != "", F.concat(number.cast("int").cast("string"), F.upper(letter))))
 
 
 def neighbours(code: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from oreweave.functions import music
 
+#: The step of samples for references without a tempo.
+ANY = -(1 << 30)
 KEY_RANK = {"same": 0, "relative": 1, "down": 2, "up": 3}
 
 
@@ -35,8 +37,10 @@ def compatible(references: DataFrame, samples: DataFrame, tolerance: float = 0.0
     width = max(math.log2((1 + tolerance) / (1 - tolerance)), 0.01) if tolerance < 1 else 64.0
     step = lambda bpm: F.floor(F.log2(F.greatest(bpm, F.lit(1e-6))) / width).cast("int")
     steps = F.array_distinct(F.flatten(F.transform(tempo_windows(F.col("ref_bpm"), tolerance, half_double), lambda w: F.sequence(step(w["low"]), step(w["high"])))))
-    timed = coded.withColumn("step", step(F.col("bpm"))).join(refs.where("ref_bpm is not null").withColumn("step", F.explode(steps)), ["match", "step"]).drop("step")
-    joined = timed.unionByName(coded.join(refs.where("ref_bpm is null"), "match")).where(F.col("path") != F.col("ref")).withColumn("key_rel", relation)
+    # A sample stands at its step and at one for references that ask for no tempo.
+    refs = refs.withColumn("step", F.explode(F.when(F.col("ref_bpm").isNull(), F.array(F.lit(ANY))).otherwise(steps)))
+    places = F.array_compact(F.array(step(F.col("bpm")), F.lit(ANY)))
+    joined = coded.withColumn("step", F.explode(places)).join(refs, ["match", "step"]).drop("step").where(F.col("path") != F.col("ref")).withColumn("key_rel", relation)
     windows = F.filter(tempo_windows(F.col("ref_bpm"), tolerance, half_double), lambda w: (F.col("bpm") >= w["low"]) & (F.col("bpm") <= w["high"]))
     best = F.array_min(F.transform(windows, lambda w: F.struct(F.abs(F.col("bpm") - (w["low"] + w["high"]) / 2).alias("dist"), w["ord"].alias("ord"), w["label"].alias("label"))))
     fit = joined.withColumn("best", F.when(F.col("ref_bpm").isNotNull(), best)).where(F.col("ref_bpm").isNull() | F.col("best").isNotNull())
