@@ -264,7 +264,7 @@ def x15_contents(spark, sf):
     return contents.discovered(files).drop("confidence")
 
 
-@query("""SELECT file, kind, format, min(s) AS "offset", max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN edge > 0 AND abs(s - edge) <= 6 AND abs(p - edge) <= 6 AND s - p <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY file, kind, format ORDER BY s, e) AS g
+@query("""SELECT file, kind, format, min(s) AS "offset", max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN edge > 0 AND abs(s - edge) <= 6 AND abs(p - edge) <= 6 AND s - p <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY file, kind, format ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g
     FROM (SELECT *, round(s / 32.0) * 32 AS edge, lag(e) OVER (PARTITION BY file, kind, format ORDER BY s, e) AS p FROM (SELECT file, 'blob' AS kind, id AS format, offset_ AS s, offset_ + size AS e FROM chunks))) GROUP BY file, kind, format, g""", b.CHUNKS)
 def t05_stitched_segments(spark, sf):
     """Regions of files that were read in segments of 32 bytes."""
