@@ -62,11 +62,11 @@ def decoded(data: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
 
 
-def c_string(data: Column) -> Column:
-    """Bytes up to the first zero as text, without white space at its ends."""
+def c_string(data: Column, padding: str = "\\s") -> Column:
+    """Bytes up to the first zero as text, without white space, or what else `padding` (a regex) names, at its ends."""
     # Two digits and a blank a byte, so that the zero is a whole byte.
     spaced = F.split(F.regexp_replace(F.hex(data), "(..)", "$1 "), "(?<= |^)00 ", 2)[0]
-    return F.regexp_replace(decoded(F.unhex(F.replace(spaced, F.lit(" "), F.lit("")))), "^\\s+|\\s+$", "")
+    return F.regexp_replace(decoded(F.unhex(F.replace(spaced, F.lit(" "), F.lit("")))), f"\\A({padding})+|({padding})+\\z", "")
 
 
 @F.pandas_udf(T.StringType())
