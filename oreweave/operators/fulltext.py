@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreweave.functions.stemming import TOKEN, terms, terms_of
@@ -12,10 +13,19 @@ from oreweave.functions.stemming import TOKEN, terms, terms_of
 _PART = re.compile(r'\s*(\(|\)|"[^"]*"\*?|[^\s()"]+)')
 
 
-def index(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """term, id, column, pos of every word: written once, partitioned or bucketed by term, it serves all searches."""
+def ascii_words(text: Column) -> Column:
+    """Runs of ASCII letters and digits in lower case, unstemmed. `İ` is an i, as SQL engines fold it."""
+    return F.filter(F.split(F.lower(F.translate(text, "\u0130", "i")), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def index(docs: DataFrame, key: str, columns: list[str], words: Callable[[Column], Column] = terms_of) -> DataFrame:
+    """term, id, column, pos of every word: written once, partitioned or bucketed by term, it serves all searches.
+
+    words: the array of a text's terms, stemmed words by default. Searches look stems up, so an index of plain words finds
+    those that are their own stems.
+    """
     parts = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in columns))).alias("p")
-    rows = docs.select(F.col(key).alias("id"), parts).select("id", "p.column", terms_of(F.col("p.text")).alias("terms"))
+    rows = docs.select(F.col(key).alias("id"), parts).select("id", "p.column", words(F.col("p.text")).alias("terms"))
     return rows.select("id", "column", F.posexplode("terms").alias("pos", "term"))
 
 

@@ -34,3 +34,10 @@ def test_fields_keep_line_ends(same):
     texts = ["Thing.\nErl of some length", "  a b \t and more text", "abc", "\tab  ", "       spaces only", "", " \n"]
     rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS item_id, '{t}' AS text" for i, t in enumerate([*texts, *texts], 3))
     assert (3, "Thing.\nErlÿ of some length", "Thing.\n") in same("f06_decoded_texts", "benchmark", rows)
+
+
+def test_phrases_have_the_words_of_the_twin(same):
+    found = ["x of the y", "OF THE cat, froming and froms", "éof theé", "of the fromage", "of_the, or _of the_"]
+    others = ["of\nthe y", "of  the", "of the y from\nz", "fromé of the", "of thes", "ofs the", "of-the", "", "the of", "of theİ", "İof the", "of the from"]
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, '{t}' AS text" for i, t in enumerate([*found, *others]))
+    assert same("j01_full_text_phrase", "documents", f"{rows} UNION ALL SELECT 99, NULL") == [(i,) for i in range(len(found))]
