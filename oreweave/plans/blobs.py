@@ -260,8 +260,9 @@ def x15_contents(spark, sf):
     index = F.sequence(F.lit(0), n - 1)
     record = lambda i: F.concat(F.hex(F.concat(F.lit("snd"), i.cast("string"), F.lit(".wav")).cast("binary")), zeros(F.lit(12)), le(16 + 32 * n + i * z, 4), le(z, 4), zeros(F.lit(4)))
     data = F.concat(text("ARCHIVE."), zeros(F.lit(8)), F.array_join(F.transform(index, record), ""), F.repeat(F.concat(text("RIFF"), zeros(z - 4)), n))
-    files = b.table(spark, sf, "customer").select(k.alias("file"), F.unhex(data).alias("data"))
-    return contents.discovered(files).drop("confidence")
+    # A table of keys is small for the work its files are, so it is dealt over all cores.
+    keys = b.table(spark, sf, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return contents.discovered(keys.select(k.alias("file"), F.unhex(data).alias("data"))).drop("confidence")
 
 
 @query("""SELECT file, kind, format, min(s) AS "offset", max(e) AS "end", count(*) AS parts FROM (SELECT *, sum(CASE WHEN edge > 0 AND abs(s - edge) <= 6 AND abs(p - edge) <= 6 AND s - p <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY file, kind, format ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g

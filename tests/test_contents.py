@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import struct
+import time
 
 import pytest
 
@@ -49,3 +50,11 @@ def test_tables_of_files(spark):
     data, want = archive(NAMES)
     df = spark.createDataFrame([("a", bytearray(b"lead in " + data[8:])), ("b", bytearray(b"none")), ("c", None)], "file string, data binary")
     assert [(r.name, r.offset, r.size) for r in contents.discovered(df).orderBy("offset").collect()] == want
+
+
+def test_many_archives_take_seconds():
+    data = [archive(NAMES[k % 4 :], "<>"[k % 2], lead=8 * (k % 3 == 0))[0] + bytes(k) for k in range(600)]
+    contents.discover(data[0])
+    began = time.process_time()
+    assert all(len(contents.discover(d)) == len(NAMES) - k % 4 for k, d in enumerate(data))
+    assert time.process_time() - began < 4
